@@ -81,6 +81,30 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str,
     return df.mapInArrow(run, struct)
 
 
+def logistic(x: np.ndarray, y: np.ndarray, signed: bool = True, ridge: float = 0.5) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by Newton's method; unsigned: weights that would turn negative are left at 0."""
+    x1 = np.column_stack([x, np.ones(len(x))])
+    penalty = np.append(np.full(x.shape[1], ridge), 1e-3)
+    free = np.ones(x1.shape[1], bool)
+    w = np.zeros(x1.shape[1])
+    for _ in range(x.shape[1] + 1):
+        w[:] = 0
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
+            g = x1.T @ (p - y) + penalty * w
+            h = (x1 * (p * (1 - p))[:, None]).T @ x1 + np.diag(penalty)
+            step = np.zeros_like(w)
+            step[free] = np.linalg.solve(h[np.ix_(free, free)], g[free])
+            w -= np.clip(step, -3, 3)
+            if np.abs(step).max() < 1e-8:
+                break
+        bad = (w[:-1] < 0) & free[:-1]
+        if signed or not bad.any():
+            break
+        free[:-1] &= ~bad
+    return w[:-1], float(w[-1])
+
+
 # --- hashing of whole chunks ---------------------------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

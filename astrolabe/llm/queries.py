@@ -13,6 +13,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.fit(docs))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -32,6 +39,27 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language_id
+
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
+def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import site_quality
+
+    docs = _table(spark, sf_dir, "documents")
+    return site_quality.judge(docs, site_quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_tree
+
+    docs = _table(spark, sf_dir, "documents")
+    return suffix_tree.score(docs, suffix_tree.fit(docs))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,13 +74,22 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_rules
+
+    docs = _table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, *quality_rules.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_mixing, op4_exact_dedup, op8_packing, op9_near_dedup, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_secrets, op2_toxicity, op3_mixing, op4_exact_dedup, op5_language_id, op6_site_quality, op7_suffix_tree, op8_packing, op9_near_dedup, op10_quality_rules, pipeline
+)}
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": r"""

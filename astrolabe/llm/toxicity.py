@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_rows, remainder, staged, text_or_empty
+from .common import fresh, logistic, map_rows, remainder, staged, text_or_empty
 from .exact_dedup import docs_column
 
 FIT_ROWS, MAX_ACCEPTORS = 20_000, 20_000
@@ -175,29 +175,6 @@ def _count_terms():
     return work
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton's method; weights of the features are kept from turning negative."""
-    x1 = np.column_stack([x, np.ones(len(x))])
-    free = np.ones(x1.shape[1], bool)
-    w = np.zeros(x1.shape[1])
-    for _ in range(x.shape[1] + 1):
-        w[:] = 0
-        for _ in range(60):
-            p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-            g = x1.T @ (p - y) + np.append(np.full(x.shape[1], 0.5), 1e-3) * w
-            h = (x1 * (p * (1 - p))[:, None]).T @ x1 + np.diag(np.append(np.full(x.shape[1], 0.5), 1e-3))
-            step = np.zeros_like(w)
-            step[free] = np.linalg.solve(h[np.ix_(free, free)], g[free])
-            w -= np.clip(step, -3, 3)
-            if np.abs(step).max() < 1e-8:
-                break
-        bad = (w[:-1] < 0) & free[:-1]
-        if not bad.any():
-            break
-        free[:-1] &= ~bad
-    return w[:-1], float(w[-1])
-
-
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Learns from labelled rows whose crc32(doc_id) modulo 5 is not 0."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
@@ -240,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     order = np.lexsort([*x.T, y])
     x, y = x[order], y[order]
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-    w, model.bias = _curve((x - mean) / scale, y)
+    w, model.bias = logistic((x - mean) / scale, y, signed=False)
     model.mean, model.scale, model.curve = mean.tolist(), scale.tolist(), w.tolist()
     return model
 
