@@ -1,0 +1 @@
+"""A star-schema analytics engine on PySpark."""

@@ -1,0 +1 @@
+"""Scalar functions are those of pyspark.sql.functions; the data model asks for no others."""

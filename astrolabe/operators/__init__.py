@@ -1,0 +1 @@
+"""Operators over DataFrames: joins, comparisons with tables, grouping."""

@@ -1,0 +1 @@
+"""The star schema, the benchmark, the SQL dialect, the engine and the named queries."""

@@ -1,0 +1 @@
+"""Declared schemas, delimited text, Parquet and the catalog."""

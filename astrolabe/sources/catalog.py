@@ -24,8 +24,9 @@ class Catalog:
 
     def create(self, database: str, schema_text: str) -> dict[str, T.StructType]:
         tables = schema.parse(schema_text)
+        home = self._path(database, "_declared")
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database.lower()}")
-        self.spark.createDataFrame([(schema.to_text(tables),)], "text string").coalesce(1).write.mode("overwrite").text(self._path(database, "_declared"))
+        self.spark.createDataFrame([(schema.to_text(tables),)], "text string").coalesce(1).write.mode("overwrite").text(home)
         for name, struct in tables.items():
             self.spark.createDataFrame([], struct).write.mode("overwrite").parquet(self._path(database, name))
             self._register(database, name)

@@ -1,0 +1 @@
+"""No streams are part of the data model; the package marks their place."""
