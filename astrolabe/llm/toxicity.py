@@ -125,11 +125,11 @@ class Matcher(dict):
         self[word] = kind
         return kind
 
-    def clauses(self, text: str) -> list[float]:
-        """What each matched clause emits."""
+    def matches(self, text: str) -> list[dict[str, float]]:
+        """What each matched clause emits by word; a word that a clause repeats counts once, at its most."""
         tokens = TOKEN.findall(text.lower())
         kinds = bytes(map(self.__getitem__, tokens))
-        out: list[float] = []
+        out: list[dict[str, float]] = []
         at = -1
         for m in _HIT.finditer(kinds):
             if m.start() <= at:
@@ -137,18 +137,23 @@ class Matcher(dict):
             begin = kinds.rfind(STOP, 0, m.start()) + 1
             at = kinds.find(STOP, m.start())
             at = len(kinds) if at < 0 else at
-            state, total = GRAMMAR.start, 0.0
+            state, emitted = GRAMMAR.start, {}
             for k in range(begin, at):
                 state = GRAMMAR.moves[state][kinds[k]]
-                if kinds[k] == INSULT:
-                    total += self.weight[tokens[k]] * GRAMMAR.gain[state]
-                elif kinds[k] == THREAT:
-                    total += THREAT_WEIGHT * (GRAMMAR.gain[state] > 1) * GRAMMAR.gain[state]
-            out.append(total)
+                gain = GRAMMAR.gain[state]
+                if kinds[k] == INSULT or kinds[k] == THREAT:
+                    weight = self.weight[tokens[k]] * gain if kinds[k] == INSULT else THREAT_WEIGHT * gain * (gain > 1)
+                    emitted[tokens[k]] = max(weight, emitted.get(tokens[k], 0.0))
+            out.append(emitted)
         return out
 
+    def clauses(self, text: str) -> list[float]:
+        """The weight of each matched clause."""
+        return [sum(m.values()) for m in self.matches(text)]
+
     def features(self, text: str) -> list[float]:
-        found = self.clauses(text)
+        """Clauses that match by the same words count once."""
+        found = [sum(m.values()) for m in {tuple(m): m for m in self.matches(text)}.values()]
         best = max(found, default=0.0)
         return [best, math.log1p(sum(found)), float(sum(x > 3 for x in found) > 1), math.log1p(best / (1 + len(text) / 2000))]
 
