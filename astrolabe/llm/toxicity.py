@@ -34,6 +34,8 @@ from .exact_dedup import docs_column
 
 FIT_ROWS, MAX_ACCEPTORS = 20_000, 20_000
 LEAST_ODDS, LEAST_DOCS = 3.0, 4
+#: A ratio of 2 log n is what the best of n candidates reaches by chance; acceptors exceed it by this much.
+CHANCE = 2.0
 SHORTEST, LONGEST = 3, 8
 
 # Word lists of the hand-written transducers.
@@ -201,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     ratio = 2 * (xlog(p, seen * (pos / (pos + neg))) + xlog(n, seen * (neg / (pos + neg))))
     counts = staged(counts.where(F.col("p") >= LEAST_DOCS), "toxicity-terms")
     candidates = counts.count()
-    kept = counts.select("term", odds.alias("odds"), ratio.alias("ratio")).where((F.col("odds") >= LEAST_ODDS) & (F.col("ratio") >= 8 + 2 * math.log(max(2, candidates))))
+    kept = counts.select("term", odds.alias("odds"), ratio.alias("ratio")).where((F.col("odds") >= LEAST_ODDS) & (F.col("ratio") >= CHANCE + 2 * math.log(max(2, candidates))))
     for r in kept.orderBy(F.desc("ratio"), "term").limit(MAX_ACCEPTORS).collect():
         if r.term[0] == "=":
             model.words[r.term[1:]] = r.odds
