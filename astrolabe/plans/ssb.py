@@ -30,7 +30,7 @@ def _dims(v: dict[str, DataFrame], carry: tuple[str, ...] = (), **filters: Test)
 
 def _flight1(date: Test, low: int, high: int, quantity: Test) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        v = star.views(spark, folder)
+        v = star.views(spark, folder, cost=False)
         lines = v["lineorder"].where(F.col("lo_discount").between(low, high) & quantity())
         return star_join(lines, *_dims(v, date=date)).agg(F.sum(F.col("lo_extendedprice") * F.col("lo_discount")).alias("revenue"))
 
@@ -39,7 +39,7 @@ def _flight1(date: Test, low: int, high: int, quantity: Test) -> Callable[[Spark
 
 def _grouped(keys: tuple[str, ...], measure: str, order: tuple[str, ...], **filters: Test) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        v = star.views(spark, folder)
+        v = star.views(spark, folder, cost=measure == "profit")
         value = F.col("lo_revenue") if measure == "revenue" else F.col("lo_revenue") - F.col("lo_supplycost")
         total = star_join(v["lineorder"], *_dims(v, keys, **filters)).groupBy(*keys).agg(F.sum(value).alias(measure))
         return total.orderBy(*[F.desc(c[1:]) if c[0] == "-" else F.col(c) for c in order])

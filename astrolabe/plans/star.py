@@ -58,13 +58,17 @@ def dates(orders: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def line_orders(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
-    """The fact table. A facts-to-orders join is on the order key of both; parts add their retail price."""
+def line_orders(lineitem: DataFrame, orders: DataFrame, part: DataFrame | None) -> DataFrame:
+    """The fact table. Lines meet their orders on the order key of both; parts add the supply cost. Without parts
+    that column is left out, and its join with it: every line has a part, so no row depends on that join."""
     price, discount = cents(F.col("l_extendedprice")), F.round(F.col("l_discount") * 100).cast("int")
+    lines = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
+    cost = []
+    if part is not None:
+        lines = lines.join(part.select(F.col("p_partkey").alias("lo_part"), "p_retailprice"), F.col("l_partkey") == F.col("lo_part"))
+        cost = [F.floor(F.lit(6) * F.round(F.col("p_retailprice") * 100).cast("long") / 10).alias("lo_supplycost")]
     return (
-        lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
-        .join(part.select(F.col("p_partkey").alias("lo_part"), "p_retailprice"), F.col("l_partkey") == F.col("lo_part"))
-        .select(
+        lines.select(
             F.col("l_orderkey").alias("lo_orderkey"),
             F.col("l_linenumber").alias("lo_linenumber"),
             F.col("o_custkey").alias("lo_custkey"),
@@ -76,16 +80,17 @@ def line_orders(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> Data
             cents(F.col("o_totalprice")).alias("lo_ordtotalprice"),
             discount.alias("lo_discount"),
             F.floor(price * (100 - discount) / 100).alias("lo_revenue"),
-            F.floor(F.lit(6) * F.round(F.col("p_retailprice") * 100).cast("long") / 10).alias("lo_supplycost"),
+            *cost,
             F.round(F.col("l_tax") * 100).cast("int").alias("lo_tax"),
         )
     )
 
 
-def views(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def views(spark: SparkSession, folder: str, cost: bool = True) -> dict[str, DataFrame]:
+    """The five views; without cost, lineorder has no lo_supplycost."""
     t = {n: table(spark, folder, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
     return {
-        "lineorder": line_orders(t["lineitem"], t["orders"], t["part"]),
+        "lineorder": line_orders(t["lineitem"], t["orders"], t["part"] if cost else None),
         "ssb_customer": customers(t["customer"], t["nation"], t["region"]),
         "ssb_supplier": suppliers(t["supplier"], t["nation"], t["region"]),
         "ssb_part": parts(t["part"]),
@@ -93,6 +98,24 @@ def views(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     }
 
 
+def write(spark: SparkSession, folder: str, out: str) -> None:
+    """Stores the views once, for many queries: facts partitioned by month and sorted by date, so that date ranges
+    prune files and row groups and no query joins lines with orders again."""
+    for name, df in views(spark, folder).items():
+        if name == "lineorder":
+            month = F.floor(F.col("lo_orderdate") / 100).cast("int")
+            # a hash of the row's keys beside the month lets a crowded month spread over many tasks
+            df = df.withColumn("lo_month", month).repartition("lo_month", F.pmod(F.xxhash64("lo_orderkey"), F.lit(64))).sortWithinPartitions("lo_month", "lo_orderdate")
+            df.write.mode("overwrite").partitionBy("lo_month").parquet(f"{out}/{name}.parquet")
+        else:
+            df.write.mode("overwrite").parquet(f"{out}/{name}.parquet")
+
+
+def stored(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """The views that write() stored."""
+    return {n: table(spark, out, n) for n in ("lineorder", "ssb_customer", "ssb_supplier", "ssb_part", "ddate")}
+
+
 #: The same views for the SQL oracle.
 CTES = """
 WITH lineorder AS (

@@ -84,3 +84,15 @@ def test_bands(spark):
     bands = spark.createDataFrame([(1, 0.0, 3.0), (2, 2.5, 60.0), (3, 99.0, 99.0)], "id int, low double, high double")
     got = joins.band_join(points, bands, "x", "low", "high", 10.0).groupBy("id").count()
     assert values(got) == [(1, 3), (2, 57)]
+
+
+def test_stored_star_answers_alike(spark, tmp_path):
+    from astrolabe.plans import ssb, star
+    from astrolabe.plans.engine import Engine
+
+    folder = "/root/testdata/sf0.001"
+    star.write(spark, folder, str(tmp_path))
+    stored = Engine(spark).register(star.stored(spark, str(tmp_path)))
+    for key in ("ssb_q1_1", "ssb_q3_1", "ssb_q4_1"):
+        assert values(stored.sql(ssb.SQL[key]).select("*")) == values(Engine(spark).register_star(folder).sql(ssb.SQL[key]))
+        stored = Engine(spark).register(star.stored(spark, str(tmp_path)))
