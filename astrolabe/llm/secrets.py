@@ -33,7 +33,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "crf")
 
-FIT_ROWS, WINDOW, LEAST_LENGTH = 3000, 12, 16
+FIT_ROWS, WINDOW, LEAST_LENGTH = 2000, 12, 16
 TOKEN = re.compile(r"[\w+/.-]+|[^\w\s]")
 B, I, O = range(3)
 
@@ -125,9 +125,6 @@ class Weights:
         self.file = np.zeros((N_FILE, 3))
         self.move = np.zeros((3, 3))
 
-    def parts(self) -> list[np.ndarray]:
-        return [self.shape, self.near, self.file, self.move]
-
 
 def _emissions(w: Weights, shapes: list[tuple[int, ...]], classes: np.ndarray, file: int) -> np.ndarray:
     e = np.array([w.shape[list(s)].sum(0) for s in shapes]).reshape(-1, 3) + w.file[file]
@@ -152,37 +149,44 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def train(windows: list[tuple[list[str], list[int], int]], epochs: int = 60, rate: float = 0.15, ridge: float = 1e-3) -> Weights:
-    """Maximum conditional likelihood by Adam; all windows of one length go through the forward and backward pass at once."""
+    """Maximum conditional likelihood by Adam; all windows go through the forward and backward pass at once.
+
+    The features of all tokens are one 0/1 matrix: shapes, then the classes of each neighbour, then those of the file.
+    """
     w = Weights()
     if not windows:
         w.shape[:, O] = 1.0
         return w
-    longest = max(len(t) for t, _, _ in windows)
-    n = len(windows)
+    n, longest = len(windows), max(len(t) for t, _, _ in windows)
+    wide = len(OFFSETS) * (N_CLASSES + 1)
     mask, tags = np.zeros((n, longest), bool), np.full((n, longest), O)
-    shapes = np.zeros((n, longest, N_SHAPE))
-    near = np.full((n, longest, len(OFFSETS)), N_CLASSES)
-    files = np.array([f for _, _, f in windows])
-    for i, (tokens, labels, _) in enumerate(windows):
-        mask[i, : len(tokens)] = True
-        tags[i, : len(tokens)] = labels
-        classes = np.concatenate(([N_CLASSES] * 2, [neighbour_class(t) for t in tokens], [N_CLASSES] * 2))
-        for k, t in enumerate(tokens):
-            shapes[i, k, list(shape(t))] = 1
-        for k, d in enumerate(OFFSETS):
-            near[i, : len(tokens), k] = classes[2 + d : 2 + d + len(tokens)]
+    seen: dict[str, tuple[list[int], int]] = {}
+    x = np.zeros((n, longest, N_SHAPE + wide + N_FILE), np.float32)
+    for i, (tokens, labels, file) in enumerate(windows):
+        k = len(tokens)
+        mask[i, :k] = True
+        tags[i, :k] = labels
+        for t in tokens:
+            if t not in seen:
+                seen[t] = (list(shape(t)), neighbour_class(t))
+        classes = np.concatenate(([N_CLASSES] * 2, [seen[t][1] for t in tokens], [N_CLASSES] * 2))
+        for at, t in enumerate(tokens):
+            x[i, at, seen[t][0]] = 1
+        for j, d in enumerate(OFFSETS):
+            x[i, np.arange(k), N_SHAPE + j * (N_CLASSES + 1) + classes[2 + d : 2 + d + k]] = 1
+        x[i, :k, N_SHAPE + wide + file] = 1
+    flat = x.reshape(n * longest, -1)
     gold = np.eye(3)[tags] * mask[:, :, None]
     pairs = mask[:, 1:]
     gold_moves = np.zeros((3, 3))
     np.add.at(gold_moves, (tags[:, :-1][pairs], tags[:, 1:][pairs]), 1)
-    first = [np.zeros_like(p) for p in w.parts()]
-    second = [np.zeros_like(p) for p in w.parts()]
+    weights = [np.zeros((x.shape[2], 3)), np.zeros((3, 3))]
+    first, second = [np.zeros_like(p) for p in weights], [np.zeros_like(p) for p in weights]
+    start = np.array([0.0, _FORBIDDEN, 0.0])
     for step in range(1, epochs + 1):
-        e = shapes @ w.shape + w.file[files][:, None, :]
-        for k in range(len(OFFSETS)):
-            e += w.near[k][near[:, :, k]]
+        e = (flat @ weights[0].astype(np.float32)).astype(float).reshape(n, longest, 3)
+        w.move = weights[1]
         move = _moves(w)
-        start = np.array([0.0, _FORBIDDEN, 0.0])
         alpha, beta = np.zeros((n, longest, 3)), np.zeros((n, longest, 3))
         alpha[:, 0] = e[:, 0] + start
         for t in range(1, longest):
@@ -195,20 +199,16 @@ def train(windows: list[tuple[list[str], list[int], int]], epochs: int = 60, rat
         marginal = np.exp(np.clip(alpha + beta - z[:, None, None], -50, 0)) * mask[:, :, None]
         joint = alpha[:, :-1, :, None] + move + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]
         expected = (np.exp(np.clip(joint, -50, 0)) * pairs[:, :, None, None]).sum((0, 1))
-        d = gold - marginal
-        g_near = np.zeros_like(w.near)
-        for k in range(len(OFFSETS)):
-            np.add.at(g_near[k], near[:, :, k], d)
-        g_file = np.zeros_like(w.file)
-        np.add.at(g_file, files, d.sum(1))
         g_move = gold_moves - expected
         g_move[O, I] = 0
-        grads = [np.einsum("ntf,nts->fs", shapes, d), g_near, g_file, g_move]
-        for p, g, m, v in zip(w.parts(), grads, first, second, strict=True):
+        grads = [(flat.T @ (gold - marginal).reshape(-1, 3).astype(np.float32)).astype(float), g_move]
+        for p, g, m, v in zip(weights, grads, first, second, strict=True):
             g = g / n - ridge * p
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    w.shape, w.near = weights[0][:N_SHAPE].copy(), weights[0][N_SHAPE : N_SHAPE + wide].reshape(len(OFFSETS), N_CLASSES + 1, 3).copy()
+    w.file, w.move = weights[0][N_SHAPE + wide :].copy(), weights[1]
     return w
 
 
