@@ -5,12 +5,14 @@ one). Documents with one set (128-bit digest of the sorted set, and its size) fo
 sketch: of 128 buckets of the hash space each keeps, of its least hash, the number of leading zeros (6 bits)
 and the next 10 bits. 25 bands of 5 registers give bucket keys; empty registers borrow from the next full one.
 
-Candidates are no pairs within a bucket: each bucket proposes a star around its first class. Stars pass the
-collision-corrected Jaccard estimate of the sketches, then an exact count on the full sets; connected
-components follow. Buckets whose members are then still in different components go through further stars around
-other centres, and what is left is compared across components only, in blocks, so that no link between
-different components of a bucket is skipped. With 25 bands of 5, a pair of similarity 0.85 shares no bucket
-with probability 4e-7, and less at higher similarity.
+Candidates are never listed as pairs. In each bucket, a union-find over sketches joins classes whose corrected Jaccard
+estimate is promising and hands on a forest, at most one row a member. The connected components of these forests are
+families; two linked classes that share a bucket are in one family. Texts travel once, to their family, where another
+union-find compares classes that are still apart: by the small sketch, by a larger one, and at last by exact counts
+on the full sets; again a forest of confirmed links is handed on, whose components are the answer. Families and buckets
+of more than BLOCK members are split into pairs of blocks, so no task holds more than two blocks.
+
+With 25 bands of 5, a pair of similarity 0.85 shares no bucket with probability 4e-7, and less at higher similarity.
 
 Defined results: null, empty and blank texts have n_shingles 0 and stand alone; null doc_ids count only where a
 component has no other; repeated rows share a class; an empty table gives an empty table; further columns are
@@ -35,11 +37,11 @@ WIDTH = 5
 PERCENT = 85
 BUCKETS, MANTISSA, BANDS, ROWS = 128, 10, 25, 5
 EMPTY = 0xFFFF
-#: Five standard deviations of the estimate from 128 registers below 0.85.
-LEAST_ESTIMATE = 0.69
-#: Stars tried around different centres before the rest of a bucket is compared in blocks.
-STARS = 2
-BLOCK = 256
+#: The larger sketch is made where the texts are.
+MORE_BUCKETS = 1024
+#: Estimates count as promising from five standard deviations below 0.85 on: of 128 and of 1024 registers.
+LEAST_ESTIMATE, LEAST_CLOSE_ESTIMATE = 0.69, 0.794
+BLOCK = 512
 
 _COEFFICIENTS = mix(np.arange(11, 11 + WIDTH, dtype=np.uint64)) | np.uint64(1)
 
@@ -69,10 +71,10 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray
     return out
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
+def sketch(s: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     """HyperMinHash registers of a sorted set of 64-bit hashes."""
-    registers = np.full(BUCKETS, EMPTY, np.uint16)
-    bits = BUCKETS.bit_length() - 1
+    registers = np.full(buckets, EMPTY, np.uint16)
+    bits = buckets.bit_length() - 1
     bucket = (s >> np.uint64(64 - bits)).astype(np.int64)
     head = np.concatenate(([True], bucket[1:] != bucket[:-1])) if len(s) else np.empty(0, bool)
     rest = (s[head] << np.uint64(bits)).astype(np.float64)
@@ -113,8 +115,9 @@ def estimates(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     """Collision-corrected Jaccard estimates of rows of sketches."""
     used = (a != EMPTY) | (b != EMPTY)
     share = ((a == b) & used).sum(1) / np.maximum(1, used.sum(1))
-    scale = lambda n: np.maximum(-4, np.round(2 * np.log2(np.maximum(n, 1) / BUCKETS))).astype(int)
-    c = np.array([_accidents(x, y) for x, y in zip(scale(n_a).tolist(), scale(n_b).tolist(), strict=True)]) if len(a) else np.empty(0)
+    scale = lambda n: np.maximum(-4, np.round(2 * np.log2(np.maximum(n, 1) / a.shape[-1]))).astype(int)
+    pairs, at = np.unique(scale(n_a) * 1000 + scale(n_b), return_inverse=True)
+    c = np.array([_accidents((p + 500) // 1000, (p + 500) % 1000 - 500) for p in pairs.tolist()])[at] if len(a) else np.empty(0)
     return (share - c) / (1 - c)
 
 
@@ -143,94 +146,102 @@ def _banded():
     return work
 
 
-def _promising():
-    def work(b: dict[str, list]) -> dict[str, list]:
-        if not b["lead"]:
-            return {"lead": [], "cid": []}
-        e = estimates(_unpack(b["lead_sketch"]), _unpack(b["sketch"]), np.array(b["lead_n"]), np.array(b["n"]))
-        n_a, n_b = np.array(b["lead_n"]), np.array(b["n"])
-        ok = (e >= LEAST_ESTIMATE) & (100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b))
-        return {"lead": np.array(b["lead"])[ok].tolist(), "cid": np.array(b["cid"])[ok].tolist()}
-
-    return work
-
-
-def _confirmed():
-    def work(b: dict[str, list]) -> dict[str, list]:
-        known: dict[int, np.ndarray] = {}
-        need = {c: t for c, t in [*zip(b["lead"], b["lead_text"], strict=True), *zip(b["cid"], b["text"], strict=True)]}
-        known = dict(zip(need, shingle_sets(list(need.values())), strict=True))
-        ok = []
-        for x, y in zip(b["lead"], b["cid"], strict=True):
-            s, t = known[x], known[y]
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            ok.append(100 * both >= PERCENT * (len(s) + len(t) - both))
-        return {"a": [x for x, k in zip(b["lead"], ok, strict=True) if k], "b": [y for y, k in zip(b["cid"], ok, strict=True) if k]}
+def _forest(labels: np.ndarray, left: np.ndarray, right: np.ndarray, same_block: bool, linked) -> list[tuple[int, int]]:
+    """Union-find over the members at `left` and `right`; linked(i, js) gives the js that i is joined to.
 
-    return work
+    Members of one label are joined already. Only pairs of different labels are looked at, and of each label that i
+    meets one pair is handed on.
+    """
+    out: list[tuple[int, int]] = []
+    for at, i in enumerate(left.tolist()):
+        others = right[at + 1 :] if same_block else right
+        others = others[labels[others] != labels[i]]
+        if not len(others):
+            continue
+        for j in linked(i, others):
+            if labels[j] != labels[i]:
+                out.append((i, int(j)))
+                labels[labels == labels[j]] = labels[i]
+    return out
 
 
-class _Verifier:
-    """Checks candidate pairs of classes against full sets; keeps the texts it has fetched in staged tables."""
+def _blocks(table: pa.Table, key: tuple) -> tuple[np.ndarray, np.ndarray, bool]:
+    low, high = key[1].as_py(), key[2].as_py()
+    block = np.array(table["block"].to_pylist())
+    return np.flatnonzero(block == low), np.flatnonzero(block == high), low == high
 
-    def __init__(self, docs: DataFrame, classes: DataFrame):
-        self.docs, self.classes = docs, classes
-        self.texts: DataFrame | None = None
 
-    def promising(self, pairs: DataFrame) -> DataFrame:
-        one = self.classes.select("cid", F.col("n_shingles").alias("n"), "sketch")
-        other = self.classes.select(F.col("cid").alias("lead"), F.col("n_shingles").alias("lead_n"), F.col("sketch").alias("lead_sketch"))
-        return map_rows(pairs.join(one, "cid").join(other, "lead"), "lead long, cid long", _promising)
+def _family_edges(key: tuple, table: pa.Table) -> pa.Table:
+    """A forest of promising pairs within two blocks of a bucket."""
+    cid, n = np.array(table["cid"].to_pylist()), np.array(table["n"].to_pylist())
+    registers = _unpack(table["sketch"].to_pylist())
 
-    def links(self, pairs: DataFrame, label: str) -> DataFrame | None:
-        pairs = staged(pairs, f"near-pairs-{label}")
-        need = pairs.select("cid").union(pairs.select("lead")).distinct()
-        if self.texts is not None:
-            need = need.join(self.texts.select("cid"), "cid", "left_anti")
-        rows = self.classes.join(need, "cid", "left_semi").select("cid", F.col("row_id"))
-        more = staged(self.docs.join(rows, "row_id").select("cid", "text"), f"near-texts-{label}")
-        self.texts = more if self.texts is None else self.texts.union(more)
-        both = pairs.join(self.texts, "cid").join(self.texts.select(F.col("cid").alias("lead"), F.col("text").alias("lead_text")), "lead")
-        return staged(map_rows(both.select("lead", "lead_text", "cid", "text"), "a long, b long", _confirmed), f"near-links-{label}")
+    def linked(i: int, js: np.ndarray):
+        js = js[100 * np.minimum(n[js], n[i]) >= PERCENT * np.maximum(n[js], n[i])]
+        if len(js):
+            js = js[estimates(registers[js], np.broadcast_to(registers[i], (len(js), BUCKETS)), n[js], np.full(len(js), n[i])) >= LEAST_ESTIMATE]
+        return js.tolist()
+
+    got = _forest(np.arange(len(cid)), *_blocks(table, key), linked)
+    return pa.table({"a": pa.array([int(cid[i]) for i, _ in got], pa.int64()), "b": pa.array([int(cid[j]) for _, j in got], pa.int64())})
+
+
+def _family_links(key: tuple, table: pa.Table) -> pa.Table:
+    """A forest of confirmed links within two blocks of a family."""
+    cid = table["cid"].to_pylist()
+    sets = shingle_sets(table["text"].to_pylist())
+    n = np.array([len(s) for s in sets])
+    small = np.array([sketch(s) for s in sets])
+    large = np.array([sketch(s, MORE_BUCKETS) for s in sets])
+    labels = np.arange(len(cid))
+
+    def linked(i: int, js: np.ndarray):
+        for registers, least in ((small, LEAST_ESTIMATE), (large, LEAST_CLOSE_ESTIMATE)):
+            js = js[100 * np.minimum(n[js], n[i]) >= PERCENT * np.maximum(n[js], n[i])]
+            if not len(js):
+                return
+            e = estimates(registers[js], np.broadcast_to(registers[i], (len(js), registers.shape[1])), n[js], np.full(len(js), n[i]))
+            js, e = js[e >= least], e[e >= least]
+        for j in js[np.argsort(-e, kind="stable")].tolist():
+            if labels[j] != labels[i]:  # joined meanwhile, through another of its label
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= PERCENT * (n[i] + n[j] - both):
+                    yield j
+
+    got = _forest(labels, *_blocks(table, key), linked)
+    return pa.table({"a": pa.array([cid[i] for i, _ in got], pa.int64()), "b": pa.array([cid[j] for _, j in got], pa.int64())})
+
+
+def _in_blocks(members: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """Gives members a block of their group, and one row for each pair of blocks (low, high) that theirs is in."""
+    dealt = members.join(sizes.select(key, F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), key)
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("blocks", "other")
 
 
 def components(links: DataFrame, label: str = "near-components") -> DataFrame:
     """(id, root) for every id in links (a, b), root the least id reachable; alternating large and small stars.
 
-    Each round is two grouped minima and joins on a staged edge table; it ends when a round changes no edge.
+    Both steps keep what is connected; they end once every edge leads straight to the root of its component.
     """
     edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{label}-0")
     k = 0
-    while True:
+    while not _all_stars(edges):
         k += 1
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small_least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = staged(small, f"{label}-{k}")
-        same = after.count() == edges.count() and after.join(edges, ["u", "v"], "left_anti").isEmpty()
-        edges = after
-        if same:
-            break
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
-
-
-def _crossing(key: tuple, table: pa.Table) -> pa.Table:
-    """Within a part of a bucket: promising pairs of the part's outsiders with all members of other components."""
-    cid, comp, n = (np.array(table[c].to_pylist()) for c in ("cid", "comp", "n"))
-    registers = _unpack(table["sketch"].to_pylist())
-    low, high = [], []
-    for i in np.flatnonzero(table["outsider"].to_pylist()):
-        for at in range(0, len(cid), 8192):
-            j = np.arange(at, min(at + 8192, len(cid)))
-            j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i]))]
-            if len(j):
-                j = j[estimates(registers[j], np.broadcast_to(registers[i], (len(j), BUCKETS)), n[j], np.full(len(j), n[i])) >= LEAST_ESTIMATE]
-                low += np.minimum(cid[j], cid[i]).tolist()
-                high += np.maximum(cid[j], cid[i]).tolist()
-    return pa.table({"lead": pa.array(low, pa.int64()), "cid": pa.array(high, pa.int64())})
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
+        edges = staged(small.where("u <> v").distinct(), f"{label}-{k}")
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether no id has two edges to lesser ids, or one to a lesser and one from a greater id."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down = 1 and up = 1)").isEmpty()
 
 
 def _class_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -241,49 +252,16 @@ def _class_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     made = made.join(signed.select("row_id", "sketch"), "row_id")
     classes = staged(made.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
     keyed = map_rows(classes.select("cid", "sketch"), "cid long, keys array<long>", _banded).select("cid", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("cid").alias("lead"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    buckets = staged(keyed.join(shared, "key"), "near-buckets")
-    check = _Verifier(texts.select("row_id", "text"), classes)
-    pairs = buckets.where("cid <> lead").select("lead", "cid").distinct()
-    links = check.links(check.promising(pairs), "1")
-    roots = staged(components(links), "near-roots-1")
-    for star in range(2, 2 + STARS):
-        open_buckets = _open(buckets, roots)
-        if open_buckets.isEmpty():
-            return signed, classes, roots
-        # the centre of a star of this round: a class chosen by another order, so another of the bucket's classes
-        by = F.struct(F.xxhash64(F.lit(star), "cid").alias("h"), "cid", "comp")
-        centres = open_buckets.groupBy("key").agg(F.min(by).alias("centre"))
-        pairs = (
-            open_buckets.join(centres, "key").where("comp <> centre.comp")
-            .select(F.col("centre.cid").alias("x"), "cid").select(F.least("x", "cid").alias("lead"), F.greatest("x", "cid").alias("cid")).distinct()
-        )
-        more = check.links(check.promising(pairs), str(star))
-        if not more.isEmpty():
-            links = links.union(more)
-            roots = staged(components(links, f"near-components-{star}"), f"near-roots-{star}")
-    # What is still apart: outsiders of each bucket's first component against all its members, split by outsiders.
-    open_buckets = _open(buckets, roots)
-    if not open_buckets.isEmpty():
-        sizes = open_buckets.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
-        main = sizes.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("main"), F.sum("k").alias("all")).select("key", F.col("main.comp").alias("main"), F.ceil((F.col("all") - F.col("main.k")) / BLOCK).cast("int").alias("parts"))
-        spread = open_buckets.join(main, "key").withColumn("out", F.col("comp") != F.col("main"))
-        # each outsider leads in one part; every member is present in every part of its bucket
-        spread = spread.withColumn("home", F.pmod(F.xxhash64("cid"), F.col("parts"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        spread = spread.withColumn("outsider", F.col("out") & (F.col("home") == F.col("part")))
-        spread = spread.join(classes.select("cid", F.col("n_shingles").alias("n"), "sketch"), "cid")
-        crossing = spread.select("key", "part", "cid", "comp", "n", "sketch", "outsider").groupBy("key", "part").applyInArrow(_crossing, "lead long, cid long").distinct()
-        more = check.links(crossing, "rest")
-        if not more.isEmpty():
-            roots = staged(components(links.union(more), "near-components-rest"), "near-roots-rest")
-    return signed, classes, roots
-
-
-def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (key, cid, comp) of buckets that hold more than one component."""
-    named = buckets.select("key", "cid").join(roots.select(F.col("id").alias("cid"), "root"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("comp"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return named.join(mixed, "key", "left_semi")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    sketches = classes.select("cid", F.col("n_shingles").alias("n"), "sketch")
+    buckets = staged(_in_blocks(keyed, "key", shared), "near-buckets").join(sketches, "cid")
+    edges = buckets.groupBy("key", "low", "high").applyInArrow(_family_edges, "a long, b long")
+    families = staged(components(edges, "near-families"), "near-members")
+    sizes = families.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+    placed = _in_blocks(families.withColumnRenamed("id", "cid"), "root", sizes).join(classes.select("cid", "row_id"), "cid")
+    members = texts.select("row_id", "text").join(placed, "row_id")
+    links = members.select("root", "low", "high", "block", "cid", "text").groupBy("root", "low", "high").applyInArrow(_family_links, "a long, b long")
+    return signed, classes, staged(components(links, "near-links"), "near-roots")
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
