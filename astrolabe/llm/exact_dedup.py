@@ -1,9 +1,10 @@
 """Exact dedup by skew-safe combining.
 
-Texts are equal when identical after each run of white space became one space. A first pass over digests
-finds those that occur more than once; only their texts travel. Those are deduplicated within each map task
-(partial aggregation), merged within salted digest groups, and the salt winners combined globally. Every one
-of these steps groups by (digest, whole normalised text), so two texts that share a digest never merge.
+Texts are equal when identical after each run of white space became one space. They are deduplicated within each map
+task (partial aggregation), merged within salted digest groups, and the salt winners combined globally. Each of these
+steps groups by the digest and the whole normalised text, so texts that share a digest never merge. Only hot digests,
+found by a first count over digests, have more than one salt; the others are complete after the merge, and only the winners of
+hot ones travel a second time.
 
 Defined results: a null text counts as empty; empty texts are equal to each other; null doc_ids come after all
 others; of repeated rows (same doc_id, same text) exactly one is kept; an empty table gives an empty table;
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, fresh, staged, text_or_empty, with_row_id
 
-#: A digest group is merged in so many parts before its winners meet.
-SALTS = 32
+#: A hot digest group is merged in so many parts before its winners meet. Hot is a group of HOT_ROWS rows and of
+#: one in MOST_HOT of all rows, so that there are MOST_HOT such groups at most.
+SALTS, HOT_ROWS, MOST_HOT = 256, 1000, 10_000
 
 
 def normalised(text: Column) -> Column:
@@ -26,46 +28,37 @@ def normalised(text: Column) -> Column:
 
 
 def _decisions(docs: DataFrame, salts: int) -> DataFrame:
-    """row_id, doc_id, digest, keep_id, keep_row, group_size for every row."""
+    """row_id, doc_id, digest, keep_id, group_size, kept for every row."""
     texts = with_row_id(docs.select("doc_id", text_or_empty().alias("text")), "row_id").select("row_id", "doc_id", normalised(F.col("text")).alias("norm"))
-    texts = texts.withColumn("digest", F.unhex(F.sha2("norm", 256)))
-    slim = staged(texts.select("row_id", "doc_id", "digest"), "exact-digests")
-    repeated = slim.groupBy("digest").count().where("count > 1").select("digest")
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")
-    salted = (
-        texts.join(repeated, "digest", "left_semi")
-        .groupBy("digest", "norm", F.pmod(F.xxhash64("row_id"), F.lit(salts)).alias("salt"))
-        .agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n"))
-    )
-    winners = salted.groupBy("digest", "norm").agg(F.min("best").alias("best"), F.sum("n").alias("group_size"))
-    winners = staged(winners.select("digest", F.xxhash64(F.lit(7), "norm").alias("second"), F.md5(F.col("norm").cast("binary")).alias("third"), "best", "group_size"), "exact-winners")
-    clash = winners.groupBy("digest").count().where("count > 1").select("digest")
-    flat = winners.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row_id").alias("keep_row"), "group_size")
-    if clash.isEmpty():
-        return slim.join(flat, "digest", "left")
-    # Different texts with one SHA-256: tell them apart by two further hashes of the whole text.
-    told = texts.select("row_id", F.xxhash64(F.lit(7), "norm").alias("second"), F.md5(F.col("norm").cast("binary")).alias("third"), "digest").join(clash, "digest", "left_semi").drop("digest")
-    more = winners.select("digest", "second", "third", F.col("best.doc_id").alias("keep_id"), F.col("best.row_id").alias("keep_row"), "group_size")
-    return slim.join(flat.join(clash, "digest", "left_anti"), "digest", "left").join(told, "row_id", "left_anti").unionByName(
-        slim.join(told, "row_id").join(more, ["digest", "second", "third"]).drop("second", "third")
-    )
+    texts = texts.withColumn("digest", F.unhex(F.sha2("norm", 256))).withColumn("other", F.unhex(F.md5(F.col("norm").cast("binary"))))
+    slim = staged(texts.select("row_id", "doc_id", "digest", "other"), "exact-digests")
+    least = max(HOT_ROWS, slim.count() // MOST_HOT)
+    # MOST_HOT digests at most
+    hot = slim.groupBy("digest").count().where(F.col("count") >= least).select("digest", F.lit(salts).alias("salts"))
+    dealt = texts.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.pmod(F.xxhash64("row_id"), F.coalesce("salts", F.lit(1))))
+    merged = dealt.groupBy("digest", "other", "norm", "salts", "salt").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    again = F.when(F.col("salts").isNotNull(), F.col("norm")).alias("content")
+    winners = merged.select("digest", "other", again, "keep_id", "n").groupBy("digest", "other", "content").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    winners = staged(winners.drop("content"), "exact-winners")
+    if not winners.groupBy("digest", "other").count().where("count > 1").isEmpty():
+        raise ValueError("different texts share both their SHA-256 and their MD5")
+    # rows that repeat an id within a group; none in a table of unique ids
+    repeated = slim.groupBy("digest", "doc_id").agg(F.min("row_id").alias("first_row"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    repeated = repeated.select(F.col("digest").alias("same_digest"), F.col("doc_id").alias("same_id"), "first_row")
+    named = slim.join(winners, ["digest", "other"]).join(repeated, (F.col("digest") == F.col("same_digest")) & F.col("doc_id").eqNullSafe(F.col("same_id")), "left")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.coalesce(F.col("row_id") == F.col("first_row"), F.lit(True))
+    return named.select("row_id", "doc_id", "digest", "keep_id", "group_size", kept.alias("kept"))
 
 
 def duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    return _decisions(docs, salts).select(
-        "doc_id",
-        F.when(F.col("keep_row").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.coalesce(F.col("row_id") == F.col("keep_row"), F.lit(True)).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    return _decisions(docs, salts).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The documents that stay, with all their columns. docs must read the same files in every pass."""
     row = fresh(docs, "row_id")
-    gone = _decisions(docs, salts).where("row_id <> keep_row").select(F.col("row_id").alias(row))
+    gone = _decisions(docs, salts).where("not kept").select(F.col("row_id").alias(row))
     return with_row_id(docs, row).join(gone, row, "left_anti").select(*[docs_column(docs, c) for c in docs.columns])
 
 
