@@ -36,7 +36,7 @@ def features(texts: list[str]) -> list[list[float]]:
         words, chars = c["n_words"][k], max(1, c["word_chars"][k])
         some = max(1, words)
         lines = t.count("\n") + 1
-        capital = sum(map(str.isupper, t)) if len(t) < 4096 else sum(map(str.isupper, t[::7])) * 7
+        capital = sum(map(str.isupper, t))
         out.append([
             math.log1p(words), math.sqrt(c["n_symbols"][k] / chars), c["n_repeat_words"][k] / some, c["n_dup_lines"][k] / lines,
             min(20.0, chars / some), min(1.0, capital / chars), float(words < 50), (t.count("!") + t.count("|")) / some,

@@ -401,6 +401,14 @@ def test_site_quality(spark):
     assert site_quality.judge(docs.limit(0), site_quality.fit(docs.limit(0), no_labels(spark))).collect() == []
 
 
+@pytest.mark.parametrize("n", [4000, 4095, 4096, 9000])
+def test_capitals_are_counted_over_the_whole_text(n):
+    for step in (2, 7):
+        for at in range(7):
+            t = "".join("A" if k % step == at % step else "b" for k in range(n))
+            assert site_quality.features([t])[0][5] == t.count("A") / n
+
+
 def test_sparse_sites_shrink_toward_the_rest(spark):
     good = " ".join(f"word{k} next{k * k} then" for k in range(40))
     bad = "x### y*** z$$$ " * 60
