@@ -1,7 +1,8 @@
 """Language identification as inference of a mixture.
 
 For each language a character n-gram model (orders 1 to 3, interpolated) is learned from labelled texts. A word's
-likelihood in a language is that of its letters. Expectation-maximisation then estimates each document's language
+likelihood in a language is that of its letters, all of them; a run of more than LONGEST letters is judged as consecutive
+pieces, each of which knows the two letters before it. Expectation-maximisation then estimates each document's language
 proportions from the likelihoods of its words; the language set is chosen by penalised likelihood: languages are
 dropped, smallest share first, as long as the penalised log-likelihood (half the log of the number of words for each language)
 does not fall. The prediction is the language of the largest share.
@@ -30,6 +31,8 @@ UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 MOST_LANGUAGES = 1000
 ROUNDS = 20
+#: Longer runs of letters are judged in pieces of so many.
+LONGEST = 64
 _KEPT_WORDS = 300_000
 
 
@@ -54,8 +57,16 @@ def _counted():
     return work
 
 
+def pieces(word: str) -> list[str | tuple[str, str]]:
+    """A word as it is; a run of more than LONGEST letters as (letters before, letters) of consecutive pieces."""
+    if len(word) <= LONGEST:
+        return [word]
+    x = f"\x02{word}\x03"
+    return [(x[max(0, k - 2) : k], x[k : k + LONGEST]) for k in range(1, len(x), LONGEST)]
+
+
 class Model:
-    """Log-likelihood of a word in each language, remembered for words seen."""
+    """Log-likelihood of a word or piece in each language, remembered for those seen."""
 
     def __init__(self, langs: list[str], counts: dict[str, np.ndarray]):
         self.langs, self.counts = langs, counts
@@ -64,7 +75,7 @@ class Model:
         self.alphabet = max(1, len(letters))
         self.zero = np.zeros(len(langs))
         self.grams: dict[str, np.ndarray] = {}
-        self.ids: dict[str, int] = {}
+        self.ids: dict[str | tuple[str, str], int] = {}
         self.rows: list[np.ndarray] = []
         self.table = np.empty((0, len(langs)))
 
@@ -80,7 +91,7 @@ class Model:
             got = self.grams[before + letter] = np.log(p)
         return got
 
-    def likelihoods(self, words: list[str]) -> np.ndarray:
+    def likelihoods(self, words: list[str | tuple[str, str]]) -> np.ndarray:
         ids = self.ids
         try:
             at = [ids[w] for w in words]
@@ -91,8 +102,9 @@ class Model:
             for w in dict.fromkeys(words):
                 if w not in ids:
                     ids[w] = len(self.rows)
-                    x = f"\x02{w[:64]}\x03"
-                    self.rows.append(sum((self._letter(x[max(0, k - 2) : k], x[k]) for k in range(1, len(x))), self.zero))
+                    before, letters = ("\x02", f"{w}\x03") if isinstance(w, str) else w
+                    x = before + letters
+                    self.rows.append(sum((self._letter(x[max(0, k - 2) : k], x[k]) for k in range(len(before), len(x))), self.zero))
             at = [ids[w] for w in words]
         if len(self.table) < len(self.rows):
             grown = np.empty((2 * len(self.rows) + 1024, len(self.langs)))
@@ -174,7 +186,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             words = WORD.findall(text.lower())
             if not langs or not any(c.isalpha() for w in words for c in w):  # a word may be all superscripts
                 return UNDETERMINED, 0.0
-            share = mixture(own.likelihoods(words))
+            share = mixture(own.likelihoods([p for w in words for p in pieces(w)]))
             k = int(share.argmax())
             return langs[k], min(1.0, float(share[k]))
 

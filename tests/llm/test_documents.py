@@ -283,6 +283,18 @@ def test_mixtures_and_texts_without_letters(spark):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
+def test_long_runs_are_judged_by_all_their_letters(spark):
+    texts = ["the and of with from", "der die und nicht das"]
+    model = language_id.fit(table(spark, [t for t in texts for _ in range(20)], langs=[g for g in ("en", "de") for _ in range(20)]))
+    en, de = ("".join(t.split()) for t in texts)
+    for run in (en * 30, "é" * 65, en * 4):
+        x = f"\x02{run}\x03"
+        whole = sum(model._letter(x[max(0, k - 2) : k], x[k]) for k in range(1, len(x)))
+        assert np.allclose(model.likelihoods(language_id.pieces(run)).sum(0), whole)
+    got = {r.doc_id: r for r in language_id.identify(table(spark, [en * 5 + de * 50, de * 5 + en * 50]), model).collect()}
+    assert [got[0].lang_pred, got[1].lang_pred] == ["de", "en"]
+
+
 def test_proportions_settle_on_the_likeliest_set():
     r = np.random.default_rng(0)
     ll = np.where(r.random((400, 1)) < 0.7, [[0.0, -9.0, -4.0]], [[-9.0, 0.0, -4.0]])
