@@ -3,7 +3,7 @@
 A document's set holds the 64-bit hashes of its distinct 5-word shingles (fewer words: the whole sequence as
 one). Documents with one set (128-bit digest of the sorted set, and its size) form a class. A class has one
 sketch: of 128 buckets of the hash space each keeps, of its least hash, the number of leading zeros (6 bits)
-and the next 10 bits. 25 bands of 5 registers give bucket keys; empty registers borrow from the next full one.
+and the next 10 bits. Bands of registers give bucket keys; empty registers borrow from the next full one.
 
 Candidates are never listed as pairs. In each bucket, a union-find over sketches joins classes whose corrected Jaccard
 estimate is promising and hands on a forest, at most one row a member. The connected components of these forests are
@@ -12,7 +12,9 @@ union-find compares classes that are still apart: by the small sketch, by a larg
 on the full sets; again a forest of confirmed links is handed on, whose components are the answer. Families and buckets
 of more than BLOCK members are split into pairs of blocks, so no task holds more than two blocks.
 
-With 25 bands of 5, a pair of similarity 0.85 shares no bucket with probability 4e-7, and less at higher similarity.
+Documents are linked from a similarity of `percent` on (85 by default), a parameter that also sets the size filter, the
+estimates that count as promising, and the bands: 25 of 5 registers at 85, 32 of 4 at 80. A pair at the threshold shares no
+bucket with probability 4e-7 at 85 and 5e-8 at 80, and less at higher similarity.
 
 Defined results: null, empty and blank texts have n_shingles 0 and stand alone; null doc_ids count only where a
 component has no other; repeated rows share a class; an empty table gives an empty table; further columns are
@@ -23,6 +25,7 @@ even where its smallest doc_id is repeated.
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -35,17 +38,31 @@ from .exact_dedup import docs_column
 
 WIDTH = 5
 PERCENT = 85
-BUCKETS, MANTISSA, BANDS, ROWS = 128, 10, 25, 5
+BUCKETS, MANTISSA = 128, 10
 EMPTY = 0xFFFF
 #: The larger sketch is made where the texts are.
 MORE_BUCKETS = 1024
-#: Estimates count as promising from five standard deviations below 0.85 on: of 128 and of 1024 registers.
-LEAST_ESTIMATE, LEAST_CLOSE_ESTIMATE = 0.69, 0.794
+#: A pair at the threshold shares no bucket with at most this probability.
+MOST_MISSED = 1e-6
 BLOCK = 512
 
 _COEFFICIENTS = mix(np.arange(11, 11 + WIDTH, dtype=np.uint64)) | np.uint64(1)
 
 
+def band_shape(percent: int) -> tuple[int, int]:
+    """Bands and registers a band: the longest bands that miss a pair of this similarity by MOST_MISSED at most."""
+    for rows in range(BUCKETS, 1, -1):
+        if (1 - (percent / 100) ** rows) ** (BUCKETS // rows) <= MOST_MISSED:
+            return BUCKETS // rows, rows
+    return BUCKETS, 1
+
+
+def least_estimate(percent: int, registers: int, digits: int) -> float:
+    """From where on estimates count as promising: five standard deviations below the threshold, rounded down."""
+    p = percent / 100
+    return math.floor((p - 5 * math.sqrt(p * (1 - p) / registers)) * 10**digits) / 10**digits
+
+
 def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     out: list[np.ndarray] = []
@@ -85,8 +102,9 @@ def sketch(s: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     return registers
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
-    """BANDS keys of one or more sketches (rows); empty registers take the next full one and its distance."""
+def band_keys(registers: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Keys by band of one or more sketches (rows); empty registers take the next full one and its distance."""
+    bands, rows = band_shape(percent)
     registers = np.atleast_2d(registers)
     full = registers != EMPTY
     n = registers.shape[1]
@@ -95,9 +113,9 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     nearest = np.minimum.accumulate(twice[:, ::-1], 1)[:, ::-1][:, :n]
     far = nearest - np.arange(n)
     values = np.take_along_axis(registers, nearest % n, 1).astype(np.uint64) + far.astype(np.uint64) * np.uint64(65536)
-    values = values[:, : BANDS * ROWS].reshape(len(registers), BANDS, ROWS)
-    keys = np.zeros((len(registers), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
+    values = values[:, : bands * rows].reshape(len(registers), bands, rows)
+    keys = np.zeros((len(registers), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
+    for k in range(rows):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, :, k])
     return keys.view(np.int64)
 
@@ -139,11 +157,14 @@ def _signatures():
     return work
 
 
-def _banded():
-    def work(b: dict[str, list]) -> dict[str, list]:
-        return {"cid": b["cid"], "keys": list(band_keys(_unpack(b["sketch"]))) if b["cid"] else []}
+def _banded(percent: int):
+    def make():
+        def work(b: dict[str, list]) -> dict[str, list]:
+            return {"cid": b["cid"], "keys": list(band_keys(_unpack(b["sketch"]), percent)) if b["cid"] else []}
 
-    return work
+        return work
+
+    return make
 
 
 def _forest(labels: np.ndarray, left: np.ndarray, right: np.ndarray, same_block: bool, linked) -> list[tuple[int, int]]:
@@ -171,22 +192,23 @@ def _blocks(table: pa.Table, key: tuple) -> tuple[np.ndarray, np.ndarray, bool]:
     return np.flatnonzero(block == low), np.flatnonzero(block == high), low == high
 
 
-def _family_edges(key: tuple, table: pa.Table) -> pa.Table:
+def _family_edges(percent: int, key: tuple, table: pa.Table) -> pa.Table:
     """A forest of promising pairs within two blocks of a bucket."""
     cid, n = np.array(table["cid"].to_pylist()), np.array(table["n"].to_pylist())
     registers = _unpack(table["sketch"].to_pylist())
+    least = least_estimate(percent, BUCKETS, 2)
 
     def linked(i: int, js: np.ndarray):
-        js = js[100 * np.minimum(n[js], n[i]) >= PERCENT * np.maximum(n[js], n[i])]
+        js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
         if len(js):
-            js = js[estimates(registers[js], np.broadcast_to(registers[i], (len(js), BUCKETS)), n[js], np.full(len(js), n[i])) >= LEAST_ESTIMATE]
+            js = js[estimates(registers[js], np.broadcast_to(registers[i], (len(js), BUCKETS)), n[js], np.full(len(js), n[i])) >= least]
         return js.tolist()
 
     got = _forest(np.arange(len(cid)), *_blocks(table, key), linked)
     return pa.table({"a": pa.array([int(cid[i]) for i, _ in got], pa.int64()), "b": pa.array([int(cid[j]) for _, j in got], pa.int64())})
 
 
-def _family_links(key: tuple, table: pa.Table) -> pa.Table:
+def _family_links(percent: int, key: tuple, table: pa.Table) -> pa.Table:
     """A forest of confirmed links within two blocks of a family."""
     cid = table["cid"].to_pylist()
     sets = shingle_sets(table["text"].to_pylist())
@@ -194,10 +216,11 @@ def _family_links(key: tuple, table: pa.Table) -> pa.Table:
     small = np.array([sketch(s) for s in sets])
     large = np.array([sketch(s, MORE_BUCKETS) for s in sets])
     labels = np.arange(len(cid))
+    steps = ((small, least_estimate(percent, BUCKETS, 2)), (large, least_estimate(percent, MORE_BUCKETS, 3)))
 
     def linked(i: int, js: np.ndarray):
-        for registers, least in ((small, LEAST_ESTIMATE), (large, LEAST_CLOSE_ESTIMATE)):
-            js = js[100 * np.minimum(n[js], n[i]) >= PERCENT * np.maximum(n[js], n[i])]
+        for registers, least in steps:
+            js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
             if not len(js):
                 return
             e = estimates(registers[js], np.broadcast_to(registers[i], (len(js), registers.shape[1])), n[js], np.full(len(js), n[i]))
@@ -205,13 +228,22 @@ def _family_links(key: tuple, table: pa.Table) -> pa.Table:
         for j in js[np.argsort(-e, kind="stable")].tolist():
             if labels[j] != labels[i]:  # joined meanwhile, through another of its label
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= PERCENT * (n[i] + n[j] - both):
+                if 100 * both >= percent * (n[i] + n[j] - both):
                     yield j
 
     got = _forest(labels, *_blocks(table, key), linked)
     return pa.table({"a": pa.array([cid[i] for i, _ in got], pa.int64()), "b": pa.array([cid[j] for _, j in got], pa.int64())})
 
 
+def _with(grouped, percent: int):
+    """The two-argument function that applyInArrow wants."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        return grouped(percent, key, table)
+
+    return run
+
+
 def _in_blocks(members: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
     """Gives members a block of their group, and one row for each pair of blocks (low, high) that theirs is in."""
     dealt = members.join(sizes.select(key, F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), key)
@@ -244,29 +276,29 @@ def _all_stars(edges: DataFrame) -> bool:
     return ends.groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down = 1 and up = 1)").isEmpty()
 
 
-def _class_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _class_roots(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signatures by row, classes, and (cid, root) of the linked classes."""
     texts = with_row_id(docs.select("doc_id", text_or_empty().alias("text")), "row_id")
     signed = staged(map_rows(texts.select("row_id", "doc_id", "text"), "row_id long, doc_id long, n_shingles long, set_hash binary, sketch binary", _signatures), "near-signatures")
     made = signed.where("n_shingles > 0").groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("least_id"), F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("size"))
     made = made.join(signed.select("row_id", "sketch"), "row_id")
     classes = staged(made.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
-    keyed = map_rows(classes.select("cid", "sketch"), "cid long, keys array<long>", _banded).select("cid", F.explode("keys").alias("key"))
+    keyed = map_rows(classes.select("cid", "sketch"), "cid long, keys array<long>", _banded(percent)).select("cid", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     sketches = classes.select("cid", F.col("n_shingles").alias("n"), "sketch")
     buckets = staged(_in_blocks(keyed, "key", shared), "near-buckets").join(sketches, "cid")
-    edges = buckets.groupBy("key", "low", "high").applyInArrow(_family_edges, "a long, b long")
+    edges = buckets.groupBy("key", "low", "high").applyInArrow(_with(_family_edges, percent), "a long, b long")
     families = staged(components(edges, "near-families"), "near-members")
     sizes = families.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
     placed = _in_blocks(families.withColumnRenamed("id", "cid"), "root", sizes).join(classes.select("cid", "row_id"), "cid")
     members = texts.select("row_id", "text").join(placed, "row_id")
-    links = members.select("root", "low", "high", "block", "cid", "text").groupBy("root", "low", "high").applyInArrow(_family_links, "a long, b long")
+    links = members.select("root", "low", "high", "block", "cid", "text").groupBy("root", "low", "high").applyInArrow(_with(_family_links, percent), "a long, b long")
     return signed, classes, staged(components(links, "near-links"), "near-roots")
 
 
-def _labelled(docs: DataFrame) -> DataFrame:
+def _labelled(docs: DataFrame, percent: int) -> DataFrame:
     """row_id, doc_id, n_shingles, component_id, keep_row for every row."""
-    signed, classes, roots = _class_roots(docs)
+    signed, classes, roots = _class_roots(docs, percent)
     named = classes.join(roots.select(F.col("id").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     totals = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("size").alias("rows")).where("rows > 1")
     groups = named.join(totals, "root").select("set_hash", "n_shingles", "root", "component_id")
@@ -274,16 +306,16 @@ def _labelled(docs: DataFrame) -> DataFrame:
     return slim.join(groups, ["set_hash", "n_shingles"], "left")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
-    out = _labelled(docs).withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = _labelled(docs, percent).withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each component, with all its columns. docs must read the same files in every pass."""
     row = fresh(docs, "row_id")
-    grouped = _labelled(docs).where("root is not null")
+    grouped = _labelled(docs, percent).where("root is not null")
     first = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row_id").alias("keep_row"))
     gone = grouped.join(first, "root").where("row_id <> keep_row").select(F.col("row_id").alias(row))
     return with_row_id(docs, row).join(gone, row, "left_anti").select(*[docs_column(docs, c) for c in docs.columns])

@@ -12,6 +12,9 @@ from astrolabe.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from astrolabe.llm.common import staged
 from astrolabe.llm.queries import TOKENIZER
 
+#: The stage's own similarity; that of op9 is near_dedup.PERCENT.
+NEAR_PERCENT = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar scores 0.5 or more go."""
@@ -25,8 +28,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies one row stays."""
-    return near_dedup.drop_near_duplicates(docs)
+    """Of each component of near copies, of five-word similarity 0.8 or more, one row stays."""
+    return near_dedup.drop_near_duplicates(docs, NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,6 +111,27 @@ def test_bands_and_estimates_of_known_similarity():
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.05
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_similarity_is_a_parameter(spark, percent):
+    r = random.Random(percent)
+    texts, linked = [], []
+    for _ in range(25):
+        base = [f"w{r.randrange(10**6)}" for _ in range(r.randrange(60, 400))]
+        n = len(base) - 4
+        more = round(n / 0.825) - n  # similarity n / (n + more), between 0.80 and 0.85
+        texts += [" ".join(base), " ".join(base + [f"v{r.randrange(10**6)}" for _ in range(more)])]
+        linked.append(100 * n >= percent * (n + more))
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(table(spark, texts), percent).collect()}
+    assert [got[2 * k + 1] == 2 * k for k in range(25)] == linked == [percent == 80] * 25
+    kept = near_dedup.drop_near_duplicates(table(spark, texts), percent).count()
+    assert kept == (25 if percent == 80 else 50)
+
+
+def test_shapes_and_estimates_of_similarities():
+    assert near_dedup.band_shape(85) == (25, 5) and near_dedup.band_shape(80) == (32, 4)
+    assert [near_dedup.least_estimate(p, n, d) for p in (85, 80) for n, d in ((128, 2), (1024, 3))] == [0.69, 0.794, 0.62, 0.737]
+
+
 @pytest.mark.parametrize("block", [2, 512])
 def test_families_in_blocks(spark, monkeypatch, block):
     """Families and buckets larger than a block give the same components."""

@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from astrolabe.llm import toxicity
-from test_dedup import brute_components, exact_groups
+from test_dedup import brute_components, exact_groups, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +26,24 @@ def test_stages_in_order(spark):
     assert sorted(after["near_dedup"]) == near
     assert set(after["mixing"]) <= set(near) and set(after["packing"]) == set(after["mixing"])
     assert corpus_pipeline.run(spark, SF).count() == len(after["packing"])
+
+
+def test_near_stage_drops_copies_of_similarity_080_to_085(spark):
+    base = [f"w{k}" for k in range(104)]
+    texts = [" ".join(base), " ".join(base + [f"v{k}" for k in range(20)]), " ".join(base + [f"u{k}" for k in range(30)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == [0, 2]
+
+
+def test_near_stage_keeps_one_of_each_component_at_080(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    least = {i: i for i in rows}
+    for i in sorted(rows):
+        for j in rows:
+            both = len(rows[i] & rows[j])
+            if j < i and both and 100 * both >= 80 * (len(rows[i]) + len(rows[j]) - both) and least[i] != least[j]:
+                old, new = max(least[i], least[j]), min(least[i], least[j])
+                least = {k: new if v == old else v for k, v in least.items()}
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(least.values()))
