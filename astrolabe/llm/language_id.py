@@ -7,8 +7,8 @@ proportions from the likelihoods of its words; the language set is chosen by pen
 dropped, smallest share first, as long as the penalised log-likelihood (half the log of the number of words for each language)
 does not fall. The prediction is the language of the largest share.
 
-The model is fitted on at most FIT_ROWS labelled rows of each language, chosen by a hash of the id (a parameter), with
-at most FIT_CHARS characters of words from each; every document is then read whole.
+The model is fitted on at most FIT_ROWS labelled rows of each language, chosen by a hash of the id (a parameter), which
+are read whole, as is every document then. Every language that a training row has is learned.
 
 Defined results: null texts and texts without a letter are `und` with score 0; equal shares go to the language first in
 code-point order; with no labelled row every text is `und`; null ids count as an empty text in the hash; repeated rows
@@ -26,21 +26,22 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, remainder, staged, text_or_empty
 
-FIT_ROWS, FIT_CHARS = 1000, 20_000
+FIT_ROWS = 1000
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
-MOST_LANGUAGES = 1000
 ROUNDS = 20
 #: Longer runs of letters are judged in pieces of so many.
 LONGEST = 64
-_KEPT_WORDS = 300_000
+#: Caches hold so many words, or fewer where there are many languages; chosen ids are broadcast up to so many.
+_KEPT_WORDS, _KEPT_VALUES = 300_000, 6_000_000
+_MOST_BROADCAST = 1_000_000
 
 
 def _counted():
     def work(b: dict[str, list]) -> dict[str, list]:
         by: dict[str, Counter] = {}
         for lang, text in zip(b["lang"], b["text"], strict=True):
-            count, size = by.setdefault(lang, Counter()), 0
+            count = by.setdefault(lang, Counter())
             for w in WORD.findall(text.lower()):
                 w = f"\x02{w}\x03"
                 for k in range(1, len(w)):
@@ -48,9 +49,6 @@ def _counted():
                     count[w[k]] += 1
                     if k > 1:
                         count[w[k - 1 : k + 1]] += 1
-                size += len(w)
-                if size > FIT_CHARS:
-                    break
         rows = [(lang, g, n) for lang, c in by.items() for g, n in c.items()]
         return {"lang": [r[0] for r in rows], "gram": [r[1] for r in rows], "n": [r[2] for r in rows]}
 
@@ -68,26 +66,37 @@ def pieces(word: str) -> list[str | tuple[str, str]]:
 class Model:
     """Log-likelihood of a word or piece in each language, remembered for those seen."""
 
-    def __init__(self, langs: list[str], counts: dict[str, np.ndarray]):
-        self.langs, self.counts = langs, counts
-        letters = [c for g, c in counts.items() if len(g) == 1]
-        self.total = sum(letters, np.zeros(len(langs)))
-        self.alphabet = max(1, len(letters))
+    def __init__(self, langs: list[str], counts: dict[str, dict[int, int]]):
+        self.langs, self.counts = langs, counts  # by gram: number of a language -> count
         self.zero = np.zeros(len(langs))
+        letters = [g for g in counts if len(g) == 1]
+        self.total = sum(map(self._count, letters), self.zero)
+        self.alphabet = max(1, len(letters))
+        self.kept = max(1, min(_KEPT_WORDS, _KEPT_VALUES // max(1, len(langs))))
         self.grams: dict[str, np.ndarray] = {}
         self.ids: dict[str | tuple[str, str], int] = {}
         self.rows: list[np.ndarray] = []
         self.table = np.empty((0, len(langs)))
 
+    def _count(self, gram: str) -> np.ndarray:
+        seen = self.counts.get(gram)
+        if not seen:
+            return self.zero
+        out = np.zeros(len(self.langs))
+        out[list(seen)] = list(seen.values())
+        return out
+
     def _letter(self, before: str, letter: str) -> np.ndarray:
         got = self.grams.get(before + letter)
         if got is None:
-            c = self.counts.get
-            p = (c(letter, self.zero) + 0.5) / (self.total + 0.5 * (self.alphabet + 1))
+            c = self._count
+            p = (c(letter) + 0.5) / (self.total + 0.5 * (self.alphabet + 1))
             for k in range(1, len(before) + 1):
                 context = before[-k:]
-                seen = c(context, self.zero)
-                p = (c(context + letter, self.zero) + 4 * p) / (np.maximum(seen, c(context + letter, self.zero)) + 4)
+                seen, both = c(context), c(context + letter)
+                p = (both + 4 * p) / (np.maximum(seen, both) + 4)
+            if len(self.grams) > self.kept:
+                self.grams.clear()
             got = self.grams[before + letter] = np.log(p)
         return got
 
@@ -96,7 +105,7 @@ class Model:
         try:
             at = [ids[w] for w in words]
         except KeyError:
-            if len(ids) > _KEPT_WORDS:
+            if len(ids) > self.kept:
                 ids.clear()
                 self.rows, self.table, self.filled = [], self.table[:0], 0
             for w in dict.fromkeys(words):
@@ -156,22 +165,23 @@ def mixture(ll: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Learns from rows with a language whose crc32(doc_id) modulo 5 is not 0."""
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang")).where("lang is not null").where(remainder("doc_id", 5) != 0)
-    langs = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
-    total = {r.lang: r["count"] for r in rows.where(F.col("lang").isin(langs)).groupBy("lang").count().collect()} if langs else {}
+    sizes = staged(rows.groupBy("lang").count(), "language-sizes")
+    langs = sorted(r.lang for r in sizes.select("lang").collect())  # one row a language
     if not langs:
         return Model([], {})
     # a hash threshold for each language that about twice fit_rows rows pass, then exactly the first fit_rows
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    bound = F.create_map(*[x for g in langs for x in (F.lit(g), F.lit(2.0 * fit_rows / total[g]))])
-    near = rows.where(unit <= F.element_at(bound, F.col("lang"))).dropDuplicates(["doc_id"])
+    bounds = sizes.select("lang", (F.lit(2.0 * fit_rows) / F.col("count")).alias("bound"))
+    near = rows.join(F.broadcast(bounds), "lang").where(unit <= F.col("bound")).select("doc_id", "lang").dropDuplicates(["doc_id"])
     first = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(unit, "doc_id"))).where(F.col("k") <= fit_rows).select("doc_id")
     texts = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text")).where("lang is not null")
-    sample = texts.join(F.broadcast(first), "doc_id")  # at most fit_rows ids a language
+    # at most fit_rows ids a language
+    sample = texts.join(F.broadcast(first) if fit_rows * len(langs) <= _MOST_BROADCAST else first, "doc_id")
     counts = map_rows(sample.select("lang", "text"), "lang string, gram string, n long", _counted).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    # single letters, their pairs and triples within 20 MB of text a language at most
+    # single letters, their pairs and triples within fit_rows texts a language
     index, table = {g: i for i, g in enumerate(langs)}, {}
     for r in staged(counts, "language-grams").where(F.length("gram") <= 3).collect():
-        table.setdefault(r.gram, np.zeros(len(langs)))[index[r.lang]] = r.n
+        table.setdefault(r.gram, {})[index[r.lang]] = r.n
     return Model(langs, table)
 
 

@@ -295,6 +295,17 @@ def test_long_runs_are_judged_by_all_their_letters(spark):
     assert [got[0].lang_pred, got[1].lang_pred] == ["de", "en"]
 
 
+def test_fit_reads_whole_texts_and_every_language(spark):
+    r = random.Random(3)
+    code = lambda k: "".join(chr(97 + k // 26**i % 26) for i in (0, 1, 2))
+    ids = [k for k in range(2000) if zlib.crc32(str(k).encode()) % 5][:1050]
+    langs = [code(k) for k in range(len(ids))]
+    texts = [code(r.randrange(26**3)) for _ in ids]
+    texts[0] = "word " * 5000 + "zqzq"
+    model = language_id.fit(table(spark, texts, ids=ids, langs=langs))
+    assert model.langs == sorted(langs) and model.counts["\x02zq"][model.langs.index(langs[0])] == 1
+
+
 def test_proportions_settle_on_the_likeliest_set():
     r = np.random.default_rng(0)
     ll = np.where(r.random((400, 1)) < 0.7, [[0.0, -9.0, -4.0]], [[-9.0, 0.0, -4.0]])
