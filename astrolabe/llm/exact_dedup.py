@@ -37,9 +37,11 @@ def _decisions(docs: DataFrame, salts: int) -> DataFrame:
     hot = slim.groupBy("digest").count().where(F.col("count") >= least).select("digest", F.lit(salts).alias("salts"))
     dealt = texts.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.pmod(F.xxhash64("row_id"), F.coalesce("salts", F.lit(1))))
     merged = dealt.groupBy("digest", "other", "norm", "salts", "salt").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    # the content meets again only where it is hot; any other row holds a whole text already and merges with no other
     again = F.when(F.col("salts").isNotNull(), F.col("norm")).alias("content")
-    winners = merged.select("digest", "other", again, "keep_id", "n").groupBy("digest", "other", "content").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    winners = staged(winners.drop("content"), "exact-winners")
+    whole = F.when(F.col("salts").isNull(), F.monotonically_increasing_id()).alias("whole")
+    winners = merged.select("digest", "other", again, whole, "keep_id", "n").groupBy("digest", "other", "content", "whole").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    winners = staged(winners.drop("content", "whole"), "exact-winners")
     if not winners.groupBy("digest", "other").count().where("count > 1").isEmpty():
         raise ValueError("different texts share both their SHA-256 and their MD5")
     # rows that repeat an id within a group; none in a table of unique ids

@@ -173,6 +173,18 @@ def test_exact_duplicates_match_brute_force(spark, monkeypatch, hot):
             assert (got[k].keep_id, got[k].group_size, got[k].kept) == (members[0], len(members), k == members[0])
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_texts_of_one_digest_never_merge(spark, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(exact_dedup, "HOT_ROWS", 2)
+    lit = exact_dedup.F.lit
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda *_: lit("ab" * 32))
+    monkeypatch.setattr(exact_dedup.F, "md5", lambda *_: lit("cd" * 16))
+    assert {r.group_size for r in exact_dedup.duplicates(table(spark, ["a", "a"])).collect()} == {2}
+    with pytest.raises(ValueError):
+        exact_dedup.duplicates(table(spark, ["a", "b"]))
+
+
 def test_exact_repeated_and_null_ids(spark):
     ids, texts = [5, 5, 5, None, None, None, 2], ["a", "a", "b", "a", "c", "c", "d"]
     docs = table(spark, texts, ids)
