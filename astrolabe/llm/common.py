@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +34,35 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors."""
+#: Paths of tables that open scopes delete when they end, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
+def staged(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    The files go when the innermost scope ends; with keep, when the one around it does.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/astrolabe/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if len(_SCOPES) > keep:
+        _SCOPES[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end, but for those to keep: stage the result so."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have, in any case."""
     have = {c.lower() for c in df.columns}
@@ -49,9 +71,39 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """Numbers the rows. The numbers are the same in every pass over the same files; stage anything else first."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+def numbered(df: DataFrame, name: str, label: str) -> DataFrame:
+    """A stored copy of df with its rows numbered once. Numbers that are drawn again in a later pass may differ, as
+    file splits depend on the cores that are there at the time; those of the copy are facts."""
+    return staged(df.withColumn(name, F.monotonically_increasing_id()), label)
+
+
+#: A key is hot if it has HOT_ROWS rows and one in MOST_HOT of all rows, so there are MOST_HOT hot keys at most.
+HOT_ROWS, MOST_HOT = 1000, 10_000
+
+
+def hot_least(rows: int) -> int:
+    """From how many rows on a key is hot, in a table of so many rows."""
+    return max(HOT_ROWS, rows // MOST_HOT)
+
+
+def skew_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined to a table of unique, non-null keys, whose column `count` bounds how many rows a key has.
+
+    Rows of hot keys meet a broadcast of those keys alone, MOST_HOT rows at most, where they are; rows with a null key meet
+    nothing; only the others shuffle. `how` is inner or left.
+    """
+    keys = list(keys)
+    least = hot_least(total)
+    mark = fresh(rows, "hot_key")
+    few = F.broadcast(table.where(F.col(count) >= least))
+    known = rows.dropna(subset=keys).join(few.select(*keys, F.lit(True).alias(mark)), keys, "left")
+    hot = known.where(F.col(mark)).drop(mark).join(few, keys)
+    rest = known.where(F.col(mark).isNull()).drop(mark).join(table.where(F.col(count) < least), keys, how)
+    out = hot.unionByName(rest)
+    if how == "left":
+        bare = rows.where(" or ".join(f"`{k}` is null" for k in keys))
+        out = out.unionByName(bare, allowMissingColumns=True)
+    return out
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -145,6 +197,43 @@ def word_hashes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_chunks(column: pa.Array, size: int = CHUNK_BYTES >> 3) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Hashes of the words of a column of texts, A-Z lower-cased, without a Python object for any text.
+
+    Yields, for consecutive texts of about `size` bytes, the index of the first, the hashes, and the bounds of each
+    text among them.
+    """
+    column = column.cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    n = len(column)
+    if not n:
+        return
+    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1]
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    at = 0
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + size, "right")) - 1)
+        raw = _LOWER[whole[bounds[at] : bounds[end]]]
+        edges = bounds[at : end + 1] - bounds[at]
+        space = _IS_SPACE[raw]
+        cut = np.zeros(len(raw) + 1, bool)
+        cut[edges] = True
+        starts = np.flatnonzero(~space & (np.concatenate(([True], space))[: len(raw)] | cut[:-1]))
+        ends = np.flatnonzero(~space & (np.concatenate((space, [True]))[1:] | cut[1:])) + 1 if len(raw) else starts
+        powers, inverse = _powers(len(raw))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTE_CODES[raw] * powers[: len(raw)], out=sums[1:])
+        hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        yield at, hashes, np.searchsorted(starts, edges)
+        at = end
+
+
 def chunks(texts: list[bytes]) -> Iterator[tuple[int, bytes, np.ndarray]]:
     """Joins consecutive texts to chunks: index of the first text, the chunk, and the bounds of its texts."""
     at = 0

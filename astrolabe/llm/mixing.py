@@ -7,13 +7,14 @@ stretch of ranks holds like sizes; the expected copies are prefix-summed along t
 added, and a document is emitted once for every whole number that its stretch of the sum crosses. With rates of at
 most CAP, none is emitted more than CAP times.
 
-Ranks come from a range partitioning by (source, size, row) and the number of rows of each source in each
+Ranks come from a range partitioning by (source, size, doc_id, row) and the number of rows of each source in each
 partition, so a hot source spreads over many tasks. The random offset is a hash of the seed and the source, so
-reruns agree.
+reruns agree. Rows are numbered once, in a stored copy that all later passes read.
 
 Defined results: a null source is a source of its own, last in order; null texts have size 0; a source without
-words takes nothing and its target is 0; repeated rows are sampled each on their own; an empty table gives an
-empty table; further columns are ignored by `mix_sizes` and carried along by `mix_documents`.
+words takes nothing and its target is 0; like sizes are ranked by doc_id, nulls first, then by row; repeated rows are
+sampled each on their own; an empty table gives an empty table; further columns are ignored by `mix_sizes` and carried
+along by `mix_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, staged, text_or_empty, with_row_id
+from .common import SPACE, fresh, numbered, scope, staged, text_or_empty
 from .exact_dedup import docs_column
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, 20
@@ -66,36 +67,40 @@ def _targets(sizes: DataFrame, weights: Sequence[float], cap: float) -> DataFram
     )
 
 
-def _copies(docs: DataFrame, weights: Sequence[float], cap: float, seed: int) -> DataFrame:
-    """row_id, doc_id, size, source_size, target, copies for every row."""
-    rows = with_row_id(docs.select("doc_id", F.col("source").cast("string").alias("source"), text_or_empty().alias("text")), "row_id")
-    sizes = staged(rows.select("row_id", "doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
-    targets = staged(_targets(sizes, weights, cap), "mix-targets")
-    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = sizes.withColumn("key", key).repartitionByRange(n, "key", "size", "row_id")
-    # staged, so that the partition of a row is a stored fact
-    dealt = staged(dealt.withColumn("part", F.spark_partition_id()), "mix-dealt")
-    counts = dealt.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("key", "part", ahead.alias("ahead"))
-    ranked = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("key", "part").orderBy("size", "row_id")))
-    ranked = ranked.join(counts, ["key", "part"]).join(targets.withColumn("key", key).drop("source"), "key")
-    offset = (F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 30)) + F.lit(0.5)) / float(1 << 30)
-    rank = F.col("ahead") + F.col("nth")
-    copies = F.floor(rank * F.col("rate") + offset) - F.floor((rank - 1) * F.col("rate") + offset)
-    return ranked.select("row_id", "doc_id", "size", "source_size", "target", F.least(copies, F.lit(int(cap))).cast("int").alias("copies"))
+def _copies(docs: DataFrame, row: Column, weights: Sequence[float], cap: float, seed: int) -> DataFrame:
+    """row_id, doc_id, size, source_size, target, copies for every row; `row` numbers the rows."""
+    with scope(docs.sparkSession):
+        key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+        rows = docs.select(row.alias("row_id"), "doc_id", F.col("source").cast("string").alias("source"), n_words(text_or_empty()).alias("size"))
+        sizes = staged(rows.withColumn("key", key), "mix-sizes")
+        targets = staged(_targets(sizes, weights, cap), "mix-targets")
+        n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+        order = ("size", "doc_id", "row_id")
+        # staged, so that the partition of a row is a stored fact
+        dealt = staged(sizes.repartitionByRange(n, "key", *order).withColumn("part", F.spark_partition_id()), "mix-dealt")
+        counts = dealt.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+        ahead = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.select("key", "part", ahead.alias("ahead"))
+        ranked = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("key", "part").orderBy(*order)))
+        ranked = ranked.join(counts, ["key", "part"]).join(targets.withColumn("key", key).drop("source"), "key")
+        drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "key").cast("binary")), 1, 8), 16, 10).cast("double")
+        offset = (drawn + F.lit(0.5)) / F.lit(4294967296.0)
+        rank = F.col("ahead") + F.col("nth")
+        copies = F.floor(rank * F.col("rate") + offset) - F.floor((rank - 1) * F.col("rate") + offset)
+        out = ranked.select("row_id", "doc_id", "size", "source_size", "target", F.least(copies, F.lit(int(cap))).cast("int").alias("copies"))
+        return staged(out, "mix-copies", keep=True)
 
 
 def mix_sizes(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies."""
-    return _copies(docs, weights, cap, seed).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    found = _copies(docs, F.monotonically_increasing_id(), weights, cap, seed)
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """The mix: each document as often as it is emitted, with all its columns. docs must read the same files in every pass."""
-    row, times = fresh(docs, "row_id"), fresh(docs, "copies")
-    taken = _copies(docs, weights, cap, seed).where("copies > 0").select(F.col("row_id").alias(row), F.col("copies").alias(times))
-    out = with_row_id(docs, row).join(taken, row)
-    again = fresh(docs, "copy")
-    return out.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[docs_column(docs, c) for c in docs.columns])
+    """The mix: each document as often as it is emitted, with all its columns."""
+    row = fresh(docs, "row_id")
+    rows = numbered(docs, row, "mix-rows")
+    times, again = fresh(rows, "copies"), fresh(rows, "copy")
+    taken = _copies(rows, docs_column(rows, row), weights, cap, seed).where("copies > 0").select(F.col("row_id").alias(row), F.col("copies").alias(times))
+    return rows.join(taken, row).withColumn(again, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[docs_column(docs, c) for c in docs.columns])

@@ -7,19 +7,26 @@ and the next 10 bits. Bands of registers give bucket keys; empty registers borro
 
 Candidates are never listed as pairs. In each bucket, a union-find over sketches joins classes whose corrected Jaccard
 estimate is promising and hands on a forest, at most one row a member. The connected components of these forests are
-families; two linked classes that share a bucket are in one family. Texts travel once, to their family, where another
+families; two linked classes that share a bucket are in one family. Texts travel to their family, where another
 union-find compares classes that are still apart: by the small sketch, by a larger one, and at last by exact counts
-on the full sets; again a forest of confirmed links is handed on, whose components are the answer. Families and buckets
-of more than BLOCK members are split into pairs of blocks, so no task holds more than two blocks.
+on the full sets; again a forest of confirmed links is handed on, whose components are the answer.
+
+A group (bucket or family) of more than BLOCK members is dealt into blocks, each member to one. Links within the blocks
+come first; where they leave a large group in one piece, as for copies of one text, that is all. Else one member of each
+piece is compared with those of the others, and what is still apart after that in full: the largest piece block by
+block with all that is outside it, and that with itself. So what travels grows with the group, and only for members that are
+truly apart with the square of their number over BLOCK. No task holds more than two blocks.
 
 Documents are linked from a similarity of `percent` on (85 by default), a parameter that also sets the size filter, the
 estimates that count as promising, and the bands: 25 of 5 registers at 85, 32 of 4 at 80. A pair at the threshold shares no
 bucket with probability 4e-7 at 85 and 5e-8 at 80, and less at higher similarity.
 
+Rows are numbered once, in a stored copy that all later passes read.
+
 Defined results: null, empty and blank texts have n_shingles 0 and stand alone; null doc_ids count only where a
-component has no other; repeated rows share a class; an empty table gives an empty table; further columns are
-ignored by `near_duplicates` and carried along by `drop_near_duplicates`, which keeps one row of a component
-even where its smallest doc_id is repeated.
+component has no other; texts are compared whole, however long; repeated rows share a class; an empty table gives an empty
+table; further columns, whatever their names, are ignored by `near_duplicates` and carried along by `drop_near_duplicates`,
+which keeps one row of a component, the first stored one, where its smallest doc_id is repeated.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh, map_rows, mix, staged, text_or_empty, with_row_id, word_hashes
+from .common import chunks, fresh, map_rows, mix, numbered, scope, skew_join, staged, text_or_empty, word_hashes
 from .exact_dedup import docs_column
 
 WIDTH = 5
@@ -186,15 +193,22 @@ def _forest(labels: np.ndarray, left: np.ndarray, right: np.ndarray, same_block:
     return out
 
 
-def _blocks(table: pa.Table, key: tuple) -> tuple[np.ndarray, np.ndarray, bool]:
+def _blocks(table: pa.Table, key: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Labels of the members (their pieces so far), the members of both blocks, and whether these are one."""
     low, high = key[1].as_py(), key[2].as_py()
-    block = np.array(table["block"].to_pylist())
-    return np.flatnonzero(block == low), np.flatnonzero(block == high), low == high
+    block = table["block"].to_numpy()
+    labels = np.unique(table["piece"].to_numpy(), return_inverse=True)[1]
+    return labels, np.flatnonzero(block == low), np.flatnonzero(block == high), low == high
+
+
+def _edges(cid: np.ndarray, got: list[tuple[int, int]]) -> pa.Table:
+    at = np.array(got, np.int64).reshape(-1, 2)
+    return pa.table({"a": pa.array(cid[at[:, 0]]), "b": pa.array(cid[at[:, 1]])})
 
 
 def _family_edges(percent: int, key: tuple, table: pa.Table) -> pa.Table:
     """A forest of promising pairs within two blocks of a bucket."""
-    cid, n = np.array(table["cid"].to_pylist()), np.array(table["n"].to_pylist())
+    n = table["n"].to_numpy()
     registers = _unpack(table["sketch"].to_pylist())
     least = least_estimate(percent, BUCKETS, 2)
 
@@ -204,18 +218,16 @@ def _family_edges(percent: int, key: tuple, table: pa.Table) -> pa.Table:
             js = js[estimates(registers[js], np.broadcast_to(registers[i], (len(js), BUCKETS)), n[js], np.full(len(js), n[i])) >= least]
         return js.tolist()
 
-    got = _forest(np.arange(len(cid)), *_blocks(table, key), linked)
-    return pa.table({"a": pa.array([int(cid[i]) for i, _ in got], pa.int64()), "b": pa.array([int(cid[j]) for _, j in got], pa.int64())})
+    return _edges(table["cid"].to_numpy(), _forest(*_blocks(table, key), linked))
 
 
 def _family_links(percent: int, key: tuple, table: pa.Table) -> pa.Table:
     """A forest of confirmed links within two blocks of a family."""
-    cid = table["cid"].to_pylist()
     sets = shingle_sets(table["text"].to_pylist())
     n = np.array([len(s) for s in sets])
     small = np.array([sketch(s) for s in sets])
     large = np.array([sketch(s, MORE_BUCKETS) for s in sets])
-    labels = np.arange(len(cid))
+    labels, *sides = _blocks(table, key)
     steps = ((small, least_estimate(percent, BUCKETS, 2)), (large, least_estimate(percent, MORE_BUCKETS, 3)))
 
     def linked(i: int, js: np.ndarray):
@@ -231,8 +243,7 @@ def _family_links(percent: int, key: tuple, table: pa.Table) -> pa.Table:
                 if 100 * both >= percent * (n[i] + n[j] - both):
                     yield j
 
-    got = _forest(labels, *_blocks(table, key), linked)
-    return pa.table({"a": pa.array([cid[i] for i, _ in got], pa.int64()), "b": pa.array([cid[j] for _, j in got], pa.int64())})
+    return _edges(table["cid"].to_numpy(), _forest(labels, *sides, linked))
 
 
 def _with(grouped, percent: int):
@@ -244,28 +255,69 @@ def _with(grouped, percent: int):
     return run
 
 
-def _in_blocks(members: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
-    """Gives members a block of their group, and one row for each pair of blocks (low, high) that theirs is in."""
-    dealt = members.join(sizes.select(key, F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), key)
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("blocks", "other")
+def _own_block(members: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
+    """Each member in one block of its group; sizes: (key, n)."""
+    block = F.pmod(F.xxhash64("cid"), F.ceil(F.col("n") / BLOCK)).cast("int")
+    dealt = skew_join(members, sizes, ["key"], "n", total).withColumn("block", block)
+    return dealt.select("key", "cid", F.col("cid").alias("piece"), "block", F.col("block").alias("low"), F.col("block").alias("high"))
+
+
+def _across(members: DataFrame, total: int) -> DataFrame:
+    """Pairs of blocks in which all members of unlike pieces of a group meet; members: (key, cid, piece).
+
+    Members outside the largest piece have blocks 0.. of their own; those of the largest have the blocks after them, which
+    meet only the former.
+    """
+    sizes = members.groupBy("key", "piece").agg(F.count(F.lit(1)).alias("n"))
+    groups = sizes.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "piece")).alias("most"), F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
+    up = lambda c: F.ceil(c / BLOCK).cast("int")
+    groups = groups.select("key", "all", F.col("most.piece").alias("main"), up(F.col("most.n")).alias("inner"), up(F.col("all") - F.col("most.n")).alias("outer"))
+    dealt = skew_join(members, groups, ["key"], "all", total).withColumn("apart", F.col("piece") != F.col("main"))
+    block = F.when(F.col("apart"), F.pmod(F.xxhash64("cid"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.xxhash64("cid"), F.col("inner"))).cast("int")
+    last = F.when(F.col("apart"), F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1
+    dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return dealt.select("key", "cid", "piece", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+
+def _joined_groups(members: DataFrame, attach, find, label: str) -> DataFrame:
+    """(id, root) of what find joins within groups; members: (key, cid), attach(dealt) adds what find needs."""
+
+    def edges(dealt: DataFrame, step: str) -> DataFrame:
+        found = attach(dealt).groupBy("key", "low", "high").applyInArrow(find, "a long, b long")
+        return staged(found.where("a <> b"), f"{label}-{step}")
+
+    members = staged(members, f"{label}-placed")
+    sizes, total = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")), members.count()
+    found = edges(_own_block(members, sizes, total), "within")
+    large = sizes.where(F.col("n") > BLOCK).select("key", "n")
+    if large.isEmpty():
+        return components(found, label)
+    large = staged(skew_join(members, large, ["key"], "n", total).select("key", "cid"), f"{label}-large")
+    for step in ("heads", "across"):
+        roots = components(found, label)
+        pieces = staged(large.join(roots.withColumnRenamed("id", "cid"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("piece")), f"{label}-pieces")
+        if step == "heads":
+            pieces = pieces.groupBy("key", "piece").agg(F.min("cid").alias("cid"))
+        found = found.unionByName(edges(_across(pieces, total), step))
+    return components(found, label)
 
 
 def components(links: DataFrame, label: str = "near-components") -> DataFrame:
     """(id, root) for every id in links (a, b), root the least id reachable; alternating large and small stars.
 
-    Both steps keep what is connected; they end once every edge leads straight to the root of its component.
+    Both steps keep what is connected; they end once every edge leads straight to the root of its component. The edges
+    of hubs meet their least neighbour by a broadcast of the hubs alone.
     """
     edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{label}-0")
     k = 0
     while not _all_stars(edges):
         k += 1
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
+        both, total = edges.union(edges.select("v", "u")), 2 * edges.count()
+        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = skew_join(both, least, ["u"], "n", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = staged(large.distinct(), f"{label}-{k}-large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = skew_join(large, least, ["u"], "n", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
         edges = staged(small.where("u <> v").distinct(), f"{label}-{k}")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
@@ -276,46 +328,54 @@ def _all_stars(edges: DataFrame) -> bool:
     return ends.groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down = 1 and up = 1)").isEmpty()
 
 
-def _class_roots(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Signatures by row, classes, and (cid, root) of the linked classes."""
-    texts = with_row_id(docs.select("doc_id", text_or_empty().alias("text")), "row_id")
-    signed = staged(map_rows(texts.select("row_id", "doc_id", "text"), "row_id long, doc_id long, n_shingles long, set_hash binary, sketch binary", _signatures), "near-signatures")
+def _class_roots(texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures by row, classes, and (id, root) of the linked classes; texts: (row_id, doc_id, text), stored."""
+    signed = staged(map_rows(texts, "row_id long, doc_id long, n_shingles long, set_hash binary, sketch binary", _signatures), "near-signatures")
     made = signed.where("n_shingles > 0").groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("least_id"), F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("size"))
     made = made.join(signed.select("row_id", "sketch"), "row_id")
     classes = staged(made.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
-    keyed = map_rows(classes.select("cid", "sketch"), "cid long, keys array<long>", _banded(percent)).select("cid", F.explode("keys").alias("key"))
+    keyed = map_rows(classes.select("cid", "sketch"), "cid long, keys array<long>", _banded(percent)).select(F.explode("keys").alias("key"), "cid")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     sketches = classes.select("cid", F.col("n_shingles").alias("n"), "sketch")
-    buckets = staged(_in_blocks(keyed, "key", shared), "near-buckets").join(sketches, "cid")
-    edges = buckets.groupBy("key", "low", "high").applyInArrow(_with(_family_edges, percent), "a long, b long")
-    families = staged(components(edges, "near-families"), "near-members")
-    sizes = families.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    placed = _in_blocks(families.withColumnRenamed("id", "cid"), "root", sizes).join(classes.select("cid", "row_id"), "cid")
-    members = texts.select("row_id", "text").join(placed, "row_id")
-    links = members.select("root", "low", "high", "block", "cid", "text").groupBy("root", "low", "high").applyInArrow(_with(_family_links, percent), "a long, b long")
-    return signed, classes, staged(components(links, "near-links"), "near-roots")
-
-
-def _labelled(docs: DataFrame, percent: int) -> DataFrame:
-    """row_id, doc_id, n_shingles, component_id, keep_row for every row."""
-    signed, classes, roots = _class_roots(docs, percent)
-    named = classes.join(roots.select(F.col("id").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    totals = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("size").alias("rows")).where("rows > 1")
-    groups = named.join(totals, "root").select("set_hash", "n_shingles", "root", "component_id")
-    slim = signed.select("row_id", "doc_id", "n_shingles", "set_hash")
-    return slim.join(groups, ["set_hash", "n_shingles"], "left")
+    kept = skew_join(keyed, shared, ["key"], "members", classes.count() * band_shape(percent)[0]).select("key", "cid")
+    families = _joined_groups(
+        kept, lambda dealt: dealt.join(sketches, "cid"), _with(_family_edges, percent), "near-families"
+    )
+    families = staged(families.select(F.col("root").alias("key"), F.col("id").alias("cid")), "near-members")
+    rows = classes.select("cid", "row_id")
+    text = texts.select("row_id", "text")
+    links = _joined_groups(families, lambda dealt: text.join(dealt.join(rows, "cid"), "row_id").drop("row_id"), _with(_family_links, percent), "near-links")
+    return signed, classes, staged(links, "near-roots")
+
+
+def _labelled(texts: DataFrame, percent: int) -> DataFrame:
+    """row_id, doc_id, n_shingles, root, component_id for every row."""
+    with scope(texts.sparkSession):
+        signed, classes, roots = _class_roots(texts, percent)
+        named = classes.join(roots.select(F.col("id").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        totals = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("size").alias("rows")).where("rows > 1")
+        groups = named.join(totals, "root").select("set_hash", "n_shingles", "root", "component_id", "size")
+        slim = signed.select("row_id", "doc_id", "n_shingles", "set_hash")
+        out = skew_join(slim, staged(groups, "near-groups"), ["set_hash", "n_shingles"], "size", slim.count(), "left")
+        return staged(out.select("row_id", "doc_id", "n_shingles", "root", "component_id"), "near-labels", keep=True)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
-    out = _labelled(docs, percent).withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    with scope(docs.sparkSession):
+        texts = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), "row_id", "near-texts").select("row_id", "doc_id", "text")
+        out = _labelled(texts, percent).withColumn("component_id", F.coalesce("component_id", "doc_id"))
+        out = out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        return staged(out, "near-answer", keep=True)
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, with all its columns. docs must read the same files in every pass."""
+    """One document of each component, with all its columns."""
     row = fresh(docs, "row_id")
-    grouped = _labelled(docs, percent).where("root is not null")
+    rows = numbered(docs, row, "near-rows")
+    texts = rows.select(docs_column(rows, row).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    grouped = _labelled(texts, percent).where("root is not null")
     first = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row_id").alias("keep_row"))
-    gone = grouped.join(first, "root").where("row_id <> keep_row").select(F.col("row_id").alias(row))
-    return with_row_id(docs, row).join(gone, row, "left_anti").select(*[docs_column(docs, c) for c in docs.columns])
+    # rows that are kept, one a component; all others of a component go
+    gone = grouped.select(F.col("row_id").alias(row)).join(first.select(F.col("keep_row").alias(row)), row, "left_anti")
+    return rows.join(gone, row, "left_anti").select(*[docs_column(docs, c) for c in docs.columns])

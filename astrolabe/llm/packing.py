@@ -7,8 +7,9 @@ that has room, found by walking down a tree whose nodes hold the largest free ca
 
 Only lengths and checksums leave the tokenising tasks; ids are never shuffled.
 
-Defined results: null and empty texts are one end id; very long texts are tokenised whole; repeated rows are packed each on
-their own; an empty table gives an empty table; further columns are ignored.
+Defined results: null and empty texts are one end id; very long texts are tokenised whole; rests of one length go in
+the order of their rows; repeated rows are packed each on their own; an empty table gives an empty table; further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, staged, text_or_empty, with_row_id
+from .common import map_rows, staged, text_or_empty
 
 CAPACITY, END_ID, GROUP = 2048, 1, 4096
 TOKENIZER = "byte_bpe_50k.json"
@@ -143,7 +144,7 @@ def _cut(path: str, capacity: int, end_id: int):
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, group: int = GROUP, seed: int = 8) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    rows = with_row_id(docs.select("doc_id", text_or_empty().alias("text")), "row_id").select("row_id", "doc_id", "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", text_or_empty().alias("text"))
     pieces = staged(map_rows(rows, "row_id long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long", _cut(tokenizer_path, capacity, end_id)).withColumn("piece", F.monotonically_increasing_id()), "packing-pieces")
     full, rest = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
     groups = max(1, -(-rest.count() // group))

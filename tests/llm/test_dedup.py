@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from astrolabe.llm import exact_dedup, near_dedup
+from astrolabe.llm import common, exact_dedup, mixing, near_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_id string, Copies int"
@@ -154,6 +154,57 @@ def test_a_forest_joins_what_is_linked_and_hands_on_no_more():
     assert len({(int(a), b) for a, b in zip(labels, parent, strict=True)}) == len(set(parent)) == 30 - len(got)
 
 
+def test_hot_keys_change_nothing(spark, monkeypatch):
+    """Sets, buckets and hubs that count as hot go by the broadcast of their keys."""
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    texts = corpus(8)[:50] + ["one two three four five six"] * 9
+    got = near_dedup.near_duplicates(table(spark, texts)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(list(range(len(texts))), texts)
+
+
+def test_blocks_of_a_large_group(spark, monkeypatch):
+    """Members of one block meet in it; across, all of unlike pieces do, and rows grow with those outside the largest."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    members = spark.createDataFrame([(1, k, 0 if k < 40 else k) for k in range(43)] + [(2, k, 9) for k in range(20)], "key long, cid long, piece long")
+    rows = near_dedup._across(members, 63).collect()
+    assert {r.key for r in rows} == {1} and len(rows) == 40 + 3 * 11
+    together = {(a.cid, b.cid) for a in rows for b in rows if (a.low, a.high) == (b.low, b.high) and a.piece != b.piece}
+    assert together == {(a, b) for a in range(43) for b in range(43) if a != b and (a >= 40 or b >= 40)}
+
+
+@pytest.fixture
+def shifting(spark, monkeypatch, tmp_path):
+    """A table of many files whose splits, and so the rows' places, differ from one stored table to the next."""
+    texts = corpus(5) + ["w " * k for k in range(30)] + ["same text"] * 5
+    table(spark, texts).repartition(12).write.parquet(str(tmp_path / "documents.parquet"))
+    count, real = [0], common.staged
+
+    def staged(*args, **named):
+        out = real(*args, **named)
+        count[0] += 1
+        spark.conf.set("spark.sql.files.minPartitionNum", [2, 12, 5][count[0] % 3])
+        spark.conf.set("spark.sql.files.maxPartitionBytes", ["128m", "2k", "1m"][count[0] % 3])
+        return out
+
+    for module in (common, exact_dedup, near_dedup, mixing):
+        monkeypatch.setattr(module, "staged", staged)
+    yield spark.read.parquet(str(tmp_path / "documents.parquet")), texts
+    for name in ("minPartitionNum", "maxPartitionBytes"):
+        spark.conf.unset(f"spark.sql.files.{name}")
+
+
+def test_splits_may_change_between_passes(shifting):
+    docs, texts = shifting
+    groups = exact_groups(texts)
+    assert sorted(r.doc_id for r in exact_dedup.drop_duplicates(docs).collect()) == sorted(g[0] for g in groups.values())
+    want = brute_components(list(range(len(texts))), texts)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect()) == want
+    assert sorted(r.doc_id for r in near_dedup.drop_near_duplicates(docs).collect()) == sorted({c for _, _, c in want})
+    copies = {r.doc_id: r.copies for r in mixing.mix_sizes(docs).collect()}
+    mixed = [r.doc_id for r in mixing.mix_documents(docs).collect()]
+    assert sorted(mixed) == sorted(k for k, n in copies.items() for _ in range(n))
+
+
 def exact_groups(texts):
     groups = defaultdict(list)
     for k, t in enumerate(texts):
@@ -164,7 +215,7 @@ def exact_groups(texts):
 @pytest.mark.parametrize("hot", [False, True])
 def test_exact_duplicates_match_brute_force(spark, monkeypatch, hot):
     if hot:  # every repeated text goes the way of hot ones
-        monkeypatch.setattr(exact_dedup, "HOT_ROWS", 2)
+        monkeypatch.setattr(common, "HOT_ROWS", 2)
     texts = corpus() + ["hot text"] * 40 + ["hot\ttext"] * 3
     got = {r.doc_id: r for r in exact_dedup.duplicates(table(spark, texts)).collect()}
     assert len(got) == len(texts)
@@ -176,13 +227,14 @@ def test_exact_duplicates_match_brute_force(spark, monkeypatch, hot):
 @pytest.mark.parametrize("hot", [False, True])
 def test_texts_of_one_digest_never_merge(spark, monkeypatch, hot):
     if hot:
-        monkeypatch.setattr(exact_dedup, "HOT_ROWS", 2)
+        monkeypatch.setattr(common, "HOT_ROWS", 2)
     lit = exact_dedup.F.lit
     monkeypatch.setattr(exact_dedup.F, "sha2", lambda *_: lit("ab" * 32))
     monkeypatch.setattr(exact_dedup.F, "md5", lambda *_: lit("cd" * 16))
     assert {r.group_size for r in exact_dedup.duplicates(table(spark, ["a", "a"])).collect()} == {2}
-    with pytest.raises(ValueError):
-        exact_dedup.duplicates(table(spark, ["a", "b"]))
+    got = exact_dedup.duplicates(table(spark, ["a", "b", "a", "c", "b", "a"], [7, 3, 5, None, 4, 5])).collect()
+    want = [("3", "3", 2, True), ("4", "3", 2, False), ("5", "5", 3, False), ("5", "5", 3, True), ("7", "5", 3, False), ("None", "None", 1, True)]
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in got) == want
 
 
 def test_exact_repeated_and_null_ids(spark):
