@@ -1,286 +1,406 @@
 """Scoring by a probabilistic suffix tree over words.
 
-Contexts are sequences of up to two words that are at least LEAST_CONTEXT of all training tokens (so at most
-1 / LEAST_CONTEXT of each length), over a vocabulary of the VOCABULARY commonest tokens. A context is retained if
-the distribution of what follows it diverges from that of its longest retained suffix by more than chance (a
-log-likelihood ratio test), and keeps explicit probabilities for the symbols that bear the divergence. The rest of
-its mass, smoothed by KAPPA, backs off to the shorter state. The root is the additively smoothed unigram of all
-training tokens. Each token is scored from the longest suffix state of what precedes it.
-
-The tree and the table of the commonest tokens are bounded by these parameters and are broadcast. Counts of all other
-tokens stay distributed: a document's rare tokens meet them in a join on the token. All counts cover all training rows.
+A context of k words is a candidate if it occurs LEAST_CONTEXT times and its suffix of k - 1 words is a state; of its next
+symbols, those that follow it LEAST_PAIR times are weighed. It becomes a state if what follows diverges from what the
+shorter state expects by more than chance (a log-likelihood ratio test), and holds own probabilities for the symbols that
+bear the divergence. The rest of its mass, smoothed by KAPPA, backs off to the shorter state. The root is the additively
+smoothed unigram. The tree grows a word of context at a time until no candidate diverges, with no other bound of depth or
+number of states, so what is gathered grows with the corpus. Each token is scored from the longest state that ends before it.
+
+Scores add up: log P(w | longest state) is log P(w) and, for each longer state of the chain, what it changes: for a symbol of
+its own log P(w | s) - log P(w | shorter state), else its back-off weight. So every n-gram of the tree has one value, and a
+text's score is its base score and the values of its n-grams, whatever their order. Words and n-grams are known by 64-bit
+hashes; counts and values are tables joined on them. Bit maps of fixed size (MAP_BITS) spare the joins most n-grams that
+are in no table; those that pass by chance are dropped by the join. The COMMON tokens and values that are used most are
+broadcast; every other one is found by the join, so these bounds do not change a score.
 
 Defined results: a null or empty text is one end token; null ids count as an empty text in the hash; repeated rows count
-and are scored each; with no training row every token has probability one in V + 1 = 1; an empty table gives an empty
-table; further columns are ignored.
+and are scored each; equal texts have equal scores; with no training row every token has probability one in V + 1 = 1; an
+empty table gives an empty table; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import repeat
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, remainder, staged, text_or_empty
-
-END = b" "
-ALPHA = 0.1
-COMMON, VOCABULARY = 250_000, 10_000
-LEAST_CONTEXT, KAPPA, LEAST_EVIDENCE, MOST_EXPLICIT = 1e-3, 1.0, 8.0, 200_000
-_HELD = 400_000
+from .common import mix, remainder, skew_join, staged, text_or_empty, word_chunks
+
+ALPHA, KAPPA = 0.1, 1.0
+LEAST_CONTEXT, LEAST_PAIR, LEAST_EVIDENCE = 8, 4, 8.0
+COMMON = 1_000_000
+MAP_BITS = 27
+#: Task-wise counts are handed on after so many n-grams.
+HELD = 4_000_000
+#: N-grams that a task counts at once in the first count of pairs, about.
+BUCKET = 2_000_000
+
+END = np.uint64(0x243F6A8885A308D3)
+_NEXT = np.uint64(0x9E3779B97F4A7C15)
+
+
+def token_codes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Index of the first text, hashes of words and end tokens, bounds of the texts, places within texts."""
+    for at, words, first in word_chunks(column):
+        n = np.diff(first)
+        bounds = first + np.arange(len(first))
+        h = np.empty(bounds[-1], np.uint64)
+        inner = np.ones(len(h), bool)
+        inner[bounds[1:] - 1] = False
+        h[inner] = words
+        h[~inner] = END
+        yield at, h, bounds, np.arange(len(h)) - np.repeat(bounds[:-1], n + 1)
+
+
+def longer(codes: np.ndarray, h: np.ndarray, order: int) -> np.ndarray:
+    """Codes of the n-grams of an order that end at each token, from those of the order below; the first have no meaning."""
+    out = np.zeros(len(h), np.uint64)
+    if len(h) > 1:
+        out[1:] = mix(codes[:-1] * _NEXT + h[1:] + np.uint64(order))
+    return out
 
 
-def tokens(text: str) -> list[bytes]:
-    """The words of a text with A-Z lower-cased, and the end token."""
-    out = text.encode("utf-8", "surrogatepass").lower().split()
-    out.append(END)
+def before(x: np.ndarray) -> np.ndarray:
+    """The value at the token before; false or zero at the first."""
+    out = np.zeros_like(x)
+    out[1:] = x[:-1]
     return out
 
 
-def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+def in_map(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    at = codes >> np.uint64(64 - MAP_BITS)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "c"])
-        counts.clear()
+
+def bit_map(codes: DataFrame) -> np.ndarray:
+    """The bit map of the longs in the column `g`: one bit for each value of their first MAP_BITS bits."""
+    at = codes.select(F.shiftrightunsigned("g", 64 - MAP_BITS).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("bits"))
+    table = words.toArrow()  # 2 ** (MAP_BITS - 6) rows at most
+    out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    out[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+class Lookup:
+    """An open-addressing table of distinct codes, probed for whole arrays at once."""
+
+    def __init__(self, codes: np.ndarray):
+        self.bits = max(4, int(len(codes)).bit_length() + 2)
+        self.keys, self.owner = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+        left, at = np.arange(len(codes)), self._home(codes)
+        while len(left):
+            free = self.owner[at] < 0
+            self.owner[at[free]] = left[free]
+            self.keys[at[free]] = codes[left[free]]
+            done = self.owner[at] == left
+            left, at = left[~done], (at[~done] + 1) & (len(self.keys) - 1)
+
+    def _home(self, codes: np.ndarray) -> np.ndarray:
+        return (mix(codes) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The place of each code among those given at first, or -1."""
+        at = self._home(codes)
+        out, live = self.owner[at], np.flatnonzero((self.keys[at] != codes) & (self.owner[at] >= 0))
+        at = at[live]
+        while len(live):
+            at = (at + 1) & (len(self.keys) - 1)
+            out[live] = self.owner[at]
+            on = (self.keys[at] != codes[live]) & (self.owner[at] >= 0)
+            live, at = live[on], at[on]
         return out
 
-    for batch in batches:
-        for text in batch.column("text"):
-            counts.update(tokens(text.as_py()))
-            if len(counts) > _HELD:
-                yield flush()
-    yield flush()
 
+# --- counting -----------------------------------------------------------------------------
 
-@dataclass
-class Tree:
-    """States by code: of contexts, of explicit (context, symbol) pairs, with log10 values."""
 
-    ids: dict[bytes, int] = field(default_factory=dict)  # symbols 1.. by falling count; 0 stands for all others
-    root: np.ndarray = field(default_factory=lambda: np.zeros(1))  # log10 probability of a symbol at the root
-    contexts: int = 0  # symbols 1..contexts can be contexts
-    back: list[dict[int, float]] = field(default_factory=lambda: [{}, {}, {}])  # by depth: context code -> log10 of its back-off
-    explicit: list[dict[int, float]] = field(default_factory=lambda: [{}, {}, {}])  # by depth: pair code -> log10 P(w | s)
+def _passes(make: Callable[[], tuple[Callable, Callable]]):
+    """A map over batches of texts: add(h, place) returns how much it holds, flush() hands it on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        add, flush = make()
+        held = 0
+        for batch in batches:
+            for _, h, _, place in token_codes(batch.column(0)):
+                held += add(h, place)
+                if held > HELD:
+                    yield flush()
+                    held = 0
+        yield flush()
+
+    return run
 
-    @property
-    def base(self) -> int:
-        return len(self.root)
 
-    def arrays(self) -> "Lookup":
-        return Lookup(self)
+def _longs(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns.values()], list(columns))
 
 
-class Lookup:
-    """Sorted arrays of a tree, to score whole texts at once."""
-
-    def __init__(self, tree: Tree):
-        self.tree = tree
-        self.back = [self._sorted(d) for d in tree.back]
-        self.explicit = [self._sorted(d) for d in tree.explicit]
-
-    @staticmethod
-    def _sorted(d: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.array(sorted(d), np.int64)
-        return keys, np.array([d[k] for k in keys.tolist()])
-
-    @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = table
-        if not len(keys):
-            return np.zeros(len(codes), bool), np.zeros(len(codes))
-        at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
-        return keys[at] == codes, values[at]
-
-    def gain(self, s: np.ndarray) -> float:
-        """Sum over the tokens of log10 P(token | longest state) - log10 P(token | root)."""
-        t = self.tree
-        total, settled = 0.0, np.zeros(len(s), bool)
-        own = t.root[s]
-        for depth in (2, 1):
-            if len(s) <= depth or not len(self.back[depth][0]):
-                continue
-            code = np.zeros(len(s) - depth, np.int64)
-            valid = np.ones(len(code), bool)
-            for k in range(depth, 0, -1):
-                part = s[depth - k : len(s) - k]
-                code = code * t.base + part
-                valid &= (part > 0) & (part <= t.contexts)
-            known, back = self._find(self.back[depth], np.where(valid, code, -1))
-            live = np.flatnonzero(known & ~settled[depth:])
-            if not len(live):
-                continue
-            hit, value = self._find(self.explicit[depth], code[live] * t.base + s[depth:][live])
-            hit &= s[depth:][live] > 0
-            total += float((value[hit] - own[depth:][live[hit]]).sum()) + float(back[live[~hit]].sum())
-            settled[depth + live[hit]] = True
-        return total
-
-
-def _symbols(ids: dict[bytes, int], words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(ids.get, words, repeat(0)), np.int64, len(words))
-
-
-def _count_contexts(tree: Tree, depth: int, allowed: np.ndarray):
-    """Counts of (context, next symbol); allowed: sorted codes of the contexts to count."""
+def _count_tokens():
+    held: list[np.ndarray] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flush() -> pa.RecordBatch:
+        g, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
+        held.clear()
+        return _longs(g=g, n=n.astype(np.int64))
+
+    return lambda h, place: held.append(h) or len(h), flush
+
+
+def _cut(codes: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Sorted 48-bit codes by bucket (their first bits), as steps from one to the next, and their counts up to 255."""
+    edges = np.searchsorted(codes, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(48 - bits))
+    full = np.flatnonzero(edges[1:] > edges[:-1])
+    steps, times = [], []
+    for b in full.tolist():
+        part = codes[edges[b] : edges[b + 1]] - (np.uint64(b) << np.uint64(48 - bits))
+        step = np.diff(part, prepend=np.uint64(0))
+        steps.append((step.astype("<u4") if step.max() < 1 << 32 else step.astype("<u8")).tobytes())
+        times.append(counts[edges[b] : edges[b + 1]].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(steps, pa.binary()), pa.array(times, pa.binary())], ["bucket", "steps", "times"])
+
+
+def _count_pairs(bits: int):
+    def make():
         held: list[np.ndarray] = []
-        size = 0
+
+        def add(h: np.ndarray, place: np.ndarray) -> int:
+            held.append(longer(h, h, 2)[place >= 1] >> np.uint64(16))
+            return len(h)
 
         def flush() -> pa.RecordBatch:
-            codes, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64), np.empty(0, np.int64))
+            codes, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(n.astype(np.int64))], ["code", "n"])
+            return _cut(codes, np.minimum(n, 255).astype(np.uint8), bits)
 
-        for batch in batches:
-            for text in batch.column("text"):
-                s = _symbols(tree.ids, tokens(text.as_py()))
-                if len(s) > depth and len(allowed):
-                    code = np.zeros(len(s) - depth, np.int64)
-                    for k in range(depth, 0, -1):
-                        code = code * tree.base + s[depth - k : len(s) - k]
-                    at = np.minimum(np.searchsorted(allowed, code), len(allowed) - 1)
-                    ok = allowed[at] == code
-                    held.append(code[ok] * tree.base + s[depth:][ok])
-                    size += int(ok.sum())
-                if size > 4_000_000:
-                    yield flush()
-                    size = 0
-        yield flush()
+        return add, flush
+
+    return make
+
+
+def _often(bits: int):
+    """Of a bucket of 48-bit codes, the bit map of those counted LEAST_PAIR times, as far as the bucket reaches."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        codes, counts = [], []
+        for step, times in zip(table["steps"].to_pylist(), table["times"].to_pylist(), strict=True):
+            counts.append(np.frombuffer(times, np.uint8))
+            codes.append(np.cumsum(np.frombuffer(step, "<u4" if len(step) == 4 * len(times) else "<u8").astype(np.uint64)))
+        codes, counts = np.concatenate(codes), np.concatenate(counts).astype(np.int64)
+        order = np.argsort(codes)
+        codes, counts = codes[order], counts[order]
+        head = np.flatnonzero(np.diff(codes, prepend=np.uint64(1 << 63)) != 0)
+        often = codes[head][np.add.reduceat(counts, head) >= LEAST_PAIR]
+        marks = np.zeros(1 << (MAP_BITS - bits), bool)
+        marks[(often >> np.uint64(48 - MAP_BITS)).astype(np.int64)] = True
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "marks": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
 
     return run
 
 
-def _grow(tree: Tree, train: DataFrame, depth: int, allowed: np.ndarray) -> np.ndarray:
-    """Adds the states of a depth to the tree; returns the frequent context codes of the next depth."""
-    base = tree.base
-    counts = staged(train.mapInArrow(_count_contexts(tree, depth, allowed), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), f"tree-counts-{depth}")
-    context, symbol = F.floor(F.col("code") / base).cast("long"), F.pmod(F.col("code"), F.lit(base))
-    # allowed holds at most 1 / LEAST_CONTEXT contexts, so these are as many rows at most
-    totals = {r.s: r.n for r in counts.groupBy(context.alias("s")).agg(F.sum("n").alias("n")).collect()}
-    if not totals:
-        return np.empty(0, np.int64)
-    spark = train.sparkSession
-    sums = F.broadcast(spark.createDataFrame(list(totals.items()), "s long, total long"))
-    shorter = F.broadcast(spark.createDataFrame([(k, float(v)) for k, v in enumerate(tree.root)], "w long, root double"))
-    pairs = counts.select(context.alias("s"), symbol.alias("w"), "n").where("w > 0 and n > 1").join(sums, "s").join(shorter, "w")
-    if depth > 1:
-        # P of the symbol in the shorter state, where that is explicit there; elsewhere its back-off times the root
-        tail = F.pmod(F.col("s"), F.lit(base))
-        backs = F.broadcast(spark.createDataFrame([(k, v) for k, v in tree.back[1].items()] or [(-1, 0.0)], "t long, back double"))
-        likes = F.broadcast(spark.createDataFrame([(k, v) for k, v in tree.explicit[1].items()] or [(-1, 0.0)], "tw long, own double"))
-        pairs = pairs.withColumn("t", tail).withColumn("tw", tail * base + F.col("w")).join(backs, "t", "left").join(likes, "tw", "left")
-        pairs = pairs.withColumn("root", F.coalesce("own", F.col("root") + F.coalesce("back", F.lit(0.0))))
-    p = F.col("n") / (F.col("total") + KAPPA)
-    told = pairs.withColumn("evidence", 2 * F.col("n") * (F.log(p) - F.col("root") * math.log(10)) + 2 * (F.col("total") * F.pow(10.0, F.col("root")) - F.col("n")))
-    told = told.where(F.col("evidence") >= LEAST_EVIDENCE)
-    # the divergence of a context: the log-likelihood ratio that its telling symbols bear, against that of chance
-    strong = told.groupBy("s").agg(F.sum("evidence").alias("e"), F.count(F.lit(1)).alias("k")).where(F.col("e") >= 2 * LEAST_EVIDENCE + F.col("k")).select("s")
-    best = told.join(F.broadcast(strong), "s", "left_semi").orderBy(F.desc("evidence"), "s", "w").limit(MOST_EXPLICIT)
-    by: dict[int, list] = {}
-    for r in best.select("s", "w", "n", "root").collect():  # MOST_EXPLICIT rows at most
-        by.setdefault(r.s, []).append(r)
-    for s, rows in by.items():
-        whole = totals[s] + KAPPA
-        left = 1 - sum(10**r.root for r in rows)
-        if left <= 1e-9:
-            continue
-        for r in rows:
-            tree.explicit[depth][s * base + r.w] = math.log10(r.n / whole)
-        tree.back[depth][s] = math.log10((whole - sum(r.n for r in rows)) / whole / left)
-    top = counts.where((symbol > 0) & (symbol <= tree.contexts)).orderBy(F.desc("n"), "code").limit(int(1 / LEAST_CONTEXT)).collect()
-    return np.array(sorted(r.code for r in top if r.n >= LEAST_CONTEXT * tree.total), np.int64)
+def _frequent_pairs(train: DataFrame, total: int) -> np.ndarray:
+    """A bit map of the pairs of tokens that occur LEAST_PAIR times, and, by chance, of a few others."""
+    bits = min(MAP_BITS - 6, max(3, math.ceil(math.log2(max(1, total / BUCKET)))))
+    cut = train.mapInArrow(_passes(_count_pairs(bits)), "bucket long, steps binary, times binary")
+    got = cut.groupBy("bucket").applyInArrow(_often(bits), "bucket long, marks binary").toArrow()  # 2 ** MAP_BITS bits in all
+    out = np.zeros((1 << bits, 1 << (MAP_BITS - bits - 3)), np.uint8)
+    for b, marks in zip(got["bucket"].to_pylist(), got["marks"].to_pylist(), strict=True):
+        out[b] = np.frombuffer(marks, np.uint8)
+    return out.reshape(-1).view(np.uint64)
+
+
+def _count_grams(order: int, maps: Callable[[], tuple[np.ndarray, ...]]):
+    """Counts of n-grams of an order that can matter: code g, those of its first (`a`) and last (`b`) order - 1 tokens.
+
+    Order 2: pairs in the first map. Above: both parts are in the first map (counted often enough), and one of them in the
+    second (contexts whose own suffix is a state).
+    """
+
+    def make():
+        first, *second = maps()
+        held: list[np.ndarray] = []
+
+        def add(h: np.ndarray, place: np.ndarray) -> int:
+            shorter = h
+            for k in range(2, order):
+                shorter = longer(shorter, h, k)
+            g = longer(shorter, h, order)
+            if order == 2:
+                ok = (place >= 1) & in_map(first, g)
+            else:
+                good = in_map(first, shorter) & (place >= order - 2)
+                ok = good & before(good) & (place >= order - 1)
+                at = np.flatnonzero(ok)
+                ok[at] = in_map(second[0], shorter[at]) | in_map(second[0], shorter[at - 1])
+            at = np.flatnonzero(ok)
+            held.append(np.stack([g[at], shorter[at - 1], shorter[at]]))
+            return len(at)
+
+        def flush() -> pa.RecordBatch:
+            all_ = np.concatenate(held, 1) if held else np.empty((3, 0), np.uint64)
+            held.clear()
+            g, first_at, n = np.unique(all_[0], return_index=True, return_counts=True)
+            return _longs(g=g, a=all_[1][first_at], b=all_[2][first_at], n=n.astype(np.int64))
+
+        return add, flush
+
+    return make
+
+
+# --- the tree -----------------------------------------------------------------------------
 
 
 @dataclass
 class Model:
-    """The tree, the commonest tokens with counts, and the distributed counts of the others."""
-
-    tree: Tree
-    common: dict[bytes, int]
-    rare: DataFrame
+    """Distributed counts of tokens and values of n-grams, the commonest of both as arrays, and the deepest context."""
+
+    tokens: DataFrame  # g, n
+    values: DataFrame  # g, value
+    common: tuple[np.ndarray, np.ndarray]  # codes, counts
+    used: tuple[np.ndarray, np.ndarray]  # codes, values
+    known: np.ndarray  # bit map of all n-grams with a value
+    depth: int
     total: int
     distinct: int
+    states: tuple[int, ...] = ()
+
+
+def _least_of_commonest(table: DataFrame, most: int) -> int:
+    """The least n that at most so many rows reach, from a histogram of n."""
+    capped = table.groupBy(F.least("n", F.lit(1_000_000)).alias("k")).count()
+    # one row for each count up to a million
+    least, seen = 1 << 62, 0
+    for k, rows in sorted(((r.k, r["count"]) for r in capped.collect()), reverse=True):
+        seen += rows
+        if seen > most:
+            break
+        least = k
+    return least
+
+
+def _grow(counted: DataFrame, shorter: DataFrame, total: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Rows g, n, logp of the n-grams counted, with values of those that are symbols of a state; and the states.
+
+    `shorter` has g, n and logp, log10 P(last token | the tokens before it) as the tree has it so far, null where the tokens
+    before it are no state.
+    """
+    ln10 = math.log(10)
+    rows = skew_join(counted, shorter.select(F.col("g").alias("a"), F.col("n").alias("whole")), ["a"], "whole", total, "left")
+    rows = skew_join(rows, shorter.select(F.col("g").alias("b"), F.col("n").alias("times"), F.col("logp").alias("q")), ["b"], "times", total, "left")
+    whole = F.col("whole") + KAPPA
+    e = 2 * F.col("n") * (F.log(F.col("n") / whole) - F.col("q") * ln10) + 2 * (F.col("whole") * F.pow(F.lit(10.0), F.col("q")) - F.col("n"))
+    rows = staged(rows.withColumn("e", F.when(F.col("whole") >= LEAST_CONTEXT, e)).select("g", "a", "b", "n", "whole", "q", "e"), f"tree-tested-{depth}")
+    told = rows.where(F.col("e") >= LEAST_EVIDENCE)
+    states = told.groupBy("a", "whole").agg(F.sum("e").alias("sum_e"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("sum_n"), F.sum(F.pow(F.lit(10.0), F.col("q"))).alias("sum_q"))
+    # the divergence that the telling symbols bear, against that of chance
+    states = states.where((F.col("sum_e") >= 2 * LEAST_EVIDENCE + F.col("k")) & (F.col("sum_q") < 1 - 1e-9))
+    states = staged(states.select("a", F.col("whole").alias("times"), F.log10((whole - F.col("sum_n")) / whole / (1 - F.col("sum_q"))).alias("back")), f"tree-states-{depth}")
+    rows = skew_join(rows, states, ["a"], "times", total, "left")
+    own = F.log10(F.col("n") / whole)
+    logp = F.when(F.col("back").isNotNull(), F.when(F.col("e") >= LEAST_EVIDENCE, own).otherwise(F.col("q") + F.col("back")))
+    value = F.when(F.col("back").isNotNull() & (F.col("e") >= LEAST_EVIDENCE), own - F.col("q") - F.col("back"))
+    return staged(rows.select("g", "b", "n", logp.alias("logp"), value.alias("value")), f"tree-grams-{depth}"), states
 
 
 def fit(docs: DataFrame) -> Model:
     """Learns from the rows whose crc32(doc_id) modulo 10 is not 0."""
+    spark = docs.sparkSession
     train = docs.where(remainder("doc_id", 10) != 0).select(text_or_empty().alias("text"))
-    counts = staged(train.mapInArrow(_count_tokens, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "tree-unigrams")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    # the least count that COMMON tokens at most reach, from a histogram of capped counts
-    histogram = sorted(((r.k, r["count"]) for r in counts.groupBy(F.least("c", F.lit(1_000_000)).alias("k")).count().collect()), reverse=True) if distinct else []
-    least, seen = None, 0
-    for k, n in histogram:
-        seen += n
-        if seen > COMMON:
+    tokens = staged(train.mapInArrow(_passes(_count_tokens), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")), "tree-tokens")
+    total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    root = tokens.select("g", "n", F.log10((F.col("n") + ALPHA) / F.lit(total + ALPHA * (distinct + 1))).alias("logp"))
+    maps = (_frequent_pairs(train, total),) if total else ()
+    grams, parts, counts, depth = root, [], [], 0
+    while maps:
+        shared = spark.sparkContext.broadcast(maps)  # one or two bit maps
+        order = depth + 2
+        counted = train.mapInArrow(_passes(_count_grams(order, lambda shared=shared: shared.value)), "g long, a long, b long, n long")
+        counted = staged(counted.groupBy("g", "a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PAIR), f"tree-counted-{order}")
+        grams, states = _grow(counted, grams, total, depth + 1)
+        found = states.count()
+        shared.unpersist()
+        if not found:
             break
-        least = k
-    if least is None:
-        least = 1 << 62
-    common = dict(sorted(((bytes(r.token), r.c) for r in counts.where(F.col("c") >= least).collect()), key=lambda x: (-x[1], x[0])))
-    denominator = total + ALPHA * (distinct + 1)
-    tree = Tree()
-    symbols = list(common)[:VOCABULARY]
-    tree.ids = {t: k for k, t in enumerate(symbols, 1)}
-    tree.root = np.array([0.0] + [math.log10((common[t] + ALPHA) / denominator) for t in symbols])
-    tree.contexts = sum(common[t] >= LEAST_CONTEXT * total for t in symbols)
-    tree.total = total
-    allowed = np.arange(1, tree.contexts + 1, dtype=np.int64)
-    if END in tree.ids:
-        allowed = allowed[allowed != tree.ids[END]]
-    for depth in (1, 2):
-        if len(allowed):
-            allowed = _grow(tree, train, depth, allowed)
-    return Model(tree, common, counts.where(F.col("c") < least), total, distinct)
+        depth += 1
+        counts.append(found)
+        parts += [grams.where("value is not null").select("g", "n", "value"), states.select(F.col("a").alias("g"), F.col("times").alias("n"), F.col("back").alias("value"))]
+        # contexts to come: often enough, and their suffix is a state
+        after = skew_join(grams.where(F.col("n") >= LEAST_CONTEXT).select("g", F.col("b").alias("a")), states, ["a"], "times", total)
+        maps = (bit_map(grams), bit_map(after))
+    values = spark.createDataFrame([], "g long, n long, value double")
+    for p in parts:
+        values = values.union(p)
+    # an n-gram can be a symbol of one state and a state itself
+    values = staged(values.groupBy("g").agg(F.sum("value").alias("value"), F.max("n").alias("n")), "tree-values")
+    return Model(tokens, values, _commonest(tokens, "n"), _commonest(values, "value"), bit_map(values), depth, total, distinct, tuple(counts))
+
+
+def _commonest(table: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and a column of the COMMON rows at most of greatest n."""
+    got = table.where(F.col("n") >= _least_of_commonest(table, COMMON)).select("g", column).toArrow()
+    return got["g"].to_numpy().view(np.uint64), got[column].to_numpy()
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     denominator = model.total + ALPHA * (model.distinct + 1)
-    # tokens and counts of COMMON rows at most, and the bounded tree
-    shared = spark.sparkContext.broadcast((list(model.common), list(model.common.values()), model.tree))
+    depth = model.depth
+    shared = spark.sparkContext.broadcast((model.common, model.used, model.known))  # COMMON rows each, and a bit map
 
-    def make():
-        words, counts, tree = shared.value
-        at = {w: k for k, w in enumerate(words)}
-        logs = np.log10((np.array([*counts, 0.0]) + ALPHA) / denominator)
-        logs[-1] = 0.0
-        lookup = tree.arrays()
-        first = len(tree.ids)  # the symbols are the first of the common tokens
-
-        def one(text: str) -> tuple:
-            w = tokens(text)
-            k = np.fromiter(map(at.get, w, repeat(-1)), np.int64, len(w))
-            gain = lookup.gain(np.where((k >= 0) & (k < first), k + 1, 0))
-            unknown = np.flatnonzero(k < 0)
-            return len(w), len(w) - len(unknown), float(logs[k].sum()), gain, [w[i] for i in unknown.tolist()]
-
-        def work(b: dict[str, list]) -> dict[str, list]:
-            got = [one(t) for t in b["text"]]
-            return {"doc_id": b["doc_id"], "held_out": b["held_out"]} | {n: [g[i] for g in got] for i, n in enumerate(("n_tokens", "common", "part", "gain", "others"))}
-
-        return work
-
-    rows = docs.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), text_or_empty().alias("text"))
-    scored = map_rows(rows, "doc_id long, held_out boolean, n_tokens long, common long, part double, gain double, others array<binary>", make)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (codes, counts), (grams, values), known = shared.value
+        tokens, used = Lookup(codes), Lookup(grams)
+        logs, values = np.append(np.log10((counts + ALPHA) / denominator), 0.0), np.append(values, 0.0)
+        for batch in batches:
+            for at, h, bounds, place in token_codes(batch.column(2)):
+                starts, n = bounds[:-1], len(bounds) - 1
+                found = tokens.find(h)
+                rare = np.flatnonzero(found < 0)
+                gain, rest, where = np.zeros(len(h)), [], []
+                g = h
+                for order in range(1, depth + 2 if depth else 1):
+                    g = longer(g, h, order) if order > 1 else g
+                    live = np.flatnonzero(in_map(known, g) & (place >= order - 1))
+                    k = used.find(g[live])
+                    gain[live] += values[k]  # the last value, for -1, is 0
+                    rest.append(g[live[k < 0]])
+                    where.append(live[k < 0])
+                where, rest = (np.concatenate(where), np.concatenate(rest)) if rest else (np.empty(0, np.int64), h[:0])
+                order_ = np.argsort(where, kind="stable")
+                ids, held = batch.column(0).slice(at, n), batch.column(1).slice(at, n)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids, held, pa.array(np.diff(bounds)), pa.array(np.add.reduceat((found >= 0).astype(np.int64), starts)),
+                        pa.array(np.add.reduceat(logs[found], starts)), pa.array(np.add.reduceat(gain, starts)),
+                        _lists(rare, h[rare], bounds), _lists(where[order_], rest[order_], bounds),
+                    ],
+                    ["doc_id", "held_out", "n_tokens", "common", "part", "gain", "others", "grams"],
+                )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder("doc_id", 10) == 0).alias("held_out"), text_or_empty().alias("text"))
+    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, common long, part double, gain double, others array<long>, grams array<long>")
     scored = staged(scored.withColumn("row_id", F.monotonically_increasing_id()), "tree-scores")
-    found = scored.select("row_id", F.explode("others").alias("token")).join(model.rare, "token", "left")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    rest = found.groupBy("row_id").agg(F.sum(F.log10((c + ALPHA) / denominator)).alias("rest"), F.sum((c > 0).cast("long")).alias("known"))
+    rare = scored.select("row_id", F.explode("others").alias("g")).join(model.tokens, "g", "left")
+    n = F.coalesce(F.col("n"), F.lit(0))
+    rare = rare.select("row_id", F.log10((n + ALPHA) / denominator).alias("rest"), (n > 0).cast("long").alias("seen"), F.lit(0.0).alias("more"))
+    more = scored.select("row_id", F.explode("grams").alias("g")).join(model.values, "g").select("row_id", F.lit(0.0), F.lit(0).cast("long"), "value")
+    sums = rare.union(more).groupBy("row_id").agg(F.sum("rest").alias("rest"), F.sum("seen").alias("seen"), F.sum("more").alias("more"))
     base = F.col("part") + F.coalesce("rest", F.lit(0.0))
-    return scored.drop("others").join(rest, "row_id", "left").select(
+    return scored.drop("others", "grams").join(sums, "row_id", "left").select(
         "doc_id", "held_out", "n_tokens",
-        (F.col("common") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        (F.col("common") + F.coalesce("seen", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
-        base.alias("base_score"), (base + F.col("gain")).alias("score"),
+        base.alias("base_score"), (base + F.col("gain") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
+
+
+def _lists(at: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The codes at sorted token places, as one list a text."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(at, bounds).astype(np.int32)), pa.array(codes.view(np.int64)))
