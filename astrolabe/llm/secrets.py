@@ -4,14 +4,18 @@ The field tags tokens as secret begin, inside or outside. Its features are a tok
 neighbours on either side, and of the file (whether it names credentials, whether it is more code than prose). Tags are
 decoded by Viterbi. Its spans are added to the base ones where they do not overlap; base spans always stay.
 
-The field is trained here: on windows of at most FIT_ROWS documents, chosen by a hash of the id (a parameter), with
-the base spans as labels, and on made-up lines of well-known credential forms. Every text is then decoded whole.
+The field is trained here, on windows of at most FIT_ROWS documents, chosen by a hash of the id (a parameter). Their
+labels are the base spans; beside each window stands one in which a name that the base patterns know is replaced by one that
+they do not, so that the field learns what a secret looks like and where it stands, not the patterns. Made-up lines show further
+well-known forms: keys with a prefix of their own, short passwords after other names or in prose, credentials in
+addresses, and lines that look alike but hold none. Every text is then decoded whole; spans of any length count.
 
 Viterbi skips no case: with M a bound on what a path can gain by its other choices, a token whose score as outside
 leads by more than M is outside on every best path, so that only stretches without such tokens are decoded.
 
-Defined results: null and empty texts have no span; spans are in code points, ends exclusive; repeated rows are scanned
-each; null ids are carried along; an empty table gives an empty table; further columns are ignored.
+Defined results: null and empty texts have no span; texts are scanned whole, however long; spans are in code points, ends
+exclusive; of equally good paths the one with the first tag in the order begin, inside, outside is taken; repeated rows are
+scanned each; null ids are carried along; an empty table gives an empty table; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,11 +37,12 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "crf")
 
-FIT_ROWS, WINDOW, LEAST_LENGTH = 2000, 12, 16
+FIT_ROWS, WINDOW = 2000, 12
 TOKEN = re.compile(r"[\w+/.-]+|[^\w\s]")
 B, I, O = range(3)
 
-_KEYWORD = re.compile(r"pass(word|wd|phrase)?|pwd|secret|token|api_?-?key|credential|bearer|auth(orization)?|private|access", re.I)
+_KEYWORD = re.compile(r"pass(word|wd|phrase|code)?|pwd|secret|token|(api|access|private|signing)[_-]?key|credentials?|bearer|auth(orization)?|private|access", re.I)
+_LINKS = {"is", "was", "ist", "est", "es", "war"}
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MAIL_OR_NUMBER = re.compile(r"[\d.+/-]+$|[\w.+-]*\.(com|net|org|example)\b")
 
@@ -60,13 +65,17 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 # --- features -----------------------------------------------------------------------------
 
-N_CLASSES = 9
+N_CLASSES = 12
 
 
 def neighbour_class(token: str) -> int:
     """What neighbours see of a token."""
     if len(token) == 1 and not token.isalnum():
-        return {"=": 1, ":": 2, '"': 3, "'": 3, "`": 3}.get(token, 4)
+        return {"=": 1, ":": 2, '"': 3, "'": 3, "`": 3, "@": 9}.get(token, 4)
+    if token.startswith("//"):
+        return 11
+    if token.lower() in _LINKS:
+        return 10
     if _KEYWORD.fullmatch(token) or (_KEYWORD.search(token) and ("_" in token or "-" in token)):
         return 5
     if _LETTERS.fullmatch(token):
@@ -80,7 +89,7 @@ def shape(token: str) -> tuple[int, ...]:
     digits = sum(c.isdigit() for c in token)
     upper, lower = sum(c.isupper() for c in token), sum(c.islower() for c in token)
     f = [min(n // 4, 9)]  # 0..9
-    f.append(10 + min(4, int(5 * digits / n)))  # 10..14
+    f.append(10 + (1 + min(3, int(4 * digits / n)) if digits else 0))  # 10..14
     kinds = (upper > 0) + (lower > 0) + (digits > 0)
     f.append(15 + kinds)  # 15..18
     changes = sum(a.isdigit() != b.isdigit() or a.isupper() != b.isupper() for a, b in zip(token, token[1:]))
@@ -103,11 +112,22 @@ def shape(token: str) -> tuple[int, ...]:
         f.append(32)
     if token == "=":
         f.append(33)
+    if n >= 6 and digits and (upper or lower):
+        f.append(MIXED)
     return tuple(f)
 
 
-N_SHAPE, N_FILE = 34, 4
+N_SHAPE, N_FILE, N_CONTEXT = 34, 4, 6
 OFFSETS = (-2, -1, 1, 2)
+MIXED = 34  # among the shapes of a token, but without a weight of its own
+
+
+def contexts(classes: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    """0..5: no name of a credential in the three tokens before; one; one, and the token mixes letters and digits; the
+    same for tokens between a colon and an at sign."""
+    named = np.concatenate(([False] * 3, classes == 5))
+    after = np.concatenate(([False], classes[:-1] == 2)) & np.concatenate((classes[1:] == 9, [False]))
+    return (named[:-3] | named[1:-2] | named[2:-1]) * (1 + mixed) + 3 * after
 
 
 def file_features(text: str) -> int:
@@ -120,9 +140,10 @@ class Weights:
     """Emission tables and transitions of the field."""
 
     def __init__(self):
-        self.shape = np.zeros((N_SHAPE, 3))
+        self.shape = np.zeros((N_SHAPE + 1, 3))
         self.near = np.zeros((len(OFFSETS), N_CLASSES + 1, 3))  # the last class: beyond the text
         self.file = np.zeros((N_FILE, 3))
+        self.context = np.zeros((N_CONTEXT, 3))
         self.move = np.zeros((3, 3))
 
 
@@ -131,7 +152,7 @@ def _emissions(w: Weights, shapes: list[tuple[int, ...]], classes: np.ndarray, f
     padded = np.concatenate(([N_CLASSES] * 2, classes, [N_CLASSES] * 2))
     for k, d in enumerate(OFFSETS):
         e += w.near[k][padded[2 + d : 2 + d + len(classes)]]
-    return e
+    return e + w.context[contexts(classes, np.array([MIXED in s for s in shapes]))]
 
 
 _FORBIDDEN = -1e9
@@ -148,10 +169,10 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(x - m).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def train(windows: list[tuple[list[str], list[int], int]], epochs: int = 60, rate: float = 0.15, ridge: float = 1e-3) -> Weights:
+def train(windows: list[tuple[list[str], list[int], int]], epochs: int = 100, rate: float = 0.15, ridge: float = 1e-3) -> Weights:
     """Maximum conditional likelihood by Adam; all windows go through the forward and backward pass at once.
 
-    The features of all tokens are one 0/1 matrix: shapes, then the classes of each neighbour, then those of the file.
+    The features of all tokens are one 0/1 matrix: shapes, then the classes of each neighbour, those of the file, contexts.
     """
     w = Weights()
     if not windows:
@@ -161,7 +182,7 @@ def train(windows: list[tuple[list[str], list[int], int]], epochs: int = 60, rat
     wide = len(OFFSETS) * (N_CLASSES + 1)
     mask, tags = np.zeros((n, longest), bool), np.full((n, longest), O)
     seen: dict[str, tuple[list[int], int]] = {}
-    x = np.zeros((n, longest, N_SHAPE + wide + N_FILE), np.float32)
+    x = np.zeros((n, longest, N_SHAPE + wide + N_FILE + N_CONTEXT), np.float32)
     for i, (tokens, labels, file) in enumerate(windows):
         k = len(tokens)
         mask[i, :k] = True
@@ -171,7 +192,9 @@ def train(windows: list[tuple[list[str], list[int], int]], epochs: int = 60, rat
                 seen[t] = (list(shape(t)), neighbour_class(t))
         classes = np.concatenate(([N_CLASSES] * 2, [seen[t][1] for t in tokens], [N_CLASSES] * 2))
         for at, t in enumerate(tokens):
-            x[i, at, seen[t][0]] = 1
+            x[i, at, [f for f in seen[t][0] if f != MIXED]] = 1
+        mixed = np.array([MIXED in seen[t][0] for t in tokens])
+        x[i, np.arange(k), N_SHAPE + wide + N_FILE + contexts(classes[2:-2], mixed)] = 1
         for j, d in enumerate(OFFSETS):
             x[i, np.arange(k), N_SHAPE + j * (N_CLASSES + 1) + classes[2 + d : 2 + d + k]] = 1
         x[i, :k, N_SHAPE + wide + file] = 1
@@ -207,8 +230,9 @@ def train(windows: list[tuple[list[str], list[int], int]], epochs: int = 60, rat
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    w.shape, w.near = weights[0][:N_SHAPE].copy(), weights[0][N_SHAPE : N_SHAPE + wide].reshape(len(OFFSETS), N_CLASSES + 1, 3).copy()
-    w.file, w.move = weights[0][N_SHAPE + wide :].copy(), weights[1]
+    w.shape[:N_SHAPE], w.near = weights[0][:N_SHAPE], weights[0][N_SHAPE : N_SHAPE + wide].reshape(len(OFFSETS), N_CLASSES + 1, 3).copy()
+    w.file, w.context = weights[0][N_SHAPE + wide :][:N_FILE].copy(), weights[0][N_SHAPE + wide + N_FILE :].copy()
+    w.move = weights[1]
     return w
 
 
@@ -236,7 +260,8 @@ class Tagger:
         self.kinds: dict[tuple, int] = {}
         self.own: list[np.ndarray] = []
         self.classes: list[int] = []
-        near = np.abs(w.near).max((1, 2)).sum()
+        self.mixed: list[bool] = []
+        near = np.abs(w.near).max((1, 2)).sum() + np.abs(w.context).max()
         allowed = np.abs(np.where(self.move > _FORBIDDEN / 2, self.move, 0)).max()
         #: Setting a token to outside splits the secret it was in: that changes up to four moves, and turns the
         #: next token from inside to begin, whose scores differ by at most what shape, file and neighbours give.
@@ -249,6 +274,7 @@ class Tagger:
             k = self.kinds[key] = len(self.own)
             self.own.append(self.w.shape[list(key[0])].sum(0))
             self.classes.append(key[1])
+            self.mixed.append(MIXED in key[0])
         if len(self.kind) > 400_000:
             self.kind.clear()
         self.kind[token] = k
@@ -265,6 +291,7 @@ class Tagger:
         padded = np.concatenate(([N_CLASSES] * 2, classes, [N_CLASSES] * 2))
         for k, d in enumerate(OFFSETS):
             e += self.w.near[k][padded[2 + d : 2 + d + len(tokens)]]
+        e += self.w.context[contexts(classes, np.array(self.mixed)[kinds])]
         out = np.full(len(tokens), O)
         open_ = np.flatnonzero(e[:, O] - np.maximum(e[:, B], e[:, I]) <= self.gap)
         if len(open_):
@@ -303,69 +330,117 @@ class Tagger:
                 out[-1] = (out[-1][0], 3, b)
             else:
                 out.append((a, 3, b))
-        return [s for s in out if s[2] - s[0] >= LEAST_LENGTH]
+        return out
 
 
 # --- training windows ---------------------------------------------------------------------
 
 
-def labelled_windows(text: str, plain: random.Random) -> list[tuple[list[str], list[int], int]]:
-    """Windows around the base spans of a text, and one window elsewhere."""
+#: Names of credentials that the base patterns do not know.
+OTHER_NAMES = ("pwd", "pass", "passphrase", "passcode", "credential", "credentials", "auth", "access_key", "private_key", "Authorization", "db_pass", "signing-key")
+
+Window = tuple[list[str], list[int], int]
+
+
+def labelled_windows(text: str, plain: random.Random) -> list[Window]:
+    """Windows around the base spans of a text, overlapping ones as one, those again with other names, and two elsewhere."""
     found = list(TOKEN.finditer(text))
     if not found:
         return []
-    tokens = [m.group() for m in found]
-    tags = [O] * len(found)
+    tokens, starts = [m.group() for m in found], np.array([m.start() for m in found])
+    tags, names = [O] * len(found), []
     for start, kind, end in base_spans(text):
         if kind == 0:
             m = ASSIGN.match(text, start)
+            names.append(int(np.searchsorted(starts, start, "right")) - 1)
             start = m.start(2)
         before = O
-        for k, m in enumerate(found):
-            if m.start() >= start and m.end() <= end:
-                tags[k] = I if before != O else B
-                before = tags[k]
+        for k in range(int(np.searchsorted(starts, start)), len(found)):
+            if found[k].end() > end:
+                break
+            tags[k] = before = I if before != O else B
     file = file_features(text)
-    out = []
-    hits = [k for k, t in enumerate(tags) if t == B]
-    for k in [*hits[:4], plain.randrange(len(found)), plain.randrange(len(found))]:
-        a, b = max(0, k - WINDOW), min(len(found), k + WINDOW + 1)
-        while a > 0 and tags[a] == I:
-            a -= 1
-        out.append((tokens[a:b], tags[a:b], file))
+    stretches: list[list[int]] = []
+    for k in [k for k, t in enumerate(tags) if t != O]:
+        if stretches and k - WINDOW <= stretches[-1][1]:
+            stretches[-1][1] = k + WINDOW + 1
+        else:
+            stretches.append([max(0, k - WINDOW), k + WINDOW + 1])
+    out = [(tokens[a:b], tags[a:b], file) for a, b in stretches]
+    if names:
+        for k in names:
+            tokens[k] = plain.choice(OTHER_NAMES)
+        file = file & 1  # the names that a file is known by went with them
+        out += [(tokens[a:b], tags[a:b], file) for a, b in stretches if any(a <= k < b for k in names)]
+    for _ in range(2):
+        k = plain.randrange(len(found))
+        a = max(0, k - WINDOW)
+        if all(t == O for t in tags[a : k + WINDOW + 1]):
+            out.append((tokens[a : k + WINDOW + 1], tags[a : k + WINDOW + 1], file))
     return out
 
 
-def made_up(n: int, plain: random.Random) -> list[tuple[list[str], list[int], int]]:
+_ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_WORDS = "the a user set value name to of config file line see mail host port and for with item page needed below here none changed".split()
+
+
+def made_up(n: int, plain: random.Random) -> list[Window]:
     """Lines of well-known credential forms, and lines that look alike but hold none."""
-    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    rand = lambda k, letters=alnum: "".join(plain.choice(letters) for _ in range(k))
-    words = "the a user set value name to of config file line see mail host port and for with item page".split()
+
+    def rand(k: int, letters: str = _ALNUM) -> str:
+        return "".join(plain.choice(letters) for _ in range(k))
+
+    def word() -> str:
+        return plain.choice(_WORDS)
+
+    def short() -> str:
+        """Letters and digits of a password, often a word in disguise."""
+        while True:
+            if plain.random() < 0.5:
+                value = rand(plain.randrange(7, 16))
+            else:
+                value = plain.choice([str.capitalize, str.lower])(word() + plain.choice([word(), ""])) + rand(plain.randrange(1, 4), "0123456789") + plain.choice(["", "", rand(3)])
+            if len(value) >= 6 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
+                return value
+
+    def long() -> str:
+        return plain.choice([
+            lambda: "ghp_" + rand(36), lambda: "sk_live_" + rand(24), lambda: "sk-" + rand(40), lambda: "AKIA" + rand(16, _ALNUM[:26] + _ALNUM[52:]),
+            lambda: rand(40, "0123456789abcdef"), lambda: rand(32, "0123456789abcdef"), lambda: rand(40), lambda: "xoxb-" + rand(12, _ALNUM[52:]) + "-" + rand(24),
+            lambda: "eyJ" + rand(30) + "." + "eyJ" + rand(50) + "." + rand(40), lambda: rand(64, _ALNUM + "+/"),
+        ])()
+
+    def harmless() -> str:
+        return plain.choice([
+            lambda: f"{word()}.{rand(2, '0123456789')}@mail{rand(1, '0123456789')}.example.com", lambda: ".".join(rand(3, "123456789") for _ in range(4)),
+            lambda: rand(plain.randrange(4, 17), "0123456789"), lambda: "https://www.example.com/" + word(), word, lambda: "2021-03-04",
+            lambda: "".join(word() for _ in range(5)), lambda: f"{word()}_{word()}", lambda: "".join(word().upper() for _ in range(5)),
+        ])()
+
+    known = ("password", "api_key", "token", "secret", "client_secret", "auth_token", "aws_access_key_id")
+    host = lambda: plain.choice(["host", "db", "cache", "mail"]) + plain.choice(["", rand(1, "0123456789")]) + plain.choice(["", ".example.com"])
     out = []
     for _ in range(n):
-        secret = plain.choice([
-            lambda: "ghp_" + rand(36), lambda: "sk_live_" + rand(24), lambda: "sk-" + rand(40), lambda: "AKIA" + rand(16, alnum[:26] + alnum[52:]),
-            lambda: rand(40, "0123456789abcdef"), lambda: rand(32, "0123456789abcdef"), lambda: rand(40), lambda: "xoxb-" + rand(12, alnum[52:]) + "-" + rand(24),
-            lambda: "eyJ" + rand(30) + "." + "eyJ" + rand(50) + "." + rand(40), lambda: rand(64, alnum + "+/"),
-        ])()
-        before = [plain.choice(words) for _ in range(plain.randrange(1, 9))]
-        after = [plain.choice(words) for _ in range(plain.randrange(1, 9))]
-        key = plain.choice(["password", "api_key", "token", "secret", "client_secret", "Authorization", "auth_token", "credential", "aws_access_key_id", ""])
-        mid = [key, plain.choice([" = ", ": ", "=", " := "])] if key else [plain.choice(words), " "]
-        quote = plain.choice(['"', "'", ""])
-        if plain.random() < 0.6:
-            value, marked = secret, True
+        pre, quote, marked = "", plain.choice(['"', "'", "", ""]), True
+        form = plain.random()
+        if form < 0.3:  # a key by its own looks, named or not
+            key = plain.choice([*known, *OTHER_NAMES, "", "", ""])
+            pre, value = (key + plain.choice([" = ", ": ", "=", " := "]) if key else word() + " "), long()
+        elif form < 0.5:  # a short one by what stands before it
+            pre, value = plain.choice([*known, *OTHER_NAMES, *OTHER_NAMES]) + plain.choice([" = ", ": ", "=", " := ", " is ", " is ", " was ", " "]), short()
+        elif form < 0.6:  # in an address
+            pre, quote, value = plain.choice(["postgres", "https", "mysql", "redis", "amqp", "ftp"]) + "://" + word() + ":", "", short()
+        elif form < 0.85:
+            key = plain.choice([*known, *OTHER_NAMES, "", "", ""])
+            pre, value, marked = (key + plain.choice([" = ", ": ", "=", " is ", " "]) if key else word() + plain.choice([" ", " = ", ": ", "=", " is "])), harmless(), False
+        elif form < 0.95:  # names of things with digits, where no credential is named
+            pre, value, marked = word() + plain.choice([" ", " = ", ": ", " is "]), plain.choice([word() + rand(2, "0123456789"), "v" + ".".join(rand(1, "123456789") for _ in range(3)), "sha256", "utf8", rand(3, "ABCDEF") + "-" + rand(4, "0123456789")]), False
         else:
-            value, marked = plain.choice([
-                f"{plain.choice(words)}.{rand(2, '0123456789')}@mail{rand(1, '0123456789')}.example.com", ".".join(rand(3, "123456789") for _ in range(4)),
-                rand(plain.randrange(4, 17), "0123456789"), "https://www.example.com/" + plain.choice(words), plain.choice(words), "2021-03-04",
-                "".join(plain.choice(words) for _ in range(5)), f"{plain.choice(words)}_{plain.choice(words)}", "".join(plain.choice(words).upper() for _ in range(5)),
-            ]), False
-        text = " ".join(before) + " " + "".join(mid) + quote
-        start = len(text)
-        text += value
-        end = len(text)
-        text += quote + " " + " ".join(after)
+            pre, quote, value, marked = plain.choice(["https", "postgres"]) + "://", "", host() + ":" + plain.choice(["8080", "5432", "443"]), False
+        post = "@" + host() + "/" + word() if 0.5 <= form < 0.6 else "/" + word() if form >= 0.95 else quote
+        text = " ".join(word() for _ in range(plain.randrange(1, 9))) + " " + pre + quote
+        start, end = len(text), len(text) + len(value)
+        text += value + post + " " + " ".join(word() for _ in range(plain.randrange(1, 9)))
         tokens, tags = [], []
         for m in TOKEN.finditer(text):
             inside = marked and m.start() >= start and m.end() <= end
@@ -381,16 +456,28 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Weights:
     def make():
         def work(b: dict[str, list]) -> dict[str, list]:
             got = [w for i, t in zip(b["doc_id"], b["text"], strict=True) for w in labelled_windows(t, random.Random(i))]
-            return {"doc_id": [len(w[0]) for w in got], "tokens": [w[0] for w in got], "tags": [w[1] for w in got], "file": [w[2] for w in got]}
+            return {"tokens": [w[0] for w in got], "tags": [w[1] for w in got], "file": [w[2] for w in got]}
 
         return work
 
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")  # fit_rows ids at most
-    got = map_rows(rows, "doc_id long, tokens array<string>, tags array<int>, file int", make)
-    # six windows of a document at most
-    windows = sorted((list(r.tokens), list(r.tags), r.file) for r in got.select("tokens", "tags", "file").collect())
-    plain = random.Random(1)
-    return train([*windows, *made_up(max(400, len(windows) // 10), plain)])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")  # fit_rows ids at most
+    # the surroundings of the secrets of fit_rows documents; equal windows teach once
+    got = map_rows(rows, "tokens array<string>, tags array<int>, file int", make).distinct().collect()
+    windows = [w for r in got for w in _pieces((list(r.tokens), list(r.tags), r.file))]
+    return train([*sorted(windows), *made_up(max(1200, len(windows) // 4), random.Random(1))])
+
+
+def _pieces(window: Window, longest: int = 60) -> list[Window]:
+    """Long stretches of close secrets in pieces, cut where a token is outside."""
+    tokens, tags, file = window
+    out, at = [], 0
+    while at < len(tokens):
+        end = at + longest
+        while end < len(tokens) and tags[end] == I:
+            end += 1
+        out.append((tokens[at:end], tags[at:end], file))
+        at = end
+    return out
 
 
 def scan(docs: DataFrame, weights: Weights) -> DataFrame:
