@@ -32,11 +32,20 @@ class Dimension:
     key: str
     where: Column | None = None
     columns: Sequence[str] = ()
+    #: About what share of the dimension the filter keeps, to order joins by; 1 where nothing is known.
+    share: float = 1.0
+    #: A further equality (fact column, dimension column) that follows from the key's, such as of a partitioning.
+    also: tuple[str, str] | None = None
+
+    def on(self, rows: DataFrame) -> Column:
+        test = F.col(self.fact_key) == rows[self.key]
+        return test & (F.col(self.also[0]) == rows[self.also[1]]) if self.also else test
 
     @property
     def rows(self) -> DataFrame:
         kept = self.df if self.where is None else self.df.where(self.where)
-        return kept.select(self.key, *(c for c in self.columns if c != self.key))
+        names = dict.fromkeys([self.key, *self.columns, *([self.also[1]] if self.also else [])])
+        return kept.select(*names)
 
 
 def fk_join(fact: DataFrame, dim: DataFrame, fact_key: str, key: str, how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -45,11 +54,11 @@ def fk_join(fact: DataFrame, dim: DataFrame, fact_key: str, key: str, how: str =
 
 
 def star_join(fact: DataFrame, *dims: Dimension, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A chain of joins, the most selective-looking dimensions (those with filters) first."""
+    """A chain of joins, the most selective dimensions first, by the shares they say and whether they have a filter."""
     out = fact
-    for d in sorted(dims, key=lambda d: d.where is None):
+    for d in sorted(dims, key=lambda d: (d.share, d.where is None)):
         rows = d.rows
-        out = out.join(small(rows, limit), F.col(d.fact_key) == rows[d.key])
+        out = out.join(small(rows, limit), d.on(rows))
     return out
 
 
@@ -64,7 +73,7 @@ def reduced_star_join(fact: DataFrame, *dims: Dimension, limit: int = BROADCAST_
     for d in dims:
         if d.columns:
             rows = d.rows
-            out = out.join(small(rows, limit), F.col(d.fact_key) == rows[d.key])
+            out = out.join(small(rows, limit), d.on(rows))
     return out
 
 
@@ -73,12 +82,23 @@ def shuffled_hash_join(fact: DataFrame, dim: DataFrame, fact_key: str, key: str,
     return fact.join(dim.hint("shuffle_hash"), fact[fact_key] == dim[key], how)
 
 
-def band_join(left: DataFrame, right: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
+def band_width(bands: DataFrame, low: str, high: str) -> float:
+    """A bucket width at which intervals lie in few buckets each: the mean length, and no interval in more than 66."""
+    length = F.col(high) - F.col(low)
+    r = bands.agg(F.avg(length).alias("mean"), F.max(length).alias("most")).first()
+    return max(float(r.mean or 0), float(r.most or 0) / 64, 1e-9) if r.most else 1.0
+
+
+def band_join(left: DataFrame, right: DataFrame, value: str, low: str, high: str, width: float | None = None) -> DataFrame:
     """Rows of left whose value lies in [low, high) of right, as an equi join on buckets of `width`.
 
-    Each interval is listed once in every bucket it touches, so no pair is met twice and none is tried in vain
-    outside its buckets. Intervals should not be many times wider than `width`.
+    Each interval is listed once in every bucket it touches, so no pair is met twice and none is tried in vain outside
+    its buckets. Without a width, one is taken from the intervals.
     """
-    spread = right.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    dealt = left.withColumn("_bucket", F.floor(F.col(value) / width))
-    return dealt.join(spread, "_bucket").where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_bucket")
+    width = width or band_width(right, low, high)
+    bucket = "_bucket"
+    while bucket in left.columns or bucket in right.columns:
+        bucket += "_"
+    spread = right.withColumn(bucket, F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
+    dealt = left.withColumn(bucket, F.floor(F.col(value) / width))
+    return dealt.join(spread, bucket).where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop(bucket)

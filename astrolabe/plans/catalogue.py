@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import joins
 from ..operators.grouping import global_aggregate, grouping_sets, having
 from ..operators.quantified import compare_all, compare_any
-from ..sources import delimited, schema
+from ..sources import delimited, schema, scratch
 from . import ssb, star
 from .engine import Engine
 
@@ -51,21 +50,10 @@ def add_sql(key: str, sql: str, oracle: str) -> None:
 SUPPLIER_TEXT = "SUPPLIER|S_SUPPKEY:INTEGER|S_NAME:TEXT:25|S_NATIONKEY:INTEGER|S_CENTS:INTEGER"
 
 
-def _scratch(spark: SparkSession, label: str) -> str:
-    """A new folder that all executors share: below the checkpoint folder, or a temporary one in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="scratch-")
-    stamp = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
-    return f"{root.rstrip('/')}/{label}-{stamp}"
-
-
 def _load_roundtrip(t: Tables) -> DataFrame:
     """Writes suppliers as delimited text, loads that by a declared schema into Parquet, and reads it."""
     struct = schema.parse(SUPPLIER_TEXT)["supplier"]
-    path = _scratch(t.spark, "load")
+    path = scratch.new_path(t.spark, "load")
     rows = t.supplier.select("s_suppkey", "s_name", "s_nationkey", star.cents(c("s_acctbal")).alias("s_cents"))
     delimited.write_text(rows, f"{path}/text", trailing=True)
     delimited.write_parquet(delimited.read_text(t.spark, f"{path}/text", struct), f"{path}/parquet")
@@ -74,7 +62,7 @@ def _load_roundtrip(t: Tables) -> DataFrame:
 
 def _cluster_by_key(t: Tables) -> DataFrame:
     """Writes line items clustered by supplier, and reads a key range, which Parquet statistics prune by."""
-    path = _scratch(t.spark, "clustered")
+    path = scratch.new_path(t.spark, "clustered")
     rows = t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", star.cents(c("l_extendedprice")).alias("price_cents"))
     delimited.write_parquet(delimited.cluster(rows, "l_suppkey"), path)
     return t.spark.read.parquet(path).where(c("l_suppkey").between(3, 7))
@@ -95,7 +83,7 @@ add("project_columns", lambda t: t.customer.select("c_custkey", "c_name", "c_mkt
 add("project_star", lambda t: t.part.select("*"), "SELECT * FROM part")
 add(
     "project_qualified_star",
-    lambda t: t.nation.alias("n").join(F.broadcast(t.region.alias("r")), c("n.n_regionkey") == c("r.r_regionkey")).select("n.*", "r.r_name"),
+    lambda t: t.nation.alias("n").join(joins.small(t.region.alias("r")), c("n.n_regionkey") == c("r.r_regionkey")).select("n.*", "r.r_name"),
     "SELECT n.*, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey",
 )
 add("project_alias", lambda t: t.supplier.select(c("s_suppkey").alias("id"), c("s_name").alias("label")), "SELECT s_suppkey AS id, s_name AS label FROM supplier")
@@ -220,12 +208,11 @@ add("join_fk_hash", lambda t: joins.fk_join(t.lineitem, t.part.select("p_partkey
 add("join_shuffle_hash", lambda t: joins.shuffled_hash_join(t.lineitem, t.part.select("p_partkey", "p_brand"), "l_partkey", "p_partkey").select("l_orderkey", "l_linenumber", "p_brand"), "SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey")
 
 
-def _star(t: Tables, join: Callable[..., DataFrame]) -> DataFrame:
-    v = star.views(t.spark, t.folder)
+def _star(v: dict[str, DataFrame], join: Callable[..., DataFrame]) -> DataFrame:
     dims = (
-        joins.Dimension(v["ssb_customer"], "lo_custkey", "c_custkey", c("c_region") == "ASIA", ("c_nation",)),
-        joins.Dimension(v["ssb_supplier"], "lo_suppkey", "s_suppkey", c("s_region") == "EUROPE", ("s_nation",)),
-        joins.Dimension(v["ddate"], "lo_orderdate", "d_datekey", c("d_year") == 1998, ("d_yearmonthnum",)),
+        joins.Dimension(v["ssb_customer"], "lo_custkey", "c_custkey", c("c_region") == "ASIA", ("c_nation",), 1 / 5),
+        joins.Dimension(v["ssb_supplier"], "lo_suppkey", "s_suppkey", c("s_region") == "EUROPE", ("s_nation",), 1 / 5),
+        joins.Dimension(v["ddate"], "lo_orderdate", "d_datekey", c("d_year") == 1998, ("d_yearmonthnum",), 1 / 7),
     )
     return join(v["lineorder"], *dims).select("lo_orderkey", "lo_linenumber", "c_nation", "s_nation", "d_yearmonthnum", "lo_revenue")
 
@@ -234,8 +221,9 @@ _STAR_SQL = (
     star.CTES + "SELECT lo_orderkey, lo_linenumber, c_nation, s_nation, d_yearmonthnum, lo_revenue FROM lineorder, ssb_customer, ssb_supplier, ddate "
     "WHERE lo_custkey = c_custkey AND lo_suppkey = s_suppkey AND lo_orderdate = d_datekey AND c_region = 'ASIA' AND s_region = 'EUROPE' AND d_year = 1998"
 )
-add("join_star_multiway", lambda t: _star(t, joins.star_join), _STAR_SQL)
-add("join_invisible_semi", lambda t: _star(t, joins.reduced_star_join), _STAR_SQL)
+add("join_star_multiway", lambda t: _star(star.at(t.spark, t.folder), joins.star_join), _STAR_SQL)
+add("join_invisible_semi", lambda t: _star(star.at(t.spark, t.folder), joins.reduced_star_join), _STAR_SQL)
+add("join_star_derived", lambda t: _star(star.views(t.spark, t.folder), joins.star_join), _STAR_SQL)
 _implicit = "SELECT s_name, n_name FROM supplier, nation WHERE s_nationkey = n_nationkey AND n_regionkey = 2"
 add_sql("join_implicit", _implicit, _implicit)
 add("join_inner_on", lambda t: t.orders.join(t.customer, c("o_custkey") == c("c_custkey"), "inner").select("o_orderkey", "c_name"), "SELECT o_orderkey, c_name FROM orders INNER JOIN customer ON o_custkey = c_custkey")
@@ -249,7 +237,7 @@ def _outer(how: str) -> Callable[[Tables], DataFrame]:
 
 for _how in ("left", "right", "full"):
     add(f"join_{_how}", _outer(_how), f"SELECT c_custkey, o_orderkey FROM {_rich} {_how.upper()} JOIN {_late} ON c_custkey = o_custkey")
-add("join_cross", lambda t: t.nation.crossJoin(F.broadcast(t.region)).select("n_name", "r_name"), "SELECT n_name, r_name FROM nation CROSS JOIN region")
+add("join_cross", lambda t: t.nation.crossJoin(joins.small(t.region)).select("n_name", "r_name"), "SELECT n_name, r_name FROM nation CROSS JOIN region")
 _renamed = "(SELECT n_nationkey AS nationkey, n_name FROM nation)"
 _suppliers = "(SELECT s_suppkey, s_nationkey AS nationkey FROM supplier)"
 _natural = f"SELECT s_suppkey, nationkey, n_name FROM {_suppliers} a NATURAL JOIN {_renamed} b"
@@ -263,7 +251,7 @@ add_sql(
 _bands = "(SELECT p_size AS band, 1000 + 40 * p_size AS low, 1000 + 40 * p_size + 15 AS high FROM part GROUP BY p_size)"
 add(
     "join_theta",
-    lambda t: joins.band_join(t.part, t.part.select(c("p_size").alias("band")).distinct().select("band", (1000 + 40 * c("band")).alias("low"), (1000 + 40 * c("band") + 15).alias("high")), "p_retailprice", "low", "high", 50.0).select("p_partkey", "band"),
+    lambda t: joins.band_join(t.part, t.part.select(c("p_size").alias("band")).distinct().select("band", (1000 + 40 * c("band")).alias("low"), (1000 + 40 * c("band") + 15).alias("high")), "p_retailprice", "low", "high").select("p_partkey", "band"),
     f"SELECT p_partkey, band FROM part JOIN {_bands} ON p_retailprice >= low AND p_retailprice < high",
 )
 add(
@@ -273,8 +261,8 @@ add(
 )
 add(
     "join_self",
-    lambda t: t.supplier.alias("a").join(t.supplier.alias("b"), (c("a.s_nationkey") == c("b.s_nationkey")) & (c("a.s_suppkey") < c("b.s_suppkey"))).select(c("a.s_suppkey").alias("first"), c("b.s_suppkey").alias("second")),
-    "SELECT a.s_suppkey AS first, b.s_suppkey AS second FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey",
+    lambda t: t.lineitem.alias("a").join(t.lineitem.alias("b"), (c("a.l_orderkey") == c("b.l_orderkey")) & (c("b.l_linenumber") == c("a.l_linenumber") + 1)).select(c("a.l_orderkey").alias("l_orderkey"), c("a.l_partkey").alias("first"), c("b.l_partkey").alias("second")),
+    "SELECT a.l_orderkey, a.l_partkey AS first, b.l_partkey AS second FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1",
 )
 
 # --- aggregation ---------------------------------------------------------------------------
@@ -351,8 +339,51 @@ add_sql("sql_quoting", 'SELECT "n_name" AS "name", N\'it\'\'s\' AS said FROM "na
 add_sql("sql_casts", "SELECT p_partkey, CAST(p_size AS NUMBER(10, 2)) AS n, CAST(p_size AS VARCHAR2(10)) AS s FROM part", "SELECT p_partkey, CAST(p_size AS DECIMAL(10, 2)) AS n, CAST(p_size AS VARCHAR) AS s FROM part")
 add_sql("sql_is_nan", "SELECT event_id FROM events WHERE value IS NOT NAN AND value IS NOT INFINITE", "SELECT event_id FROM events WHERE NOT isnan(value) AND NOT isinf(value)")
 add_sql("sql_count_distinct", "SELECT COUNT_DISTINCT(l_partkey) AS n FROM lineitem", "SELECT count(DISTINCT l_partkey) AS n FROM lineitem")
-add_sql("sql_time_zone", "SELECT event_id, ts AT TIME ZONE 'UTC' AS at FROM events", "SELECT event_id, ts AS at FROM events")
+add_sql("sql_is_nan_expression", "SELECT event_id FROM events WHERE value + 1 IS NOT NAN AND NOT value * 2 IS INFINITE AND NULLIF(event_type, 'click') IS NOT NULL", "SELECT event_id FROM events WHERE NOT isnan(value + 1) AND NOT isinf(value * 2) AND event_type <> 'click'")
+add_sql(
+    "sql_is_nan_null",
+    "SELECT c_custkey FROM customer LEFT JOIN (SELECT o_custkey, CASE WHEN o_custkey > 50 THEN CAST('NaN' AS BINARY_DOUBLE) ELSE o_totalprice END AS v FROM orders WHERE o_totalprice > 300000) o ON c_custkey = o_custkey WHERE v IS NOT NAN",
+    "SELECT c_custkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 300000 AND o_custkey <= 50",
+)
+add_sql("sql_time_zone", "SELECT event_id, CAST(ts AT TIME ZONE 'Asia/Tokyo' AS VARCHAR2(30)) AS at FROM events", "SELECT event_id, rtrim(rtrim(strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS at FROM events")
 add_sql("sql_regexp_like", "SELECT c_custkey FROM customer WHERE REGEXP_LIKE(c_name, '[02468]$')", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '[02468]$')")
+add_sql("sql_interval_days", "SELECT l_orderkey, l_linenumber, l_partkey, EXTRACT(DAY FROM (l_shipdate - o_orderdate) DAY TO SECOND) AS days FROM lineitem, orders WHERE l_orderkey = o_orderkey", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(date_diff('day', o_orderdate, l_shipdate) AS INTEGER) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+add_sql("sql_interval_months", "SELECT o_orderkey, EXTRACT(YEAR FROM (DATE '2001-01-01' - o_orderdate) YEAR TO MONTH) AS years FROM orders", "SELECT o_orderkey, CAST(datesub('month', o_orderdate, TIMESTAMP '2001-01-01 00:00:00') // 12 AS INTEGER) AS years FROM orders")
+add_sql("sql_tuple_in", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_returnflag, l_linestatus) IN (('A', 'F'), ('N', 'O'))", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_returnflag, l_linestatus) IN (('A', 'F'), ('N', 'O'))")
+_sorted = "SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey"
+add_sql("sql_rownum_count", f"SELECT COUNT(*) AS n, MIN(x.p_partkey) AS least FROM ({_sorted}) x WHERE ROWNUM <= 7 AND x.p_partkey > 3", "SELECT count(*) AS n, min(p_partkey) AS least FROM (SELECT p_partkey FROM part WHERE p_partkey > 3 ORDER BY p_retailprice DESC, p_partkey LIMIT 7)")
+add_sql("sql_rownum_before_order", f"SELECT x.p_partkey AS k FROM ({_sorted}) x WHERE 8 > ROWNUM ORDER BY x.p_partkey DESC", "SELECT p_partkey AS k FROM (SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 7) ORDER BY k DESC")
+add_sql("sql_rownum_column", "SELECT COUNT(*) AS n, SUM(r) AS total FROM (SELECT o_orderkey, ROWNUM r FROM orders WHERE o_totalprice > 100000) y", "SELECT count(*) AS n, CAST(count(*) * (count(*) + 1) // 2 AS BIGINT) AS total FROM orders WHERE o_totalprice > 100000")
+add_sql("sql_rownum_none", "SELECT o_orderkey FROM orders WHERE ROWNUM > 1", "SELECT o_orderkey FROM orders WHERE FALSE")
+add_sql("sql_not_in_nulls", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT NULLIF(o_custkey, 1) FROM orders) AND c_custkey > 0", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT NULLIF(o_custkey, 1) FROM orders) AND c_custkey > 0")
+add_sql("sql_any_in_select", f"SELECT p_partkey, p_size <= SOME ({_q}) AS some, p_size = ALL ({_q}) AS every FROM part", f"SELECT p_partkey, p_size <= ANY ({_q}) AS some, p_size = ALL ({_q}) AS every FROM part")
+
+# --- grammar rules through the engine: the same text is the oracle ------------------------
+
+_SAME = {
+    "having": "SELECT l_suppkey, COUNT(*) AS n FROM lineitem GROUP BY l_suppkey HAVING COUNT(*) > 20 AND l_suppkey > 2",
+    "rollup": "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
+    "cube": "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
+    "grouping_sets": "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())",
+    "between": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 12 AND l_linenumber NOT BETWEEN 2 AND 6",
+    "in": "SELECT p_partkey FROM part WHERE p_size IN (1, 2, 3) AND p_brand NOT IN ('Brand#1', 'Brand#2')",
+    "like": "SELECT p_partkey FROM part WHERE p_type LIKE '%A%' AND p_name NOT LIKE '%1_'",
+    "joins": "SELECT s.s_name, n.n_name, r.r_name FROM supplier s INNER JOIN nation n ON s.s_nationkey = n.n_nationkey LEFT OUTER JOIN region r ON n.n_regionkey = r.r_regionkey AND r.r_regionkey > 1",
+    "full_join": f"SELECT c_custkey, o_orderkey FROM {_rich} c FULL OUTER JOIN {_late} o ON c.c_custkey = o.o_custkey",
+    "right_join": f"SELECT c_custkey, o_orderkey FROM {_rich} c RIGHT JOIN {_late} o ON c.c_custkey = o.o_custkey",
+    "cross_join": "SELECT n_name, r_name FROM nation CROSS JOIN region",
+    "using": f"SELECT s_suppkey, nationkey, n_name FROM {_suppliers} a JOIN {_renamed} b USING (nationkey)",
+    "subquery_from": "SELECT x.o_custkey, x.n FROM (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) x WHERE x.n > 12",
+    "exists": "SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity < 2)",
+    "scalar": "SELECT o_orderkey FROM orders WHERE o_totalprice * 2 > (SELECT MAX(o_totalprice) FROM orders)",
+    "case": "SELECT p_partkey, CASE p_size WHEN 1 THEN 'one' ELSE 'more' END AS a, CASE WHEN p_size < 10 THEN 'small' END AS b FROM part",
+    "order": "SELECT l_returnflag, l_linestatus, l_linenumber, COUNT(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus, l_linenumber ORDER BY l_returnflag DESC, n, l_linenumber",
+    "arithmetic": "SELECT p_partkey, -p_size + 3 * (p_partkey - 2) AS x, p_brand || '/' || p_type AS y FROM part",
+    "group_expression": "SELECT l_linenumber + 1 AS k, COUNT(*) AS n FROM lineitem GROUP BY l_linenumber + 1",
+    "comments": "SELECT /* all */ n_name -- names\nFROM nation /* of */ n WHERE n.n_regionkey IS NOT NULL",
+}
+for _key, _sql in _SAME.items():
+    add_sql(f"sql_{_key}", _sql, _sql)
 
 for _key, _sql in ssb.SQL.items():
 

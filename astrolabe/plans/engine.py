@@ -33,7 +33,8 @@ class Engine:
         return self.register({n: self.spark.read.parquet(f"{folder}/{n}.parquet") for n in names})
 
     def register_star(self, folder: str) -> Engine:
-        return self.register(star.views(self.spark, folder))
+        """The star of a folder, stored once a session."""
+        return self.register(star.at(self.spark, folder))
 
     def translate(self, sql: str) -> str:
         return dialect.translate(sql)

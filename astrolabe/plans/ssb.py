@@ -12,6 +12,9 @@ from . import star
 
 Test = Callable[[], Column]
 
+#: How many values the filtered columns have, about; a test of some of them keeps their share of the rows.
+VALUES = {"region": 5, "nation": 25, "city": 250, "mfgr": 5, "category": 25, "brand1": 1000, "year": 7, "yearmonthnum": 84, "yearmonth": 84}
+
 
 def _dims(v: dict[str, DataFrame], carry: tuple[str, ...] = (), **filters: Test) -> list[Dimension]:
     """The dimensions that a query filters or carries columns of."""
@@ -24,13 +27,20 @@ def _dims(v: dict[str, DataFrame], carry: tuple[str, ...] = (), **filters: Test)
     ):
         columns = tuple(c for c in carry if c in v[name].columns)
         if label in filters or columns:
-            out.append(Dimension(v[name], fact_key, key, filters[label]() if label in filters else None, columns))
+            test = filters.get(label)
+            also = ("lo_year", "d_year") if label == "date" and "lo_year" in v["lineorder"].columns else None
+            out.append(Dimension(v[name], fact_key, key, test() if test else None, columns, getattr(test, "share", 1.0), also))
     return out
 
 
+def _sharing(test: Test, share: float) -> Test:
+    test.share = share
+    return test
+
+
 def _flight1(date: Test, low: int, high: int, quantity: Test) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        v = star.views(spark, folder, cost=False)
+        v = star.at(spark, folder)
         lines = v["lineorder"].where(F.col("lo_discount").between(low, high) & quantity())
         return star_join(lines, *_dims(v, date=date)).agg(F.sum(F.col("lo_extendedprice") * F.col("lo_discount")).alias("revenue"))
 
@@ -39,7 +49,7 @@ def _flight1(date: Test, low: int, high: int, quantity: Test) -> Callable[[Spark
 
 def _grouped(keys: tuple[str, ...], measure: str, order: tuple[str, ...], **filters: Test) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        v = star.views(spark, folder, cost=measure == "profit")
+        v = star.at(spark, folder)
         value = F.col("lo_revenue") if measure == "revenue" else F.col("lo_revenue") - F.col("lo_supplycost")
         total = star_join(v["lineorder"], *_dims(v, keys, **filters)).groupBy(*keys).agg(F.sum(value).alias(measure))
         return total.orderBy(*[F.desc(c[1:]) if c[0] == "-" else F.col(c) for c in order])
@@ -48,11 +58,14 @@ def _grouped(keys: tuple[str, ...], measure: str, order: tuple[str, ...], **filt
 
 
 def _in(column: str, *values: object) -> Test:
-    return lambda: F.col(column).isin(*values) if len(values) > 1 else F.col(column) == values[0]
+    test = lambda: F.col(column).isin(*values) if len(values) > 1 else F.col(column) == values[0]
+    return _sharing(test, len(values) / VALUES[column[2:]])
 
 
 def _between(column: str, low: object, high: object) -> Test:
-    return lambda: F.col(column).between(low, high)
+    """Of codes and years, the last digits count the values."""
+    values = int(str(high)[-2:]) - int(str(low)[-2:]) + 1
+    return _sharing(lambda: F.col(column).between(low, high), values % 100 / VALUES.get(column[2:], 50))
 
 
 def _flight2(part: Test, region: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -78,7 +91,7 @@ _HOME = _in("s_region", "AMERICA")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ssb_q1_1": _flight1(_in("d_year", 1996), 1, 3, lambda: F.col("lo_quantity") < 25),
     "ssb_q1_2": _flight1(_in("d_yearmonthnum", 199701), 4, 6, _between("lo_quantity", 26, 35)),
-    "ssb_q1_3": _flight1(lambda: (F.col("d_weeknuminyear") == 6) & (F.col("d_year") == 1997), 5, 7, _between("lo_quantity", 26, 35)),
+    "ssb_q1_3": _flight1(_sharing(lambda: (F.col("d_weeknuminyear") == 6) & (F.col("d_year") == 1997), 1 / 364), 5, 7, _between("lo_quantity", 26, 35)),
     "ssb_q2_1": _flight2(_in("p_category", "MFGR#12"), "AMERICA"),
     "ssb_q2_2": _flight2(_between("p_brand1", "MFGR#2221", "MFGR#2228"), "ASIA"),
     "ssb_q2_3": _flight2(_in("p_brand1", "MFGR#2239"), "EUROPE"),

@@ -1,7 +1,8 @@
 """A star schema over the TPC-H-like tables: lineorder and the dimensions customer, supplier, part and date.
 
 Measures are integers (cents, whole quantities, percents), so sums are exact in any order. The same derivations
-exist as DataFrames (`views`) and as SQL common table expressions (`CTES`).
+exist as DataFrames (`views`) and as SQL common table expressions (`CTES`). Queries read the views as stored once
+(`at`): facts by year and sorted by date, dimensions as small files whose size is known to the planner.
 """
 
 from __future__ import annotations
@@ -9,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import planned_bytes, small
+from ..sources import scratch
+
 SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -26,8 +30,8 @@ def cents(amount: Column) -> Column:
 
 
 def _place(df: DataFrame, nation: DataFrame, region: DataFrame, prefix: str, key: str) -> DataFrame:
-    """Adds nation, region and city; nation and region are fixed tables of 25 and 5 rows."""
-    named = df.join(F.broadcast(nation), df[f"{prefix}_nationkey"] == nation.n_nationkey).join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
+    """Adds nation, region and city."""
+    named = df.join(small(nation), df[f"{prefix}_nationkey"] == nation.n_nationkey).join(small(region), nation.n_regionkey == region.r_regionkey)
     return named.withColumn(f"{prefix}_nation", F.col("n_name")).withColumn(f"{prefix}_region", F.col("r_name")).withColumn(f"{prefix}_city", F.concat("n_name", F.lit("-"), (F.col(key) % 10).cast("string")))
 
 
@@ -49,13 +53,14 @@ def parts(part: DataFrame) -> DataFrame:
 
 def dates(orders: DataFrame) -> DataFrame:
     day = F.col("o_orderdate")
-    return orders.select(
+    # distinct days first, the rest follows from the day
+    return orders.select(F.col("o_orderdate").cast("date").alias("o_orderdate")).distinct().select(
         date_key(day).alias("d_datekey"),
         F.year(day).alias("d_year"),
         (F.year(day) * 100 + F.month(day)).alias("d_yearmonthnum"),
         F.date_format(day, "MMMyyyy").alias("d_yearmonth"),
         (F.floor((F.dayofyear(day) - 1) / 7) + 1).cast("int").alias("d_weeknuminyear"),
-    ).distinct()
+    )
 
 
 def line_orders(lineitem: DataFrame, orders: DataFrame, part: DataFrame | None) -> DataFrame:
@@ -98,22 +103,41 @@ def views(spark: SparkSession, folder: str, cost: bool = True) -> dict[str, Data
     }
 
 
+#: Files of the stored facts hold about so many bytes of line items.
+FILE_BYTES = 256 << 20
+NAMES = ("lineorder", "ssb_customer", "ssb_supplier", "ssb_part", "ddate")
+
+
 def write(spark: SparkSession, folder: str, out: str) -> None:
-    """Stores the views once, for many queries: facts partitioned by month and sorted by date, so that date ranges
+    """Stores the views once, for many queries: facts partitioned by year and sorted by date, so that date ranges
     prune files and row groups and no query joins lines with orders again."""
+    files = max(1, planned_bytes(table(spark, folder, "lineitem")) // FILE_BYTES // 7)
     for name, df in views(spark, folder).items():
         if name == "lineorder":
-            month = F.floor(F.col("lo_orderdate") / 100).cast("int")
-            # a hash of the row's keys beside the month lets a crowded month spread over many tasks
-            df = df.withColumn("lo_month", month).repartition("lo_month", F.pmod(F.xxhash64("lo_orderkey"), F.lit(64))).sortWithinPartitions("lo_month", "lo_orderdate")
-            df.write.mode("overwrite").partitionBy("lo_month").parquet(f"{out}/{name}.parquet")
+            year = F.floor(F.col("lo_orderdate") / 10000).cast("int")
+            # a hash of the order beside the year lets a crowded year spread over many tasks
+            df = df.withColumn("lo_year", year).repartition("lo_year", F.pmod(F.xxhash64("lo_orderkey"), F.lit(files))).sortWithinPartitions("lo_year", "lo_orderdate")
+            df.write.mode("overwrite").partitionBy("lo_year").parquet(f"{out}/{name}.parquet")
         else:
-            df.write.mode("overwrite").parquet(f"{out}/{name}.parquet")
+            (df.coalesce(1) if name == "ddate" else df).write.mode("overwrite").parquet(f"{out}/{name}.parquet")
 
 
 def stored(spark: SparkSession, out: str) -> dict[str, DataFrame]:
     """The views that write() stored."""
-    return {n: table(spark, out, n) for n in ("lineorder", "ssb_customer", "ssb_supplier", "ssb_part", "ddate")}
+    return {n: table(spark, out, n) for n in NAMES}
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def at(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The views of a folder, stored in the shared folder when first asked for."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORED:
+        path = scratch.new_path(spark, "star")
+        write(spark, folder, path)
+        _STORED[key] = path
+    return stored(spark, _STORED[key])
 
 
 #: The same views for the SQL oracle.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from . import delimited, schema
+from . import delimited, schema, scratch
 
 
 class Catalog:
@@ -40,12 +40,12 @@ class Catalog:
     def delete(self, database: str) -> None:
         """Drops the database and its files."""
         self.spark.sql(f"DROP DATABASE IF EXISTS {database.lower()} CASCADE")
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self._path(database))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        scratch.delete(self.spark, self._path(database))
 
     def list(self, database: str) -> list[str]:
-        return sorted(t.name for t in self.spark.catalog.listTables(database.lower()))
+        """The database's own tables; temporary views of the session belong to none."""
+        rows = self.spark.sql(f"SHOW TABLES IN {database.lower()}").where("not isTemporary").collect()
+        return sorted(r.tableName for r in rows)
 
     def declared(self, database: str) -> dict[str, T.StructType]:
         rows = self.spark.read.option("wholetext", True).text(self._path(database, "_declared")).collect()

@@ -1,5 +1,7 @@
 """Operators on hand-made edge cases."""
 
+import re
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -42,6 +44,31 @@ def test_broadcast_only_under_the_limit(spark):
     assert joins.small(big, 1 << 20) is big
 
 
+def test_no_query_of_the_benchmark_shuffles_the_facts_for_a_dimension(spark):
+    """In the static plans, before adaptive execution could mend them."""
+    from astrolabe.plans import ssb, star
+    from astrolabe.plans.engine import Engine
+
+    folder = "/root/testdata/sf0.001"
+    engine = Engine(spark).register_star(folder)
+    for key, query in ssb.QUERIES.items():
+        for df in (query(spark, folder), engine.sql(ssb.SQL[key])):
+            plan = df._jdf.queryExecution().sparkPlan().toString()
+            assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" in plan
+    star_ = star.at(spark, folder)
+    assert all(joins.planned_bytes(star_[n]) < 1 << 20 for n in ("ssb_customer", "ssb_supplier", "ssb_part", "ddate"))
+    dated = ssb.QUERIES["ssb_q1_1"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*lo_year#\d+ = 1996", dated)  # other years' files are not read
+
+
+def test_star_joins_go_from_the_most_selective(spark):
+    from astrolabe.plans import ssb
+
+    plan = ssb.QUERIES["ssb_q3_4"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # the innermost join, printed last, is that with one month of 84 or two cities of 250
+    assert plan.index("d_yearmonth#") < plan.rindex("s_city#")
+
+
 def test_sorts_of_many_rows_and_directions(spark):
     df = spark.createDataFrame([(k % 2, k % 3, k % 5, k) for k in range(3000)], "a int, b int, c int, v int")
     got = [tuple(r)[:3] for r in df.orderBy(F.asc("a"), F.desc("b"), F.asc("c")).collect()]
@@ -84,6 +111,12 @@ def test_bands(spark):
     bands = spark.createDataFrame([(1, 0.0, 3.0), (2, 2.5, 60.0), (3, 99.0, 99.0)], "id int, low double, high double")
     got = joins.band_join(points, bands, "x", "low", "high", 10.0).groupBy("id").count()
     assert values(got) == [(1, 3), (2, 57)]
+    clash = joins.band_join(points.withColumn("_bucket", F.lit(1)), bands, "x", "low", "high")
+    assert "_bucket" in clash.columns and values(clash.groupBy("id").count()) == [(1, 3), (2, 57)]
+    # one interval far longer than the others is in 66 buckets at most
+    wide = spark.createDataFrame([(k, float(k), k + 1.0) for k in range(1000)] + [(-1, 0.0, 1e6)], "id int, low double, high double")
+    width = joins.band_width(wide, "low", "high")
+    assert 1e6 / width <= 65
 
 
 def test_stored_star_answers_alike(spark, tmp_path):

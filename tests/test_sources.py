@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import types as T
 
+from astrolabe.plans.engine import Engine
 from astrolabe.sources import delimited, schema
 from astrolabe.sources.catalog import Catalog
 
@@ -49,29 +50,55 @@ def test_bad_number_fails(spark, tmp_path):
         delimited.read_text(spark, _write(tmp_path, "x|1|a|1\n"), struct).collect()
 
 
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize("line", ["1|1|a|1|9", "1|1|a", "1|1|a|1||", "|", "1|1|a|x"])
+def test_lines_that_do_not_fit_fail(spark, tmp_path, line, ansi):
+    struct = schema.parse(TEXT)["part"]
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        assert delimited.read_text(spark, _write(tmp_path, "1|1|a|1\n\n2|2|b|2|\n"), struct).count() == 2
+        with pytest.raises(PySparkException):
+            delimited.read_text(spark, _write(tmp_path, f"1|1|a|1\n{line}\n"), struct).collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
 def test_text_round_trip_and_clustering(spark, tmp_path):
-    df = spark.createDataFrame([(k, f"n{k % 7}") for k in range(200)], "k long, t string")
+    df = spark.createDataFrame([(k, f"n{k % 7}") for k in range(200)] + [(None, '"q" \\ é'), (7, None)], "k long, t string")
     delimited.write_text(df, str(tmp_path / "t"), ";", trailing=True)
-    assert sorted(delimited.read_text(spark, str(tmp_path / "t"), df.schema, ";").collect()) == sorted(df.collect())
-    clustered = delimited.cluster(df, "k", partitions=4)
+    key = lambda r: (r.k is None, r.k or 0, r.t or "")
+    assert sorted(delimited.read_text(spark, str(tmp_path / "t"), df.schema, ";").collect(), key=key) == sorted(df.collect(), key=key)
+    clustered = delimited.cluster(df.dropna(), "k", partitions=4)
     parts = [[r.k for r in p] for p in clustered.rdd.glom().collect() if p]
     assert len(parts) == 4 and all(p == sorted(p) for p in parts)
     assert all(a[-1] < b[0] for a, b in zip(parts, parts[1:]))
 
 
+@pytest.mark.parametrize("value", ["a;b", "a\nb", "a\rb"])
+def test_values_that_cannot_be_read_back_are_refused(spark, tmp_path, value):
+    with pytest.raises(PySparkException):
+        delimited.write_text(spark.createDataFrame([(1, value)], "k long, t string"), str(tmp_path / "t"), ";")
+
+
 def test_catalog_life(spark, tmp_path):
     catalog = Catalog(spark, str(tmp_path))
+    Engine(spark).register_star("/root/testdata/sf0.001")  # views of the session are no tables of a database
+    spark.range(3).createOrReplaceTempView("part")
     catalog.create("shop", TEXT)
     try:
         assert catalog.list("shop") == ["part", "side"]
         assert spark.table("shop.part").count() == 0
         loaded = catalog.load("shop", "PART", _write(tmp_path, "2|1|b|19970101\n1|2|a|19970101\n"), cluster_by=("p_key",))
         assert [r.p_key for r in loaded.orderBy("p_key").collect()] == [1, 2]
+        assert [tuple(r) for r in Engine(spark).sql("SELECT p.p_key, p.p_name FROM shop.part p WHERE p.p_key ^= 1").collect()] == [(2, "b")]
         spark.sql("DROP DATABASE shop CASCADE")
         assert catalog.restore("shop") == ["part", "side"]
         assert spark.table("shop.part").count() == 2
+        catalog.delete("shop")
+        assert spark.table("part").count() == 3
     finally:
         catalog.delete("shop")
+        spark.catalog.dropTempView("part")
     assert not spark.catalog.databaseExists("shop") and not (tmp_path / "shop").exists()
     with pytest.raises(ValueError):
         catalog.create("../x", TEXT)
