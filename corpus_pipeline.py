@@ -1,7 +1,13 @@
 """The corpus pipeline: toxicity, exact dedup, near dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet into the folder of
-spark.checkpoint.dir and reads it again as the next stage's docs. All but the last return the columns of documents.
+spark.checkpoint.dir and reads it again as the next stage's docs, and deletes what is read no more. All but the last return
+the columns of documents, whatever further ones there are.
+
+Defined results: null texts count as empty in every stage: they are not toxic where empty texts are not, equal to each other and to
+empty ones, so that one of them stays, near nothing, of size 0, so that the mix takes none; null doc_ids teach nothing and lose to others
+where one of a group stays; rows that repeat an id are documents of their own; texts are read whole, however long; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -9,8 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from astrolabe.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from astrolabe.llm.common import staged
-from astrolabe.llm.queries import TOKENIZER
+from astrolabe.llm.common import scope, staged
 
 #: The stage's own similarity; that of op9 is near_dedup.PERCENT.
 NEAR_PERCENT = 80
@@ -41,7 +46,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pieces of sequences of at most 2048 ids."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack(docs, public_tokenizers.path(packing.TOKENIZER))
 
 
 STAGES = [
@@ -59,6 +64,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with scope(spark):  # holds what a stage hands to the next; the last one's rows outlive it
+        for name, stage in STAGES:
+            with scope(spark):
+                docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=2 if name == STAGES[-1][0] else 1)
     return docs
