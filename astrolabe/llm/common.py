@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
@@ -14,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from ..sources.scratch import delete, new_path
+
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 #: bytes.split() with no argument splits on exactly these six.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -23,28 +23,17 @@ SPACE = r"[\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, a temporary one, in local mode only."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 #: Paths of tables that open scopes delete when they end, the innermost last.
 _SCOPES: list[list[str]] = []
 
 
-def staged(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+def staged(df: DataFrame, label: str, keep: int = 0) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors.
 
-    The files go when the innermost scope ends; with keep, when the one around it does.
+    The files go when the innermost scope ends; with keep, when the one so many around it does, if there is such.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/astrolabe/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     if len(_SCOPES) > keep:
         _SCOPES[-1 - keep].append(path)
@@ -59,8 +48,7 @@ def scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _SCOPES.pop():
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            delete(spark, path)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -159,22 +147,6 @@ def logistic(x: np.ndarray, y: np.ndarray, signed: bool = True, ridge: float = 0
 
 # --- hashing of whole chunks ---------------------------------------------------------------
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if "p" not in _POWERS or len(_POWERS["p"]) <= n:
-        size = max(n + 1, CHUNK_BYTES + 4096)
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for key, base in (("p", _BASE), ("i", inverse)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[key] = np.multiply.accumulate(steps)
-    return _POWERS["p"], _POWERS["i"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -182,25 +154,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64))
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LENGTH_FACTOR, _PIECE_FACTOR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _is_space(raw: np.ndarray) -> np.ndarray:
+    """Space, and tab to carriage return; bytes wrap below 0."""
+    return (raw == 32) | ((raw - np.uint8(9)) < 5)
+
+
+def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of bytes, read eight bytes at a time; words of up to eight bytes and one length never collide."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    eights = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    lengths = ends - starts
+    out = mix((eights.take(starts) & _FIRST_BYTES[np.minimum(lengths, 8)]) + lengths.astype(np.uint64) * _LENGTH_FACTOR)
+    more, at = np.flatnonzero(lengths > 8), 8
+    while len(more):
+        left = lengths[more] - at
+        piece = eights.take(starts[more] + at) & _FIRST_BYTES[np.minimum(left, 8)]
+        out[more] = mix(out[more] * _PIECE_FACTOR + piece)
+        more, at = more[left > 8], at + 8
+    return out
 
 
 def word_hashes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and 64-bit hashes of the words of blob."""
     raw = np.frombuffer(blob, np.uint8)
-    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], _is_space(raw), [True])).view(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
-    powers, inverse = _powers(len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE_CODES[raw] * powers[: len(raw)], out=sums[1:])
-    return starts, ends, mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-
-
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+    return starts, ends, hash_words(raw, starts, ends)
 
 
 def word_chunks(column: pa.Array, size: int = CHUNK_BYTES >> 3) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -219,17 +204,15 @@ def word_chunks(column: pa.Array, size: int = CHUNK_BYTES >> 3) -> Iterator[tupl
     at = 0
     while at < n:
         end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + size, "right")) - 1)
-        raw = _LOWER[whole[bounds[at] : bounds[end]]]
+        raw = whole[bounds[at] : bounds[end]]
+        raw = raw + ((raw - np.uint8(65)) < 26) * np.uint8(32)
         edges = bounds[at : end + 1] - bounds[at]
-        space = _IS_SPACE[raw]
+        space = _is_space(raw)
         cut = np.zeros(len(raw) + 1, bool)
         cut[edges] = True
         starts = np.flatnonzero(~space & (np.concatenate(([True], space))[: len(raw)] | cut[:-1]))
         ends = np.flatnonzero(~space & (np.concatenate((space, [True]))[1:] | cut[1:])) + 1 if len(raw) else starts
-        powers, inverse = _powers(len(raw))
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE_CODES[raw] * powers[: len(raw)], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        hashes = hash_words(raw, starts, ends)
         yield at, hashes, np.searchsorted(starts, edges)
         at = end
 

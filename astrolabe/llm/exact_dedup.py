@@ -59,7 +59,7 @@ def _decisions(docs: DataFrame, row: Column, salts: int) -> DataFrame:
             named = skew_join(rows.join(clash, ["digest", "other"], "left_anti"), winners.join(clash, ["digest", "other"], "left_anti"), ["digest", "other"], "group_size", total)
             named = named.unionByName(skew_join(apart, classes, keys, "group_size", total).drop("norm"))
         kept = F.col("row_id") == F.col("keep_row")
-        return staged(named.select("row_id", "doc_id", "digest", "keep_id", "group_size", kept.alias("kept")), "exact-decisions", keep=True)
+        return staged(named.select("row_id", "doc_id", "digest", "keep_id", "group_size", kept.alias("kept")), "exact-decisions", keep=1)
 
 
 def duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:

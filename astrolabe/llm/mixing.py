@@ -88,7 +88,7 @@ def _copies(docs: DataFrame, row: Column, weights: Sequence[float], cap: float,
         rank = F.col("ahead") + F.col("nth")
         copies = F.floor(rank * F.col("rate") + offset) - F.floor((rank - 1) * F.col("rate") + offset)
         out = ranked.select("row_id", "doc_id", "size", "source_size", "target", F.least(copies, F.lit(int(cap))).cast("int").alias("copies"))
-        return staged(out, "mix-copies", keep=True)
+        return staged(out, "mix-copies", keep=1)
 
 
 def mix_sizes(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:

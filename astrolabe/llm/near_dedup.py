@@ -357,7 +357,7 @@ def _labelled(texts: DataFrame, percent: int) -> DataFrame:
         groups = named.join(totals, "root").select("set_hash", "n_shingles", "root", "component_id", "size")
         slim = signed.select("row_id", "doc_id", "n_shingles", "set_hash")
         out = skew_join(slim, staged(groups, "near-groups"), ["set_hash", "n_shingles"], "size", slim.count(), "left")
-        return staged(out.select("row_id", "doc_id", "n_shingles", "root", "component_id"), "near-labels", keep=True)
+        return staged(out.select("row_id", "doc_id", "n_shingles", "root", "component_id"), "near-labels", keep=1)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -366,7 +366,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         texts = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), "row_id", "near-texts").select("row_id", "doc_id", "text")
         out = _labelled(texts, percent).withColumn("component_id", F.coalesce("component_id", "doc_id"))
         out = out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-        return staged(out, "near-answer", keep=True)
+        return staged(out, "near-answer", keep=1)
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -6,9 +6,10 @@ document's score is the mean, over its n-grams, of the log ratio of trusted to r
 is under one threshold, the same for all, fail. The threshold lies below the trusted scores: under their first
 percentile by `SLACK` times the distance from it to their median.
 
-Defined results: null and empty texts have no words and fail the base rules, as all texts under 50 words; without
-trusted documents the ratio rejects nothing; null labels and null ids teach nothing; repeated rows are judged alike;
-an empty table gives an empty table; further columns are ignored.
+Defined results: null and empty texts have no words and fail the base rules, as all texts under 50 words; texts are read
+whole, however long; without trusted documents the ratio rejects nothing; a score that equals the threshold passes; null labels
+and null ids teach nothing; repeated rows are counted and judged each; an empty table gives an empty table; further columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -129,4 +130,6 @@ def judge(docs: DataFrame, ratio: np.ndarray, threshold: float) -> DataFrame:
     counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
     out = map_rows(docs.select("doc_id", text_or_empty().alias("text")), f"doc_id long, {counts}, score double", _scored(ratio))
     out = out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
+    # the verdict is by the score as it is; what is shown is rounded, as sums of floats end differently in another order
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
+    return out.withColumn("score", F.round("score", 8))
