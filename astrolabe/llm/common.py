@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
@@ -49,6 +50,8 @@ def scope(spark: SparkSession) -> Iterator[None]:
     finally:
         for path in _SCOPES.pop():
             delete(spark, path)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files of plans that are collected
 
 
 def fresh(df: DataFrame, name: str) -> str:

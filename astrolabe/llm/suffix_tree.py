@@ -30,16 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, remainder, skew_join, staged, text_or_empty, word_chunks
+from .common import hot_least, mix, remainder, scope, staged, text_or_empty, word_chunks
 
 ALPHA, KAPPA = 0.1, 1.0
 LEAST_CONTEXT, LEAST_PAIR, LEAST_EVIDENCE = 8, 4, 8.0
-COMMON = 1_000_000
-MAP_BITS = 27
+COMMON = 500_000
+MAP_BITS = 26
 #: Task-wise counts are handed on after so many n-grams.
-HELD = 4_000_000
+HELD = 500_000
 #: N-grams that a task counts at once in the first count of pairs, about.
-BUCKET = 2_000_000
+BUCKET = 1_000_000
 
 END = np.uint64(0x243F6A8885A308D3)
 _NEXT = np.uint64(0x9E3779B97F4A7C15)
@@ -66,13 +66,6 @@ def longer(codes: np.ndarray, h: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
-def before(x: np.ndarray) -> np.ndarray:
-    """The value at the token before; false or zero at the first."""
-    out = np.zeros_like(x)
-    out[1:] = x[:-1]
-    return out
-
-
 def in_map(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
     at = codes >> np.uint64(64 - MAP_BITS)
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
@@ -92,7 +85,7 @@ class Lookup:
     """An open-addressing table of distinct codes, probed for whole arrays at once."""
 
     def __init__(self, codes: np.ndarray):
-        self.bits = max(4, int(len(codes)).bit_length() + 2)
+        self.bits = max(4, int(len(codes)).bit_length() + 1)
         self.keys, self.owner = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
         left, at = np.arange(len(codes)), self._home(codes)
         while len(left):
@@ -133,6 +126,7 @@ def _passes(make: Callable[[], tuple[Callable, Callable]]):
                 if held > HELD:
                     yield flush()
                     held = 0
+                    pa.default_memory_pool().release_unused()
         yield flush()
 
     return run
@@ -166,13 +160,34 @@ def _cut(codes: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(steps, pa.binary()), pa.array(times, pa.binary())], ["bucket", "steps", "times"])
 
 
-def _count_pairs(bits: int):
+def _candidates(h: np.ndarray, place: np.ndarray, order: int, maps: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """N-grams of an order, those of one token less that end with them, and the places of those that can matter.
+
+    Order 2: all pairs. Above: the first part is in the map of possible contexts, the last in that of all n-grams counted, and
+    one of both in that of contexts whose own suffix is a state.
+    """
+    shorter = h
+    for k in range(2, order):
+        shorter = longer(shorter, h, k)
+    g = longer(shorter, h, order)
+    at = np.flatnonzero(place >= order - 1)
+    if order > 2:
+        counted, often, suited = maps
+        at = at[in_map(counted, shorter[at])]
+        at = at[in_map(often, shorter[at - 1])]
+        at = at[in_map(suited, shorter[at]) | in_map(suited, shorter[at - 1])]
+    return g, shorter, at
+
+
+def _count_roughly(order: int, bits: int, maps: Callable[[], tuple[np.ndarray, ...]]):
     def make():
         held: list[np.ndarray] = []
+        known = maps()
 
         def add(h: np.ndarray, place: np.ndarray) -> int:
-            held.append(longer(h, h, 2)[place >= 1] >> np.uint64(16))
-            return len(h)
+            g, _, at = _candidates(h, place, order, known)
+            held.append(g[at] >> np.uint64(16))
+            return len(at)
 
         def flush() -> pa.RecordBatch:
             codes, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
@@ -204,10 +219,10 @@ def _often(bits: int):
     return run
 
 
-def _frequent_pairs(train: DataFrame, total: int) -> np.ndarray:
-    """A bit map of the pairs of tokens that occur LEAST_PAIR times, and, by chance, of a few others."""
+def _frequent(train: DataFrame, total: int, order: int, maps: Callable[[], tuple[np.ndarray, ...]]) -> np.ndarray:
+    """A bit map of the n-grams of an order that occur LEAST_PAIR times, and, by chance, of a few others."""
     bits = min(MAP_BITS - 6, max(3, math.ceil(math.log2(max(1, total / BUCKET)))))
-    cut = train.mapInArrow(_passes(_count_pairs(bits)), "bucket long, steps binary, times binary")
+    cut = train.mapInArrow(_passes(_count_roughly(order, bits, maps)), "bucket long, steps binary, times binary")
     got = cut.groupBy("bucket").applyInArrow(_often(bits), "bucket long, marks binary").toArrow()  # 2 ** MAP_BITS bits in all
     out = np.zeros((1 << bits, 1 << (MAP_BITS - bits - 3)), np.uint8)
     for b, marks in zip(got["bucket"].to_pylist(), got["marks"].to_pylist(), strict=True):
@@ -215,38 +230,35 @@ def _frequent_pairs(train: DataFrame, total: int) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def _count_grams(order: int, maps: Callable[[], tuple[np.ndarray, ...]]):
-    """Counts of n-grams of an order that can matter: code g, those of its first (`a`) and last (`b`) order - 1 tokens.
-
-    Order 2: pairs in the first map. Above: both parts are in the first map (counted often enough), and one of them in the
-    second (contexts whose own suffix is a state).
-    """
+def _count_grams(order: int, maps: Callable[[], tuple[tuple[np.ndarray, ...], np.ndarray | None]]):
+    """Counts of n-grams of an order that can matter: code g, those of its first (`a`) and last (`b`) order - 1 tokens."""
 
     def make():
-        first, *second = maps()
-        held: list[np.ndarray] = []
+        known, frequent = maps()
+        # one array for all that is held, so that nothing is copied to be counted
+        space, used = [np.empty((3, HELD + (1 << 16)), np.uint64)], [0]
 
         def add(h: np.ndarray, place: np.ndarray) -> int:
-            shorter = h
-            for k in range(2, order):
-                shorter = longer(shorter, h, k)
-            g = longer(shorter, h, order)
-            if order == 2:
-                ok = (place >= 1) & in_map(first, g)
-            else:
-                good = in_map(first, shorter) & (place >= order - 2)
-                ok = good & before(good) & (place >= order - 1)
-                at = np.flatnonzero(ok)
-                ok[at] = in_map(second[0], shorter[at]) | in_map(second[0], shorter[at - 1])
-            at = np.flatnonzero(ok)
-            held.append(np.stack([g[at], shorter[at - 1], shorter[at]]))
+            g, shorter, at = _candidates(h, place, order, known)
+            if frequent is not None:
+                at = at[in_map(frequent, g[at])]
+            start, end = used[0], used[0] + len(at)
+            if end > space[0].shape[1]:  # a very long text
+                space[0] = np.concatenate([space[0][:, :start], np.empty((3, len(at)), np.uint64)], 1)
+            for row, part in zip(space[0], (g[at], shorter[at - 1], shorter[at]), strict=True):
+                row[start:end] = part
+            used[0] = end
             return len(at)
 
         def flush() -> pa.RecordBatch:
-            all_ = np.concatenate(held, 1) if held else np.empty((3, 0), np.uint64)
-            held.clear()
-            g, first_at, n = np.unique(all_[0], return_index=True, return_counts=True)
-            return _longs(g=g, a=all_[1][first_at], b=all_[2][first_at], n=n.astype(np.int64))
+            g, a, b = space[0][:, : used[0]]
+            order_ = np.argsort(g)
+            found = g[order_]
+            head = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else np.empty(0, np.int64)
+            at = order_[head]
+            out = _longs(g=g[at], a=a[at], b=b[at], n=np.diff(np.append(head, len(found))).astype(np.int64))
+            used[0] = 0
+            return out
 
         return add, flush
 
@@ -284,6 +296,19 @@ def _least_of_commonest(table: DataFrame, most: int) -> int:
     return least
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, total: int, **columns: str) -> DataFrame:
+    """rows with columns of a table (g, n, ..) by rows.key = table.g, null where that has no such row; a key has n rows at most.
+
+    Keys with one in MOST_HOT of all tokens are broadcast; their rows, once they have met them, scatter by their own code.
+    """
+    held = F.struct(*[F.col(c).alias(new) for new, c in columns.items()])
+    few = table.where(F.col("n") >= hot_least(total)).select(F.col("g").alias("hot_g"), held.alias("hot"))
+    rest = table.where(F.col("n") < hot_least(total)).select(F.col("g").alias("cold_g"), held.alias("cold"))
+    out = rows.join(F.broadcast(few), F.col(key) == F.col("hot_g"), "left").withColumn("at", F.when(F.col("hot").isNull(), F.col(key)).otherwise(F.col("g")))
+    got = F.coalesce("hot", "cold")
+    return out.join(rest, F.col("at") == F.col("cold_g"), "left").select(*rows.columns, *[got[new].alias(new) for new in columns])
+
+
 def _grow(counted: DataFrame, shorter: DataFrame, total: int, depth: int) -> tuple[DataFrame, DataFrame]:
     """Rows g, n, logp of the n-grams counted, with values of those that are symbols of a state; and the states.
 
@@ -291,8 +316,7 @@ def _grow(counted: DataFrame, shorter: DataFrame, total: int, depth: int) -> tup
     before it are no state.
     """
     ln10 = math.log(10)
-    rows = skew_join(counted, shorter.select(F.col("g").alias("a"), F.col("n").alias("whole")), ["a"], "whole", total, "left")
-    rows = skew_join(rows, shorter.select(F.col("g").alias("b"), F.col("n").alias("times"), F.col("logp").alias("q")), ["b"], "times", total, "left")
+    rows = _looked_up(_looked_up(counted, shorter, "a", total, whole="n"), shorter, "b", total, q="logp")
     whole = F.col("whole") + KAPPA
     e = 2 * F.col("n") * (F.log(F.col("n") / whole) - F.col("q") * ln10) + 2 * (F.col("whole") * F.pow(F.lit(10.0), F.col("q")) - F.col("n"))
     rows = staged(rows.withColumn("e", F.when(F.col("whole") >= LEAST_CONTEXT, e)).select("g", "a", "b", "n", "whole", "q", "e"), f"tree-tested-{depth}")
@@ -300,8 +324,8 @@ def _grow(counted: DataFrame, shorter: DataFrame, total: int, depth: int) -> tup
     states = told.groupBy("a", "whole").agg(F.sum("e").alias("sum_e"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("sum_n"), F.sum(F.pow(F.lit(10.0), F.col("q"))).alias("sum_q"))
     # the divergence that the telling symbols bear, against that of chance
     states = states.where((F.col("sum_e") >= 2 * LEAST_EVIDENCE + F.col("k")) & (F.col("sum_q") < 1 - 1e-9))
-    states = staged(states.select("a", F.col("whole").alias("times"), F.log10((whole - F.col("sum_n")) / whole / (1 - F.col("sum_q"))).alias("back")), f"tree-states-{depth}")
-    rows = skew_join(rows, states, ["a"], "times", total, "left")
+    states = staged(states.select(F.col("a").alias("g"), F.col("whole").alias("n"), F.log10((whole - F.col("sum_n")) / whole / (1 - F.col("sum_q"))).alias("back")), f"tree-states-{depth}")
+    rows = _looked_up(rows, states, "a", total, back="back")
     own = F.log10(F.col("n") / whole)
     logp = F.when(F.col("back").isNotNull(), F.when(F.col("e") >= LEAST_EVIDENCE, own).otherwise(F.col("q") + F.col("back")))
     value = F.when(F.col("back").isNotNull() & (F.col("e") >= LEAST_EVIDENCE), own - F.col("q") - F.col("back"))
@@ -310,34 +334,42 @@ def _grow(counted: DataFrame, shorter: DataFrame, total: int, depth: int) -> tup
 
 def fit(docs: DataFrame) -> Model:
     """Learns from the rows whose crc32(doc_id) modulo 10 is not 0."""
+    with scope(docs.sparkSession):
+        return _fit(docs)
+
+
+def _fit(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     train = docs.where(remainder("doc_id", 10) != 0).select(text_or_empty().alias("text"))
-    tokens = staged(train.mapInArrow(_passes(_count_tokens), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")), "tree-tokens")
+    tokens = staged(train.mapInArrow(_passes(_count_tokens), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")), "tree-tokens", keep=1)
     total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     root = tokens.select("g", "n", F.log10((F.col("n") + ALPHA) / F.lit(total + ALPHA * (distinct + 1))).alias("logp"))
-    maps = (_frequent_pairs(train, total),) if total else ()
-    grams, parts, counts, depth = root, [], [], 0
-    while maps:
-        shared = spark.sparkContext.broadcast(maps)  # one or two bit maps
+    grams, parts, counts, depth, maps = root, [], [], 0, ()
+    while total:
         order = depth + 2
-        counted = train.mapInArrow(_passes(_count_grams(order, lambda shared=shared: shared.value)), "g long, a long, b long, n long")
+        shared = spark.sparkContext.broadcast(maps)  # three bit maps
+        # pairs and triples are mostly of one kind each; a rough count spares the exact one those
+        frequent = spark.sparkContext.broadcast(_frequent(train, total, order, lambda shared=shared: shared.value) if order <= 3 else None)
+        counted = train.mapInArrow(_passes(_count_grams(order, lambda shared=shared, frequent=frequent: (shared.value, frequent.value))), "g long, a long, b long, n long")
         counted = staged(counted.groupBy("g", "a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PAIR), f"tree-counted-{order}")
+        shared.destroy()
+        frequent.destroy()
         grams, states = _grow(counted, grams, total, depth + 1)
         found = states.count()
-        shared.unpersist()
         if not found:
             break
         depth += 1
         counts.append(found)
-        parts += [grams.where("value is not null").select("g", "n", "value"), states.select(F.col("a").alias("g"), F.col("times").alias("n"), F.col("back").alias("value"))]
+        parts += [grams.where("value is not null").select("g", "n", "value"), states.select("g", "n", F.col("back").alias("value"))]
         # contexts to come: often enough, and their suffix is a state
-        after = skew_join(grams.where(F.col("n") >= LEAST_CONTEXT).select("g", F.col("b").alias("a")), states, ["a"], "times", total)
-        maps = (bit_map(grams), bit_map(after))
+        often = grams.where(F.col("n") >= LEAST_CONTEXT)
+        suited = _looked_up(often, states, "b", total, back="back").where("back is not null")
+        maps = (bit_map(grams), bit_map(often), bit_map(suited))
     values = spark.createDataFrame([], "g long, n long, value double")
     for p in parts:
         values = values.union(p)
     # an n-gram can be a symbol of one state and a state itself
-    values = staged(values.groupBy("g").agg(F.sum("value").alias("value"), F.max("n").alias("n")), "tree-values")
+    values = staged(values.groupBy("g").agg(F.sum("value").alias("value"), F.max("n").alias("n")), "tree-values", keep=1)
     return Model(tokens, values, _commonest(tokens, "n"), _commonest(values, "value"), bit_map(values), depth, total, distinct, tuple(counts))
 
 
