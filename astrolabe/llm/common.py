@@ -68,6 +68,37 @@ def numbered(df: DataFrame, name: str, label: str) -> DataFrame:
     return staged(df.withColumn(name, F.monotonically_increasing_id()), label)
 
 
+#: Rows of a page of a bit map are 2 ** PAGE_BITS that follow each other.
+PAGE_BITS = 12
+
+
+def with_row_values(rows: DataFrame, row: str, values: DataFrame, most: int, name: str) -> DataFrame:
+    """rows, a stored copy numbered in the column `row`, with the value that values (row_id, value) has of each; 0 where it has none.
+
+    Values are whole numbers from 0 to `most`. They travel as bit maps, one for each binary digit, of a bit a row, that are
+    broadcast: rows, however wide, stay where they are.
+    """
+    digits = range(max(1, int(most).bit_length()))
+    words = values.where("value > 0").groupBy(F.shiftright("row_id", PAGE_BITS).alias("page"), F.shiftright("row_id", 6).bitwiseAND((1 << PAGE_BITS - 6) - 1).cast("int").alias("word"))
+    one = "shiftleft(cast(shiftright(value, {}) & 1 AS bigint), cast(row_id & 63 AS int))"
+    words = words.agg(*[F.expr(f"bit_or({one.format(k)})").alias(f"d{k}") for k in digits])
+    every = F.sequence(F.lit(0), F.lit((1 << PAGE_BITS - 6) - 1))
+
+    def dense(k: int) -> Column:
+        held = F.map_from_entries(F.collect_list(F.struct("word", f"d{k}")))
+        return F.transform(every, lambda w: F.coalesce(F.element_at(held, w), F.lit(0).cast("long")))
+
+    page, bits = fresh(rows, "page"), [fresh(rows, f"bits{k}") for k in digits]
+    pages = words.groupBy("page").agg(*[dense(k).alias(bits[k]) for k in digits]).withColumnRenamed("page", page)
+    at = F.col("`" + row.replace("`", "``") + "`")
+    word = F.shiftright(at, 6).bitwiseAND((1 << PAGE_BITS - 6) - 1).cast("int") + 1
+    place = at.bitwiseAND(63).cast("int")
+    out = rows.join(F.broadcast(pages), F.shiftright(at, PAGE_BITS) == F.col(page), "left")
+    digit = lambda k: F.call_function("shiftright", F.element_at(F.col(bits[k]), word), place).bitwiseAND(1)
+    value = sum((digit(k) * (1 << k) for k in digits), F.lit(0))
+    return out.withColumn(name, F.coalesce(value, F.lit(0)).cast("int")).drop(page, *bits)
+
+
 #: A key is hot if it has HOT_ROWS rows and one in MOST_HOT of all rows, so there are MOST_HOT hot keys at most.
 HOT_ROWS, MOST_HOT = 1000, 10_000
 

@@ -1,10 +1,10 @@
 """Quality rules: counts of every text, and a hashed n-gram log-likelihood ratio.
 
 Byte n-grams (n = 4) of every text are hashed to 65,536 buckets. The raw multinomial counts all documents, the
-trusted one documents labelled of good quality (at most `FIT_ROWS` of them, by a hash of the id: a parameter). A
-document's score is the mean, over its n-grams, of the log ratio of trusted to raw probability; documents whose score
+trusted one all documents labelled of good quality: labels meet the ids of a stored, numbered copy, and a bit map of its rows
+finds the texts where they are. A document's score is the mean, over its n-grams, of the log ratio of trusted to raw probability; documents whose score
 is under one threshold, the same for all, fail. The threshold lies below the trusted scores: under their first
-percentile by `SLACK` times the distance from it to their median.
+percentile by `SLACK` times the distance from it to their median, both exact, over the scores of all trusted documents.
 
 Defined results: null and empty texts have no words and fail the base rules, as all texts under 50 words; texts are read
 whole, however long; without trusted documents the ratio rejects nothing; a score that equals the threshold passes; null labels
@@ -20,9 +20,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_rows, mix, staged, text_or_empty, word_hashes
+from .common import chunks, map_rows, mix, numbered, scope, staged, text_or_empty, with_row_values, word_hashes
 
-BUCKETS, GRAM, FIT_ROWS, SLACK = 1 << 16, 4, 20_000, 3.0
+BUCKETS, GRAM, SLACK = 1 << 16, 4, 3.0
+#: A quantile is sought in a histogram of so many bins, then in the bin that holds it, until so few values are left.
+BINS, FEW = 4096, 100_000
 LEAST_WORDS, MOST_REPEATED = 50, 50
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _WHITE = (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")
@@ -98,19 +100,49 @@ def _multinomial(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """The table of log ratios and the threshold."""
-    trusted = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null and quality = 1").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    texts = docs.select("doc_id", text_or_empty().alias("text"))
-    good = staged(texts.join(F.broadcast(trusted), "doc_id").select("text"), "quality-trusted")  # at most fit_rows ids
-    raw, target = _multinomial(texts), _multinomial(good)
-    if not target.sum():
-        return np.zeros(BUCKETS), -1.0
-    share = lambda c: np.log((c + 0.5) / (c.sum() + 0.5 * BUCKETS))
-    ratio = share(target) - share(raw)
-    scores = map_rows(good, "score double, n_words long", _scored(ratio)).where(F.col("n_words") >= LEAST_WORDS)
-    low, middle = scores.agg(F.percentile("score", F.array(F.lit(0.01), F.lit(0.5)))).first()[0] or (0.0, 0.0)
-    return ratio, low - SLACK * (middle - low)
+    with scope(docs.sparkSession):
+        trusted = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null and quality = 1").distinct()
+        texts = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), "row_id", "quality-texts")
+        at = texts.select("row_id", "doc_id").join(trusted, "doc_id", "left_semi").select("row_id", F.lit(1).alias("value"))
+        good = with_row_values(texts, "row_id", at, 1, "good").where("good = 1").select("text")
+        raw, target = _multinomial(texts), _multinomial(good)
+        if not target.sum():
+            return np.zeros(BUCKETS), -1.0
+        share = lambda c: np.log((c + 0.5) / (c.sum() + 0.5 * BUCKETS))
+        ratio = share(target) - share(raw)
+        scores = map_rows(good, "score double, n_words long", _scored(ratio)).where(F.col("n_words") >= LEAST_WORDS)
+        low, middle = quantiles(staged(scores.select("score"), "quality-scores"), (0.01, 0.5)) or (0.0, 0.0)
+        return ratio, low - SLACK * (middle - low)
+
+
+def quantiles(scores: DataFrame, shares: tuple[float, ...]) -> list[float] | None:
+    """Exact quantiles of the column `score`, between two values by their distance; None of no values."""
+    least, most, n = scores.agg(F.min("score"), F.max("score"), F.count("score")).first()
+    if not n:
+        return None
+
+    def ranked(k: int) -> float:
+        low, high, part, k = least, most, scores, k
+        rows = n
+        while low < high and rows > FEW:
+            width = (high - low) / BINS
+            cell = F.least(F.floor((F.col("score") - F.lit(low)) / F.lit(width)), F.lit(BINS - 1))
+            found = part.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+            for r in sorted(found.collect()):  # BINS rows at most
+                if k < r.n:
+                    break
+                k -= r.n
+            part, low, high, rows = part.where(F.col("score").between(r.low, r.high)), r.low, r.high, r.n
+        return low if low == high else sorted(x.score for x in part.collect())[k]  # FEW at most
+
+    out = []
+    for share in shares:
+        place = share * (n - 1)
+        below, above = ranked(int(place)), ranked(min(n - 1, int(place) + 1))
+        out.append(below + (above - below) * (place - int(place)))
+    return out
 
 
 def _scored(ratio: np.ndarray):
