@@ -111,17 +111,20 @@ def hot_least(rows: int) -> int:
 def skew_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], count: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined to a table of unique, non-null keys, whose column `count` bounds how many rows a key has.
 
-    Rows of hot keys meet a broadcast of those keys alone, MOST_HOT rows at most, where they are; rows with a null key meet
-    nothing; only the others shuffle. `how` is inner or left.
+    Rows of hot keys, known by their hash, meet a broadcast of those keys alone, MOST_HOT rows at most, where they are; rows with
+    a null key meet nothing; only the others shuffle. `how` is inner or left.
     """
     keys = list(keys)
     least = hot_least(total)
-    mark = fresh(rows, "hot_key")
-    few = F.broadcast(table.where(F.col(count) >= least))
-    known = rows.dropna(subset=keys).join(few.select(*keys, F.lit(True).alias(mark)), keys, "left")
-    hot = known.where(F.col(mark)).drop(mark).join(few, keys)
-    rest = known.where(F.col(mark).isNull()).drop(mark).join(table.where(F.col(count) < least), keys, how)
-    out = hot.unionByName(rest)
+    code = F.xxhash64(*[F.col(k).cast(table.schema[k].dataType) for k in keys])
+    hot = [r.code for r in table.where(F.col(count) >= least).select(code.alias("code")).distinct().collect()]
+    known = rows.dropna(subset=keys)
+    if not hot:
+        out = known.join(table, keys, how)
+    else:
+        # a key that shares its code with a hot one goes with it, on both sides
+        is_hot = code.isin(hot)
+        out = known.where(is_hot).join(F.broadcast(table.where(is_hot)), keys, how).unionByName(known.where(~is_hot).join(table.where(~is_hot), keys, how))
     if how == "left":
         bare = rows.where(" or ".join(f"`{k}` is null" for k in keys))
         out = out.unionByName(bare, allowMissingColumns=True)

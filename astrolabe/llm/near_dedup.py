@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh, map_rows, mix, numbered, scope, skew_join, staged, text_or_empty, word_hashes
+from .common import chunks, fresh, map_rows, mix, numbered, scope, skew_join, staged, text_or_empty, with_row_values, word_hashes
 from .exact_dedup import docs_column
 
 WIDTH = 5
@@ -52,6 +52,8 @@ MORE_BUCKETS = 1024
 #: A pair at the threshold shares no bucket with at most this probability.
 MOST_MISSED = 1e-6
 BLOCK = 512
+#: So many edges are joined by the driver, 16 bytes each; more of them by alternating stars.
+FEW_EDGES = 500_000
 
 _COEFFICIENTS = mix(np.arange(11, 11 + WIDTH, dtype=np.uint64)) | np.uint64(1)
 
@@ -303,12 +305,15 @@ def _joined_groups(members: DataFrame, attach, find, label: str) -> DataFrame:
 
 
 def components(links: DataFrame, label: str = "near-components") -> DataFrame:
-    """(id, root) for every id in links (a, b), root the least id reachable; alternating large and small stars.
+    """(id, root) for every id in links (a, b), root the least id reachable: by the driver where edges are few, else by
+    alternating large and small stars.
 
     Both steps keep what is connected; they end once every edge leads straight to the root of its component. The edges
     of hubs meet their least neighbour by a broadcast of the hubs alone.
     """
     edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{label}-0")
+    if edges.count() <= FEW_EDGES:
+        return staged(_few_components(edges), f"{label}-few")
     k = 0
     while not _all_stars(edges):
         k += 1
@@ -322,6 +327,23 @@ def components(links: DataFrame, label: str = "near-components") -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
+def _few_components(edges: DataFrame) -> DataFrame:
+    """(id, root) of FEW_EDGES edges at most, found by the driver: each id takes its neighbours' least root, and that one's."""
+    table = edges.toArrow()
+    ids, at = np.unique(np.concatenate([table["u"].to_numpy(), table["v"].to_numpy()]), return_inverse=True)
+    u, v = np.split(at, 2)
+    root, last = np.arange(len(ids)), None
+    while last is None or (root != last).any():
+        last = root.copy()
+        least = np.minimum(root[u], root[v])
+        for ends in (u, v):
+            np.minimum.at(root, ends, least)
+            np.minimum.at(root, last[ends], least)
+        while (root != root[root]).any():
+            root = root[root]
+    return edges.sparkSession.createDataFrame(pa.table({"id": pa.array(ids, pa.int64()), "root": pa.array(ids[root], pa.int64())}))
+
+
 def _all_stars(edges: DataFrame) -> bool:
     """Whether no id has two edges to lesser ids, or one to a lesser and one from a greater id."""
     ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
@@ -343,7 +365,9 @@ def _class_roots(texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame,
     )
     families = staged(families.select(F.col("root").alias("key"), F.col("id").alias("cid")), "near-members")
     rows = classes.select("cid", "row_id")
-    text = texts.select("row_id", "text")
+    # only texts of families travel
+    wanted = rows.join(families.select("cid"), "cid", "left_semi").select("row_id", F.lit(1).alias("value"))
+    text = with_row_values(texts, "row_id", wanted, 1, "wanted").where("wanted = 1").select("row_id", "text")
     links = _joined_groups(families, lambda dealt: text.join(dealt.join(rows, "cid"), "row_id").drop("row_id"), _with(_family_links, percent), "near-links")
     return signed, classes, staged(links, "near-roots")
 
@@ -377,5 +401,6 @@ def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     grouped = _labelled(texts, percent).where("root is not null")
     first = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row_id").alias("keep_row"))
     # rows that are kept, one a component; all others of a component go
-    gone = grouped.select(F.col("row_id").alias(row)).join(first.select(F.col("keep_row").alias(row)), row, "left_anti")
-    return rows.join(gone, row, "left_anti").select(*[docs_column(docs, c) for c in docs.columns])
+    gone = grouped.select("row_id").join(first.select(F.col("keep_row").alias("row_id")), "row_id", "left_anti").select("row_id", F.lit(1).alias("value"))
+    mark = fresh(rows, "gone")
+    return with_row_values(rows, row, gone, 1, mark).where(F.col(mark) == 0).select(*[docs_column(docs, c) for c in docs.columns])

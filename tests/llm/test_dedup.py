@@ -95,6 +95,44 @@ def test_components_of_chains_and_stars(spark):
     assert {(x.id, x.root) for x in got.collect()} == {(k, v) for k, v in label.items() if k in linked}
 
 
+def test_components_of_many_edges(spark, monkeypatch):
+    """The driver's components of few edges are those of the alternating stars."""
+    r = random.Random(9)
+    pairs = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(500 + k, 501 + k) for k in range(50)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    few = {(x.id, x.root) for x in near_dedup.components(links).collect()}
+    monkeypatch.setattr(near_dedup, "FEW_EDGES", 0)
+    assert few == {(x.id, x.root) for x in near_dedup.components(links).collect()} and {500, 550} <= {x for x, root in few if root == 500}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("drop", [near_dedup.drop_near_duplicates])
+def test_whole_rows_stay_where_they_are(spark, drop):
+    """What a stage hands on is found by bit maps, not by a shuffle of all columns, at any size."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(drop(table(spark, corpus(7)[:40])))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"\w+Join", plan)[0] == "BroadcastHashJoin"  # the outermost, of whole rows
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_skew_joins(spark, monkeypatch, hot, how):
+    """One join of all rows where no key is hot; with and without hot keys the rows of a plain join."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    rows = spark.createDataFrame([(k % 7 if k % 5 else None, k) for k in range(50)], "key int, v long")
+    sizes = spark.createDataFrame([(k, 10 if k < 2 else 1) for k in range(5)], "key long, n long")
+    got = common.skew_join(rows, sizes, ["key"], "n", 50, how)
+    want = rows.join(sizes, "key", how)
+    assert sorted(map(str, got.select("key", "v", "n").collect())) == sorted(map(str, want.select("key", "v", "n").collect()))
+    assert plan_of(got).count("LeftOuter") == (0 if how == "inner" else 1 if hot == 1000 else 2)
+
+
 def test_bands_and_estimates_of_known_similarity():
     r = np.random.default_rng(5)
     missed, errors = 0, []
