@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, hot_least, numbered, scope, skew_join, staged, text_or_empty
+from .common import SPACE, fresh, hot_least, numbered, scope, skew_join, staged, text_or_empty, with_row_values
 
 #: A hot digest group is merged in so many parts before its winners meet.
 SALTS = 256
@@ -72,8 +72,9 @@ def drop_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The documents that stay, with all their columns."""
     row = fresh(docs, "row_id")
     rows = numbered(docs, row, "exact-rows")
-    gone = _decisions(rows, docs_column(rows, row), salts).where("not kept").select(F.col("row_id").alias(row))
-    return rows.join(gone, row, "left_anti").select(*[docs_column(docs, c) for c in docs.columns])
+    gone = _decisions(rows, docs_column(rows, row), salts).where("not kept").select("row_id", F.lit(1).alias("value"))
+    mark = fresh(rows, "gone")
+    return with_row_values(rows, row, gone, 1, mark).where(F.col(mark) == 0).select(*[docs_column(docs, c) for c in docs.columns])
 
 
 def docs_column(docs: DataFrame, name: str) -> Column:

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, numbered, scope, staged, text_or_empty
+from .common import SPACE, fresh, numbered, scope, staged, text_or_empty, with_row_values
 from .exact_dedup import docs_column
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, 20
@@ -102,5 +102,6 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: floa
     row = fresh(docs, "row_id")
     rows = numbered(docs, row, "mix-rows")
     times, again = fresh(rows, "copies"), fresh(rows, "copy")
-    taken = _copies(rows, docs_column(rows, row), weights, cap, seed).where("copies > 0").select(F.col("row_id").alias(row), F.col("copies").alias(times))
-    return rows.join(taken, row).withColumn(again, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[docs_column(docs, c) for c in docs.columns])
+    taken = _copies(rows, docs_column(rows, row), weights, cap, seed).select("row_id", F.col("copies").alias("value"))
+    counted = with_row_values(rows, row, taken, int(cap), times).where(F.col(times) > 0)
+    return counted.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[docs_column(docs, c) for c in docs.columns])

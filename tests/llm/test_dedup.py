@@ -109,7 +109,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("drop", [near_dedup.drop_near_duplicates])
+@pytest.mark.parametrize("drop", [exact_dedup.drop_duplicates, near_dedup.drop_near_duplicates, mixing.mix_documents])
 def test_whole_rows_stay_where_they_are(spark, drop):
     """What a stage hands on is found by bit maps, not by a shuffle of all columns, at any size."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
