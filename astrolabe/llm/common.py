@@ -50,8 +50,13 @@ def scope(spark: SparkSession) -> Iterator[None]:
     finally:
         for path in _SCOPES.pop():
             delete(spark, path)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files of plans that are collected
+        drop_shuffles(spark)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Spark drops the shuffle files of plans that are collected, which by itself it does when the driver's memory fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -10,9 +10,11 @@ number of states, so what is gathered grows with the corpus. Each token is score
 Scores add up: log P(w | longest state) is log P(w) and, for each longer state of the chain, what it changes: for a symbol of
 its own log P(w | s) - log P(w | shorter state), else its back-off weight. So every n-gram of the tree has one value, and a
 text's score is its base score and the values of its n-grams, whatever their order. Words and n-grams are known by 64-bit
-hashes; counts and values are tables joined on them. Bit maps of fixed size (MAP_BITS) spare the joins most n-grams that
-are in no table; those that pass by chance are dropped by the join. The COMMON tokens and values that are used most are
-broadcast; every other one is found by the join, so these bounds do not change a score.
+hashes; counts and values are tables joined on them. Bit maps of fixed sizes (MAP_BITS, ROUGH_BITS) spare the joins most
+n-grams that are in no table; those that pass by chance are dropped by the join. An n-gram has a value only if it is a state or
+follows one, and the suffix of a state is a state: scoring looks up what continues a chain of states, so that chance does not
+add up with the tokens and the depth. The COMMON tokens and values that are used most are broadcast; every other one is found
+by the join, a slice of the codes at a time (SLICES), so these bounds do not change a score.
 
 Defined results: a null or empty text is one end token; null ids count as an empty text in the hash; repeated rows count
 and are scored each; equal texts have equal scores; with no training row every token has probability one in V + 1 = 1; an
@@ -30,12 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_least, mix, remainder, scope, staged, text_or_empty, word_chunks
+from .common import drop_shuffles, hot_least, mix, remainder, scope, staged, text_or_empty, word_chunks
 
 ALPHA, KAPPA = 0.1, 1.0
 LEAST_CONTEXT, LEAST_PAIR, LEAST_EVIDENCE = 8, 4, 8.0
 COMMON = 500_000
 MAP_BITS = 26
+#: Of the bit maps that the rough counts of pairs and triples make, by order.
+ROUGH_BITS = {2: 28, 3: 27}
+#: N-grams to look up are joined in so many slices of their codes, a power of two, one after the other.
+SLICES = 4
 #: Task-wise counts are handed on after so many n-grams.
 HELD = 500_000
 #: N-grams that a task counts at once in the first count of pairs, about.
@@ -67,7 +73,7 @@ def longer(codes: np.ndarray, h: np.ndarray, order: int) -> np.ndarray:
 
 
 def in_map(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    at = codes >> np.uint64(64 - MAP_BITS)
+    at = codes >> np.uint64(65 - (64 * len(bits)).bit_length())
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -147,17 +153,26 @@ def _count_tokens():
     return lambda h, place: held.append(h) or len(h), flush
 
 
-def _cut(codes: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Sorted 48-bit codes by bucket (their first bits), as steps from one to the next, and their counts up to 255."""
-    edges = np.searchsorted(codes, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(48 - bits))
+def _cut(codes: np.ndarray, counts: np.ndarray, width: int, bits: int) -> pa.RecordBatch:
+    """Sorted codes of a width by bucket (their first bits): steps from one to the next, byte by byte, and their counts up to 255."""
+    edges = np.searchsorted(codes, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(width - bits))
     full = np.flatnonzero(edges[1:] > edges[:-1])
-    steps, times = [], []
+    sizes, packed = [], []
     for b in full.tolist():
-        part = codes[edges[b] : edges[b + 1]] - (np.uint64(b) << np.uint64(48 - bits))
-        step = np.diff(part, prepend=np.uint64(0))
-        steps.append((step.astype("<u4") if step.max() < 1 << 32 else step.astype("<u8")).tobytes())
-        times.append(counts[edges[b] : edges[b + 1]].tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(steps, pa.binary()), pa.array(times, pa.binary())], ["bucket", "steps", "times"])
+        part = codes[edges[b] : edges[b + 1]] - (np.uint64(b) << np.uint64(width - bits))
+        step = np.diff(part, prepend=np.uint64(0)).astype("<u8")
+        planes = step.view(np.uint8).reshape(-1, 8)[:, : max(1, (int(step.max()).bit_length() + 7) // 8)]
+        packed.append(pa.compress(planes.T.tobytes() + counts[edges[b] : edges[b + 1]].tobytes(), codec="zstd", asbytes=True))
+        sizes.append((len(step), planes.shape[1]))
+    sizes = np.array(sizes, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(sizes[:, 0]), pa.array(sizes[:, 1]), pa.array(packed, pa.binary())], ["bucket", "codes", "planes", "packed"])
+
+
+def _uncut(codes: int, planes: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.decompress(packed, codes * (planes + 1), codec="zstd", asbytes=True), np.uint8).reshape(planes + 1, codes)
+    step = np.zeros((codes, 8), np.uint8)
+    step[:, :planes] = raw[:planes].T
+    return np.cumsum(step.view("<u8")[:, 0]), raw[planes]
 
 
 def _candidates(h: np.ndarray, place: np.ndarray, order: int, maps: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,52 +194,53 @@ def _candidates(h: np.ndarray, place: np.ndarray, order: int, maps: tuple[np.nda
     return g, shorter, at
 
 
-def _count_roughly(order: int, bits: int, maps: Callable[[], tuple[np.ndarray, ...]]):
+def _count_roughly(order: int, width: int, bits: int, maps: Callable[[], tuple[np.ndarray, ...]]):
     def make():
         held: list[np.ndarray] = []
         known = maps()
 
         def add(h: np.ndarray, place: np.ndarray) -> int:
             g, _, at = _candidates(h, place, order, known)
-            held.append(g[at] >> np.uint64(16))
+            held.append(g[at] >> np.uint64(64 - width))
             return len(at)
 
         def flush() -> pa.RecordBatch:
             codes, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
             held.clear()
-            return _cut(codes, np.minimum(n, 255).astype(np.uint8), bits)
+            return _cut(codes, np.minimum(n, 255).astype(np.uint8), width, bits)
 
         return add, flush
 
     return make
 
 
-def _often(bits: int):
-    """Of a bucket of 48-bit codes, the bit map of those counted LEAST_PAIR times, as far as the bucket reaches."""
+def _often(order: int, width: int, bits: int):
+    """Of a bucket of codes, the bit map of those counted LEAST_PAIR times, as far as the bucket reaches."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        codes, counts = [], []
-        for step, times in zip(table["steps"].to_pylist(), table["times"].to_pylist(), strict=True):
-            counts.append(np.frombuffer(times, np.uint8))
-            codes.append(np.cumsum(np.frombuffer(step, "<u4" if len(step) == 4 * len(times) else "<u8").astype(np.uint64)))
-        codes, counts = np.concatenate(codes), np.concatenate(counts).astype(np.int64)
-        order = np.argsort(codes)
-        codes, counts = codes[order], counts[order]
+        parts = [_uncut(*row) for row in zip(*(table[c].to_pylist() for c in ("codes", "planes", "packed")), strict=True)]
+        codes, counts = np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts]).astype(np.int64)
+        at = np.argsort(codes)
+        codes, counts = codes[at], counts[at]
         head = np.flatnonzero(np.diff(codes, prepend=np.uint64(1 << 63)) != 0)
         often = codes[head][np.add.reduceat(counts, head) >= LEAST_PAIR]
-        marks = np.zeros(1 << (MAP_BITS - bits), bool)
-        marks[(often >> np.uint64(48 - MAP_BITS)).astype(np.int64)] = True
+        marks = np.zeros(1 << (ROUGH_BITS[order] - bits), bool)
+        marks[(often >> np.uint64(width - ROUGH_BITS[order])).astype(np.int64)] = True
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "marks": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
 
     return run
 
 
 def _frequent(train: DataFrame, total: int, order: int, maps: Callable[[], tuple[np.ndarray, ...]]) -> np.ndarray:
-    """A bit map of the n-grams of an order that occur LEAST_PAIR times, and, by chance, of a few others."""
+    """A bit map of the n-grams of an order that occur LEAST_PAIR times, and, by chance, of a few others.
+
+    Codes are cut to a width at which a code is shared by one in 64 n-grams at most, if all of them differ.
+    """
     bits = min(MAP_BITS - 6, max(3, math.ceil(math.log2(max(1, total / BUCKET)))))
-    cut = train.mapInArrow(_passes(_count_roughly(order, bits, maps)), "bucket long, steps binary, times binary")
-    got = cut.groupBy("bucket").applyInArrow(_often(bits), "bucket long, marks binary").toArrow()  # 2 ** MAP_BITS bits in all
-    out = np.zeros((1 << bits, 1 << (MAP_BITS - bits - 3)), np.uint8)
+    width = min(48, max(34, math.ceil(math.log2(total)) + 6))
+    cut = train.mapInArrow(_passes(_count_roughly(order, width, bits, maps)), "bucket long, codes long, planes long, packed binary")
+    got = cut.groupBy("bucket").applyInArrow(_often(order, width, bits), "bucket long, marks binary").toArrow()  # 2 ** ROUGH_BITS bits in all
+    out = np.zeros((1 << bits, 1 << (ROUGH_BITS[order] - bits - 3)), np.uint8)
     for b, marks in zip(got["bucket"].to_pylist(), got["marks"].to_pylist(), strict=True):
         out[b] = np.frombuffer(marks, np.uint8)
     return out.reshape(-1).view(np.uint64)
@@ -256,7 +272,8 @@ def _count_grams(order: int, maps: Callable[[], tuple[tuple[np.ndarray, ...], np
             found = g[order_]
             head = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else np.empty(0, np.int64)
             at = order_[head]
-            out = _longs(g=g[at], a=a[at], b=b[at], n=np.diff(np.append(head, len(found))).astype(np.int64))
+            columns = {"g": g[at]} if order > 2 else {}  # a pair's code comes of its two tokens
+            out = _longs(**columns, a=a[at], b=b[at], n=np.diff(np.append(head, len(found))).astype(np.int64))
             used[0] = 0
             return out
 
@@ -265,6 +282,20 @@ def _count_grams(order: int, maps: Callable[[], tuple[tuple[np.ndarray, ...], np
     return make
 
 
+def _with_pair_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "n"))
+        yield _longs(g=mix(a.view(np.uint64) * _NEXT + b.view(np.uint64) + np.uint64(2)), a=a, b=b, n=n)
+
+
+def _counted(train: DataFrame, order: int, maps: Callable[[], tuple[tuple[np.ndarray, ...], np.ndarray | None]]) -> DataFrame:
+    """g, a, b and n of the n-grams of an order that can matter and occur LEAST_PAIR times."""
+    keys = ["g", "a", "b"] if order > 2 else ["a", "b"]
+    parts = train.mapInArrow(_passes(_count_grams(order, maps)), "".join(f"{k} long, " for k in keys) + "n long")
+    out = parts.groupBy(*keys).agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PAIR)
+    return out if order > 2 else out.mapInArrow(_with_pair_codes, "g long, a long, b long, n long")
+
+
 # --- the tree -----------------------------------------------------------------------------
 
 
@@ -277,6 +308,7 @@ class Model:
     common: tuple[np.ndarray, np.ndarray]  # codes, counts
     used: tuple[np.ndarray, np.ndarray]  # codes, values
     known: np.ndarray  # bit map of all n-grams with a value
+    contexts: np.ndarray  # bit map of all states
     depth: int
     total: int
     distinct: int
@@ -324,12 +356,12 @@ def _grow(counted: DataFrame, shorter: DataFrame, total: int, depth: int) -> tup
     states = told.groupBy("a", "whole").agg(F.sum("e").alias("sum_e"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("sum_n"), F.sum(F.pow(F.lit(10.0), F.col("q"))).alias("sum_q"))
     # the divergence that the telling symbols bear, against that of chance
     states = states.where((F.col("sum_e") >= 2 * LEAST_EVIDENCE + F.col("k")) & (F.col("sum_q") < 1 - 1e-9))
-    states = staged(states.select(F.col("a").alias("g"), F.col("whole").alias("n"), F.log10((whole - F.col("sum_n")) / whole / (1 - F.col("sum_q"))).alias("back")), f"tree-states-{depth}")
+    states = staged(states.select(F.col("a").alias("g"), F.col("whole").alias("n"), F.log10((whole - F.col("sum_n")) / whole / (1 - F.col("sum_q"))).alias("back")), f"tree-states-{depth}", keep=1)
     rows = _looked_up(rows, states, "a", total, back="back")
     own = F.log10(F.col("n") / whole)
     logp = F.when(F.col("back").isNotNull(), F.when(F.col("e") >= LEAST_EVIDENCE, own).otherwise(F.col("q") + F.col("back")))
     value = F.when(F.col("back").isNotNull() & (F.col("e") >= LEAST_EVIDENCE), own - F.col("q") - F.col("back"))
-    return staged(rows.select("g", "b", "n", logp.alias("logp"), value.alias("value")), f"tree-grams-{depth}"), states
+    return staged(rows.select("g", "b", "n", logp.alias("logp"), value.alias("value")), f"tree-grams-{depth}", keep=1), states
 
 
 def fit(docs: DataFrame) -> Model:
@@ -344,33 +376,39 @@ def _fit(docs: DataFrame) -> Model:
     tokens = staged(train.mapInArrow(_passes(_count_tokens), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")), "tree-tokens", keep=1)
     total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     root = tokens.select("g", "n", F.log10((F.col("n") + ALPHA) / F.lit(total + ALPHA * (distinct + 1))).alias("logp"))
-    grams, parts, counts, depth, maps = root, [], [], 0, ()
+    # no token of an n-gram is rarer than it
+    grams, parts, held, counts, depth, maps = root.where(F.col("n") >= LEAST_PAIR), [], [], [], 0, ()
     while total:
         order = depth + 2
         shared = spark.sparkContext.broadcast(maps)  # three bit maps
         # pairs and triples are mostly of one kind each; a rough count spares the exact one those
         frequent = spark.sparkContext.broadcast(_frequent(train, total, order, lambda shared=shared: shared.value) if order <= 3 else None)
-        counted = train.mapInArrow(_passes(_count_grams(order, lambda shared=shared, frequent=frequent: (shared.value, frequent.value))), "g long, a long, b long, n long")
-        counted = staged(counted.groupBy("g", "a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PAIR), f"tree-counted-{order}")
-        shared.destroy()
-        frequent.destroy()
-        grams, states = _grow(counted, grams, total, depth + 1)
-        found = states.count()
+        drop_shuffles(spark)
+        with scope(spark):
+            counted = staged(_counted(train, order, lambda shared=shared, frequent=frequent: (shared.value, frequent.value)), f"tree-counted-{order}")
+            shared.destroy()
+            frequent.destroy()
+            drop_shuffles(spark)
+            grams, states = _grow(counted, grams, total, depth + 1)
+            found = states.count()
         if not found:
             break
         depth += 1
         counts.append(found)
         parts += [grams.where("value is not null").select("g", "n", "value"), states.select("g", "n", F.col("back").alias("value"))]
+        held.append(states)
         # contexts to come: often enough, and their suffix is a state
         often = grams.where(F.col("n") >= LEAST_CONTEXT)
         suited = _looked_up(often, states, "b", total, back="back").where("back is not null")
         maps = (bit_map(grams), bit_map(often), bit_map(suited))
-    values = spark.createDataFrame([], "g long, n long, value double")
+    values, contexts = spark.createDataFrame([], "g long, n long, value double"), spark.createDataFrame([], "g long")
     for p in parts:
         values = values.union(p)
+    for p in held:
+        contexts = contexts.union(p.select("g"))
     # an n-gram can be a symbol of one state and a state itself
     values = staged(values.groupBy("g").agg(F.sum("value").alias("value"), F.max("n").alias("n")), "tree-values", keep=1)
-    return Model(tokens, values, _commonest(tokens, "n"), _commonest(values, "value"), bit_map(values), depth, total, distinct, tuple(counts))
+    return Model(tokens, values, _commonest(tokens, "n"), _commonest(values, "value"), bit_map(values), bit_map(contexts), depth, total, distinct, tuple(counts))
 
 
 def _commonest(table: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
@@ -379,15 +417,43 @@ def _commonest(table: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
     return got["g"].to_numpy().view(np.uint64), got[column].to_numpy()
 
 
+def _valued(h: np.ndarray, place: np.ndarray, known: np.ndarray, contexts: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By order, the places at which n-grams end that can have a value, and their codes.
+
+    An n-gram of k tokens has one only if it is a state or its first k - 1 tokens are; and the last k - 1 tokens of a state are one.
+    """
+    g, state = h, np.ones(len(h), bool)
+    for order in range(1, depth + 2 if depth else 1):
+        g = longer(g, h, order) if order > 1 else g
+        fits = place >= order - 1
+        after = np.append(False, state[:-1]) & fits if order > 1 else np.zeros(len(h), bool)
+        at = np.flatnonzero(state & fits)
+        at = at[in_map(contexts, g[at])]
+        state = np.zeros(len(h), bool)
+        state[at] = True
+        at = np.flatnonzero(after | state)
+        at = at[in_map(known, g[at])]
+        yield at, g[at]
+        if not state.any():
+            return
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    with scope(docs.sparkSession):
+        return _score(docs, model)
+
+
+def _score(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     denominator = model.total + ALPHA * (model.distinct + 1)
-    depth = model.depth
-    shared = spark.sparkContext.broadcast((model.common, model.used, model.known))  # COMMON rows each, and a bit map
+    depth, slices = model.depth, SLICES
+    slice_bits = slices.bit_length() - 1
+    shared = spark.sparkContext.broadcast((model.common, model.used, model.known, model.contexts))  # COMMON rows each, and bit maps
+    lists = [f"grams{k}" for k in range(slices)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (codes, counts), (grams, values), known = shared.value
+        (codes, counts), (grams, values), known, contexts = shared.value
         tokens, used = Lookup(codes), Lookup(grams)
         logs, values = np.append(np.log10((counts + ALPHA) / denominator), 0.0), np.append(values, 0.0)
         for batch in batches:
@@ -395,37 +461,49 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 starts, n = bounds[:-1], len(bounds) - 1
                 found = tokens.find(h)
                 rare = np.flatnonzero(found < 0)
-                gain, rest, where = np.zeros(len(h)), [], []
-                g = h
-                for order in range(1, depth + 2 if depth else 1):
-                    g = longer(g, h, order) if order > 1 else g
-                    live = np.flatnonzero(in_map(known, g) & (place >= order - 1))
-                    k = used.find(g[live])
+                gain, rest, where = np.zeros(len(h)), [h[:0]], [np.empty(0, np.int64)]
+                for live, g in _valued(h, place, known, contexts, depth):
+                    k = used.find(g)
                     gain[live] += values[k]  # the last value, for -1, is 0
-                    rest.append(g[live[k < 0]])
+                    rest.append(g[k < 0])
                     where.append(live[k < 0])
-                where, rest = (np.concatenate(where), np.concatenate(rest)) if rest else (np.empty(0, np.int64), h[:0])
+                where, rest = np.concatenate(where), np.concatenate(rest)
                 order_ = np.argsort(where, kind="stable")
+                where, rest = where[order_], rest[order_]
+                slice_ = (rest >> np.uint64(32)) & np.uint64(slices - 1)
                 ids, held = batch.column(0).slice(at, n), batch.column(1).slice(at, n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids, held, pa.array(np.diff(bounds)), pa.array(np.add.reduceat((found >= 0).astype(np.int64), starts)),
                         pa.array(np.add.reduceat(logs[found], starts)), pa.array(np.add.reduceat(gain, starts)),
-                        _lists(rare, h[rare], bounds), _lists(where[order_], rest[order_], bounds),
+                        _lists(rare, h[rare], bounds), *[_lists(where[slice_ == k], rest[slice_ == k], bounds) for k in range(slices)],
                     ],
-                    ["doc_id", "held_out", "n_tokens", "common", "part", "gain", "others", "grams"],
+                    ["doc_id", "held_out", "n_tokens", "common", "part", "gain", "others", *lists],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder("doc_id", 10) == 0).alias("held_out"), text_or_empty().alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, common long, part double, gain double, others array<long>, grams array<long>")
+    schema = "doc_id long, held_out boolean, n_tokens long, common long, part double, gain double, others array<long>"
+    scored = rows.mapInArrow(run, schema + "".join(f", {c} array<long>" for c in lists))
     scored = staged(scored.withColumn("row_id", F.monotonically_increasing_id()), "tree-scores")
     rare = scored.select("row_id", F.explode("others").alias("g")).join(model.tokens, "g", "left")
     n = F.coalesce(F.col("n"), F.lit(0))
-    rare = rare.select("row_id", F.log10((n + ALPHA) / denominator).alias("rest"), (n > 0).cast("long").alias("seen"), F.lit(0.0).alias("more"))
-    more = scored.select("row_id", F.explode("grams").alias("g")).join(model.values, "g").select("row_id", F.lit(0.0), F.lit(0).cast("long"), "value")
-    sums = rare.union(more).groupBy("row_id").agg(F.sum("rest").alias("rest"), F.sum("seen").alias("seen"), F.sum("more").alias("more"))
+    rare = rare.select("row_id", F.log10((n + ALPHA) / denominator).alias("rest"), (n > 0).cast("long").alias("seen"))
+    rare = staged(rare.groupBy("row_id").agg(F.sum("rest").alias("rest"), F.sum("seen").alias("seen")), "tree-rare", keep=1)
+    # one slice of the n-grams after the other, so that the disk holds the shuffles of one
+    more = []
+    for k, column in enumerate(lists):
+        drop_shuffles(spark)
+        values = model.values.where(F.expr(f"shiftrightunsigned(g, 32) & {slices - 1} = {k}")).select("g", "value")
+        got = scored.select("row_id", F.explode(column).alias("g")).join(values, "g").groupBy("row_id").agg(F.sum("value").alias("more"))
+        more.append(staged(got, f"tree-more-{k}", keep=1))
+    drop_shuffles(spark)
+    out = staged(scored.drop("others", *lists), "tree-parts", keep=1)
+    sums = rare.withColumn("more", F.lit(0.0))
+    for m in more:
+        sums = sums.union(m.select("row_id", F.lit(0.0), F.lit(0).cast("long"), "more"))
+    sums = sums.groupBy("row_id").agg(F.sum("rest").alias("rest"), F.sum("seen").alias("seen"), F.sum("more").alias("more"))
     base = F.col("part") + F.coalesce("rest", F.lit(0.0))
-    return scored.drop("others", "grams").join(sums, "row_id", "left").select(
+    return out.join(sums, "row_id", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("common") + F.coalesce("seen", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),

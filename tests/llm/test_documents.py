@@ -8,9 +8,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from astrolabe.llm import common, language_id, mixing, packing, quality_rules, queries, secrets, site_quality, suffix_tree, toxicity
 
@@ -586,6 +589,42 @@ def test_tree_equals_one_grown_by_brute_force(spark, monkeypatch, common):
         assert sum(10 ** logp(w, s) for w in train) <= 1 + 1e-9
 
 
+def test_scoring_looks_up_what_continues_a_chain_of_states(spark, monkeypatch):
+    """Full bit maps made it look up nearly every n-gram of every order: joins and disk grew faster than the input."""
+    monkeypatch.setattr(suffix_tree, "COMMON", 5)
+    monkeypatch.setattr(suffix_tree, "MAP_BITS", 14)
+    seen, staged = {}, suffix_tree.staged
+
+    def watched(df, label, keep=0):
+        out = staged(df, label, keep)
+        if label == "tree-scores":
+            lists = [F.coalesce(F.sum(F.size(c)), F.lit(0)) for c in out.columns if c.startswith("grams")]
+            seen["looked up"], seen["tokens"] = out.agg(sum(lists, F.lit(0)), F.sum("n_tokens")).first()
+        return out
+
+    monkeypatch.setattr(suffix_tree, "staged", watched)
+    docs = table(spark, [r.text for r in documents(spark).select("text").collect()] + structured(random.Random(4), 200))
+    model = suffix_tree.fit(docs)
+    suffix_tree.score(docs, model)
+    assert model.depth >= 3 and 0 < seen["looked up"] < 1.5 * seen["tokens"], seen
+
+
+@pytest.mark.parametrize("width", [34, 42, 48])
+def test_rough_counts_travel_whole_and_small(width):
+    r = np.random.default_rng(width)
+    codes = np.unique(r.integers(0, 1 << 64, 300_000, dtype=np.uint64) >> np.uint64(64 - width))
+    counts = np.where(r.random(len(codes)) < 0.9, 1, 5).astype(np.uint8)
+    cut = suffix_tree._cut(codes, counts, width, 5)
+    marks = np.zeros(1 << suffix_tree.ROUGH_BITS[2], bool)
+    for b in cut["bucket"].unique().to_pylist():
+        got = suffix_tree._often(2, width, 5)((pa.scalar(b),), pa.Table.from_batches([cut]).filter(pc.field("bucket") == b))
+        part = np.unpackbits(np.frombuffer(got["marks"][0].as_py(), np.uint8), bitorder="little")
+        marks[b * len(part) : (b + 1) * len(part)] = part
+    want = np.unique(codes[counts >= suffix_tree.LEAST_PAIR] >> np.uint64(width - suffix_tree.ROUGH_BITS[2])).astype(np.int64)
+    assert np.array_equal(np.flatnonzero(marks), want)
+    assert sum(map(len, cut["packed"].to_pylist())) < (width - 13) / 8 * len(codes)  # 32-bit steps and a count took five bytes
+
+
 def test_tree_of_nothing(spark):
     docs = table(spark, ODD)
     model = suffix_tree.fit(docs.limit(0))
