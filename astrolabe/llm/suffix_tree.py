@@ -42,7 +42,9 @@ MAP_BITS = 26
 ROUGH_BITS = {2: 28, 3: 27}
 #: N-grams to look up are joined in so many slices of their codes, a power of two, one after the other.
 SLICES = 4
-#: Task-wise counts are handed on after so many n-grams.
+#: Documents are scored in so many parts, one after the other.
+PARTS = 2
+#: Task-wise counts are handed on once so many n-grams differ.
 HELD = 500_000
 #: N-grams that a task counts at once in the first count of pairs, about.
 BUCKET = 1_000_000
@@ -64,11 +66,16 @@ def token_codes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray,
         yield at, h, bounds, np.arange(len(h)) - np.repeat(bounds[:-1], n + 1)
 
 
-def longer(codes: np.ndarray, h: np.ndarray, order: int) -> np.ndarray:
+def joined(a: np.ndarray, b: np.ndarray, order: int) -> np.ndarray:
+    """Codes of n-grams of an order, from those of their first and of their last order - 1 tokens."""
+    return mix(a * _NEXT + b + np.uint64(order))
+
+
+def longer(codes: np.ndarray, order: int) -> np.ndarray:
     """Codes of the n-grams of an order that end at each token, from those of the order below; the first have no meaning."""
-    out = np.zeros(len(h), np.uint64)
-    if len(h) > 1:
-        out[1:] = mix(codes[:-1] * _NEXT + h[1:] + np.uint64(order))
+    out = np.zeros(len(codes), np.uint64)
+    if len(codes) > 1:
+        out[1:] = joined(codes[:-1], codes[1:], order)
     return out
 
 
@@ -125,13 +132,10 @@ def _passes(make: Callable[[], tuple[Callable, Callable]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         add, flush = make()
-        held = 0
         for batch in batches:
             for _, h, _, place in token_codes(batch.column(0)):
-                held += add(h, place)
-                if held > HELD:
+                if add(h, place) > HELD:
                     yield flush()
-                    held = 0
                     pa.default_memory_pool().release_unused()
         yield flush()
 
@@ -142,37 +146,88 @@ def _longs(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns.values()], list(columns))
 
 
+def _merged(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal keys, the place of one, and the sum of their n; by ascending key."""
+    at = np.argsort(key)
+    key = key[at]
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    return at[head], np.add.reduceat(n[at], head) if len(key) else n
+
+
+class Tally:
+    """Counts of n-grams, each known by the codes of its parts. Equal ones are merged when the room ends, so that a task hands
+    on one row for each n-gram, not one for each HELD tokens, as long as no more than HELD differ."""
+
+    def __init__(self, parts: int, key: Callable[..., np.ndarray]):
+        room = HELD * 3 // 2 + (1 << 16)
+        self.codes, self.n, self.used, self.merged, self.key = np.empty((parts, room), np.uint64), np.empty(room, np.int64), 0, 0, key
+
+    def add(self, codes: tuple[np.ndarray, ...], n: np.ndarray | int) -> int:
+        """How many different n-grams it held when it last merged them."""
+        size = len(codes[0])
+        if self.used + size > len(self.n):
+            self.merge()
+        start, end = self.used, self.used + size
+        if end > len(self.n):  # a very long text
+            self.codes = np.concatenate([self.codes[:, :start], np.empty((len(codes), size), np.uint64)], 1)
+            self.n = np.concatenate([self.n[:start], np.empty(size, np.int64)])
+        for row, part in zip(self.codes, codes, strict=True):
+            row[start:end] = part
+        self.n[start:end] = n
+        self.used = end
+        return self.merged
+
+    def merge(self) -> None:
+        at, n = _merged(self.key(*self.codes[:, : self.used]), self.n[: self.used])
+        self.used = self.merged = len(at)
+        for row in self.codes:
+            row[: len(at)] = row[at]
+        self.n[: len(at)] = n
+
+    def taken(self) -> tuple[np.ndarray, ...]:
+        """The codes and counts that it held, once."""
+        self.merge()
+        out = (*[row[: self.used].copy() for row in self.codes], self.n[: self.used].copy())
+        self.used = self.merged = 0
+        return out
+
+
 def _count_tokens():
-    held: list[np.ndarray] = []
+    tally = Tally(1, lambda g: g)
+
+    def add(h: np.ndarray, place: np.ndarray) -> int:
+        g, n = np.unique(h, return_counts=True)
+        return tally.add((g,), n)
 
-    def flush() -> pa.RecordBatch:
-        g, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
-        held.clear()
-        return _longs(g=g, n=n.astype(np.int64))
+    return add, lambda: _longs(**dict(zip("gn", tally.taken(), strict=True)))
 
-    return lambda h, place: held.append(h) or len(h), flush
+
+def _planes(numbers: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize)
 
 
 def _cut(codes: np.ndarray, counts: np.ndarray, width: int, bits: int) -> pa.RecordBatch:
-    """Sorted codes of a width by bucket (their first bits): steps from one to the next, byte by byte, and their counts up to 255."""
+    """Sorted codes of a width by bucket (their first bits): steps from one to the next, byte by byte, and so their counts."""
+    counts = _planes(counts)
     edges = np.searchsorted(codes, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(width - bits))
     full = np.flatnonzero(edges[1:] > edges[:-1])
     sizes, packed = [], []
     for b in full.tolist():
         part = codes[edges[b] : edges[b + 1]] - (np.uint64(b) << np.uint64(width - bits))
         step = np.diff(part, prepend=np.uint64(0)).astype("<u8")
-        planes = step.view(np.uint8).reshape(-1, 8)[:, : max(1, (int(step.max()).bit_length() + 7) // 8)]
-        packed.append(pa.compress(planes.T.tobytes() + counts[edges[b] : edges[b + 1]].tobytes(), codec="zstd", asbytes=True))
+        planes = _planes(step)[:, : max(1, (int(step.max()).bit_length() + 7) // 8)]
+        packed.append(pa.compress(planes.T.tobytes() + counts[edges[b] : edges[b + 1]].T.tobytes(), codec="zstd", asbytes=True))
         sizes.append((len(step), planes.shape[1]))
     sizes = np.array(sizes, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(sizes[:, 0]), pa.array(sizes[:, 1]), pa.array(packed, pa.binary())], ["bucket", "codes", "planes", "packed"])
 
 
-def _uncut(codes: int, planes: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(pa.decompress(packed, codes * (planes + 1), codec="zstd", asbytes=True), np.uint8).reshape(planes + 1, codes)
-    step = np.zeros((codes, 8), np.uint8)
-    step[:, :planes] = raw[:planes].T
-    return np.cumsum(step.view("<u8")[:, 0]), raw[planes]
+def _uncut(codes: int, planes: int, packed: bytes, size: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The codes, from the start of their bucket, and their counts, of `size` bytes each."""
+    raw = np.frombuffer(pa.decompress(packed, codes * (planes + size), codec="zstd", asbytes=True), np.uint8).reshape(planes + size, codes)
+    step, counts = np.zeros((codes, 8), np.uint8), np.zeros((codes, 8), np.uint8)
+    step[:, :planes], counts[:, :size] = raw[:planes].T, raw[planes:].T
+    return np.cumsum(step.view("<u8")[:, 0]), counts.view("<i8")[:, 0]
 
 
 def _candidates(h: np.ndarray, place: np.ndarray, order: int, maps: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,8 +238,8 @@ def _candidates(h: np.ndarray, place: np.ndarray, order: int, maps: tuple[np.nda
     """
     shorter = h
     for k in range(2, order):
-        shorter = longer(shorter, h, k)
-    g = longer(shorter, h, order)
+        shorter = longer(shorter, k)
+    g = longer(shorter, order)
     at = np.flatnonzero(place >= order - 1)
     if order > 2:
         counted, often, suited = maps
@@ -202,7 +257,7 @@ def _count_roughly(order: int, width: int, bits: int, maps: Callable[[], tuple[n
         def add(h: np.ndarray, place: np.ndarray) -> int:
             g, _, at = _candidates(h, place, order, known)
             held.append(g[at] >> np.uint64(64 - width))
-            return len(at)
+            return sum(map(len, held))
 
         def flush() -> pa.RecordBatch:
             codes, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
@@ -219,7 +274,7 @@ def _often(order: int, width: int, bits: int):
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         parts = [_uncut(*row) for row in zip(*(table[c].to_pylist() for c in ("codes", "planes", "packed")), strict=True)]
-        codes, counts = np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts]).astype(np.int64)
+        codes, counts = np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts])
         at = np.argsort(codes)
         codes, counts = codes[at], counts[at]
         head = np.flatnonzero(np.diff(codes, prepend=np.uint64(1 << 63)) != 0)
@@ -231,12 +286,16 @@ def _often(order: int, width: int, bits: int):
     return run
 
 
+def _bucket_bits(total: int) -> int:
+    return min(MAP_BITS - 6, max(3, math.ceil(math.log2(max(1, total / BUCKET)))))
+
+
 def _frequent(train: DataFrame, total: int, order: int, maps: Callable[[], tuple[np.ndarray, ...]]) -> np.ndarray:
     """A bit map of the n-grams of an order that occur LEAST_PAIR times, and, by chance, of a few others.
 
     Codes are cut to a width at which a code is shared by one in 64 n-grams at most, if all of them differ.
     """
-    bits = min(MAP_BITS - 6, max(3, math.ceil(math.log2(max(1, total / BUCKET)))))
+    bits = _bucket_bits(total)
     width = min(48, max(34, math.ceil(math.log2(total)) + 6))
     cut = train.mapInArrow(_passes(_count_roughly(order, width, bits, maps)), "bucket long, codes long, planes long, packed binary")
     got = cut.groupBy("bucket").applyInArrow(_often(order, width, bits), "bucket long, marks binary").toArrow()  # 2 ** ROUGH_BITS bits in all
@@ -246,54 +305,112 @@ def _frequent(train: DataFrame, total: int, order: int, maps: Callable[[], tuple
     return out.reshape(-1).view(np.uint64)
 
 
-def _count_grams(order: int, maps: Callable[[], tuple[tuple[np.ndarray, ...], np.ndarray | None]]):
-    """Counts of n-grams of an order that can matter: code g, those of its first (`a`) and last (`b`) order - 1 tokens."""
+def _count_grams(order: int, maps: Callable[[], tuple[tuple[np.ndarray, ...], np.ndarray | None]], form: Callable[[], Callable[..., pa.RecordBatch]]):
+    """Counts of n-grams of an order that can matter, by the codes of their first (`a`) and last (`b`) order - 1 tokens."""
 
     def make():
+        hand_on = form()
         known, frequent = maps()
-        # one array for all that is held, so that nothing is copied to be counted
-        space, used = [np.empty((3, HELD + (1 << 16)), np.uint64)], [0]
+        tally = Tally(2, lambda a, b: joined(a, b, order))
 
         def add(h: np.ndarray, place: np.ndarray) -> int:
             g, shorter, at = _candidates(h, place, order, known)
             if frequent is not None:
                 at = at[in_map(frequent, g[at])]
-            start, end = used[0], used[0] + len(at)
-            if end > space[0].shape[1]:  # a very long text
-                space[0] = np.concatenate([space[0][:, :start], np.empty((3, len(at)), np.uint64)], 1)
-            for row, part in zip(space[0], (g[at], shorter[at - 1], shorter[at]), strict=True):
-                row[start:end] = part
-            used[0] = end
-            return len(at)
+            return tally.add((shorter[at - 1], shorter[at]), 1)
 
-        def flush() -> pa.RecordBatch:
-            g, a, b = space[0][:, : used[0]]
-            order_ = np.argsort(g)
-            found = g[order_]
-            head = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else np.empty(0, np.int64)
-            at = order_[head]
-            columns = {"g": g[at]} if order > 2 else {}  # a pair's code comes of its two tokens
-            out = _longs(**columns, a=a[at], b=b[at], n=np.diff(np.append(head, len(found))).astype(np.int64))
-            used[0] = 0
-            return out
-
-        return add, flush
+        return add, lambda: hand_on(*tally.taken())
 
     return make
 
 
-def _with_pair_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "n"))
-        yield _longs(g=mix(a.view(np.uint64) * _NEXT + b.view(np.uint64) + np.uint64(2)), a=a, b=b, n=n)
+def _with_codes(order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "n"))
+            yield _longs(g=joined(a.view(np.uint64), b.view(np.uint64), order), a=a, b=b, n=n)
+
+    return run
 
 
 def _counted(train: DataFrame, order: int, maps: Callable[[], tuple[tuple[np.ndarray, ...], np.ndarray | None]]) -> DataFrame:
     """g, a, b and n of the n-grams of an order that can matter and occur LEAST_PAIR times."""
-    keys = ["g", "a", "b"] if order > 2 else ["a", "b"]
-    parts = train.mapInArrow(_passes(_count_grams(order, maps)), "".join(f"{k} long, " for k in keys) + "n long")
-    out = parts.groupBy(*keys).agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PAIR)
-    return out if order > 2 else out.mapInArrow(_with_pair_codes, "g long, a long, b long, n long")
+    parts = train.mapInArrow(_passes(_count_grams(order, maps, lambda: lambda a, b, n: _longs(a=a, b=b, n=n))), "a long, b long, n long")
+    out = parts.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PAIR)
+    return out.mapInArrow(_with_codes(order), "g long, a long, b long, n long")
+
+
+class Ranks:
+    """Pairs of common tokens as numbers of few bits, spread evenly over a width: their ranks side by side, times an odd number."""
+
+    def __init__(self, common: int, bits: int):
+        self.rank = max(1, common.bit_length())
+        self.width = max(2 * self.rank, bits)
+
+    def spread(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return ((a.astype(np.uint64) << np.uint64(self.rank)) + b.astype(np.uint64)) * _NEXT & np.uint64((1 << self.width) - 1)
+
+    def back(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        both = codes * np.uint64(pow(int(_NEXT), -1, 1 << self.width)) & np.uint64((1 << self.width) - 1)
+        return both >> np.uint64(self.rank), both & np.uint64((1 << self.rank) - 1)
+
+
+def _packed_pairs(bits: int, common: Callable[[], np.ndarray]):
+    """Of counted pairs, those of two common tokens as cut codes; others, of no planes, as they are, by the first bits of their code."""
+
+    def make():
+        lookup, ranks = Lookup(common()), Ranks(len(common()), bits)
+
+        def hand_on(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            first, last = lookup.find(a), lookup.find(b)
+            known = (first >= 0) & (last >= 0)
+            codes, rare = ranks.spread(first[known], last[known]), ~known
+            at = np.argsort(codes)
+            cut = _cut(codes[at], n[known][at], ranks.width, bits)
+            bucket = (joined(a[rare], b[rare], 2) >> np.uint64(64 - bits)).astype(np.int64)
+            at = np.argsort(bucket, kind="stable")
+            rows, bucket = np.stack([a[rare], b[rare], n[rare].view(np.uint64)])[:, at], bucket[at]
+            full, starts = np.unique(bucket, return_index=True)
+            ends = np.append(starts, len(bucket))[1:]
+            packed = [pa.compress(rows[:, i:j].tobytes(), codec="zstd", asbytes=True) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+            others = [pa.array(full), pa.array(ends - starts), pa.array(np.zeros(len(full), np.int64)), pa.array(packed, pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(cut.columns, others, strict=True)], cut.schema.names)
+
+        return hand_on
+
+    return make
+
+
+def _summed_pairs(bits: int, common: Callable[[], np.ndarray]):
+    """Of a bucket of packed pairs, g, a, b and n of those that occur LEAST_PAIR times."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        tokens = common()
+        ranks, bucket = Ranks(len(tokens), bits), key[0].as_py()
+        codes, counts, others = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty((3, 0), np.uint64)]
+        for size, planes, packed in zip(*(table[c].to_pylist() for c in ("codes", "planes", "packed")), strict=True):
+            if planes:
+                c, n = _uncut(size, planes, packed, 8)
+                codes.append(c)
+                counts.append(n)
+            else:
+                others.append(np.frombuffer(pa.decompress(packed, 24 * size, codec="zstd", asbytes=True), np.uint64).reshape(3, size))
+        codes, others = np.concatenate(codes), np.concatenate(others, 1)
+        at, n = _merged(codes, np.concatenate(counts))
+        first, last = ranks.back(codes[at][n >= LEAST_PAIR] + (np.uint64(bucket) << np.uint64(ranks.width - bits)))
+        rare, more = _merged(joined(others[0], others[1], 2), others[2].view(np.int64))
+        rare = others[:, rare[more >= LEAST_PAIR]]
+        a, b = np.append(tokens[first.astype(np.int64)], rare[0]), np.append(tokens[last.astype(np.int64)], rare[1])
+        return pa.Table.from_batches([_longs(g=joined(a, b, 2), a=a, b=b, n=np.append(n[n >= LEAST_PAIR], more[more >= LEAST_PAIR]))])
+
+    return run
+
+
+def _counted_pairs(train: DataFrame, total: int, maps: Callable[[], tuple[tuple[np.ndarray, ...], np.ndarray | None]], common: Callable[[], np.ndarray]) -> DataFrame:
+    """As _counted, of pairs: most are of two common tokens, whose ranks take about a quarter of the bytes of their codes."""
+    bits = _bucket_bits(total)
+    parts = train.mapInArrow(_passes(_count_grams(2, maps, _packed_pairs(bits, common))), "bucket long, codes long, planes long, packed binary")
+    return parts.groupBy("bucket").applyInArrow(_summed_pairs(bits, common), "g long, a long, b long, n long")
 
 
 # --- the tree -----------------------------------------------------------------------------
@@ -341,17 +458,22 @@ def _looked_up(rows: DataFrame, table: DataFrame, key: str, total: int, **column
     return out.join(rest, F.col("at") == F.col("cold_g"), "left").select(*rows.columns, *[got[new].alias(new) for new in columns])
 
 
-def _grow(counted: DataFrame, shorter: DataFrame, total: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Rows g, n, logp of the n-grams counted, with values of those that are symbols of a state; and the states.
+def _tested(whole: DataFrame, shorter: DataFrame, total: int, depth: int) -> DataFrame:
+    """Rows g, a, b, n and whole with q, what the tree so far expects, and e, how far they diverge from it; null if that is unknown.
 
     `shorter` has g, n and logp, log10 P(last token | the tokens before it) as the tree has it so far, null where the tokens
     before it are no state.
     """
     ln10 = math.log(10)
-    rows = _looked_up(_looked_up(counted, shorter, "a", total, whole="n"), shorter, "b", total, q="logp")
+    rows = _looked_up(whole, shorter, "b", total, q="logp")
     whole = F.col("whole") + KAPPA
     e = 2 * F.col("n") * (F.log(F.col("n") / whole) - F.col("q") * ln10) + 2 * (F.col("whole") * F.pow(F.lit(10.0), F.col("q")) - F.col("n"))
-    rows = staged(rows.withColumn("e", F.when(F.col("whole") >= LEAST_CONTEXT, e)).select("g", "a", "b", "n", "whole", "q", "e"), f"tree-tested-{depth}")
+    return staged(rows.withColumn("e", F.when(F.col("whole") >= LEAST_CONTEXT, e)).select("g", "a", "b", "n", "whole", "q", "e"), f"tree-tested-{depth}", keep=1)
+
+
+def _grow(rows: DataFrame, total: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Rows g, n, logp of the n-grams tested, with values of those that are symbols of a state; and the states."""
+    whole = F.col("whole") + KAPPA
     told = rows.where(F.col("e") >= LEAST_EVIDENCE)
     states = told.groupBy("a", "whole").agg(F.sum("e").alias("sum_e"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("sum_n"), F.sum(F.pow(F.lit(10.0), F.col("q"))).alias("sum_q"))
     # the divergence that the telling symbols bear, against that of chance
@@ -376,6 +498,8 @@ def _fit(docs: DataFrame) -> Model:
     tokens = staged(train.mapInArrow(_passes(_count_tokens), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")), "tree-tokens", keep=1)
     total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     root = tokens.select("g", "n", F.log10((F.col("n") + ALPHA) / F.lit(total + ALPHA * (distinct + 1))).alias("logp"))
+    common = _commonest(tokens, "n")
+    ranked = spark.sparkContext.broadcast(common[0])
     # no token of an n-gram is rarer than it
     grams, parts, held, counts, depth, maps = root.where(F.col("n") >= LEAST_PAIR), [], [], [], 0, ()
     while total:
@@ -385,11 +509,17 @@ def _fit(docs: DataFrame) -> Model:
         frequent = spark.sparkContext.broadcast(_frequent(train, total, order, lambda shared=shared: shared.value) if order <= 3 else None)
         drop_shuffles(spark)
         with scope(spark):
-            counted = staged(_counted(train, order, lambda shared=shared, frequent=frequent: (shared.value, frequent.value)), f"tree-counted-{order}")
-            shared.destroy()
-            frequent.destroy()
-            drop_shuffles(spark)
-            grams, states = _grow(counted, grams, total, depth + 1)
+            # what a step has read goes before the next
+            with scope(spark):
+                with scope(spark):
+                    take = lambda shared=shared, frequent=frequent: (shared.value, frequent.value)
+                    counted = staged(_counted(train, order, take) if order > 2 else _counted_pairs(train, total, take, lambda: ranked.value), f"tree-counted-{order}")
+                    shared.destroy()
+                    frequent.destroy()
+                    drop_shuffles(spark)
+                    whole = staged(_looked_up(counted, grams, "a", total, whole="n"), f"tree-whole-{order}", keep=1)
+                tested = _tested(whole, grams, total, depth + 1)
+            grams, states = _grow(tested, total, depth + 1)
             found = states.count()
         if not found:
             break
@@ -401,6 +531,7 @@ def _fit(docs: DataFrame) -> Model:
         often = grams.where(F.col("n") >= LEAST_CONTEXT)
         suited = _looked_up(often, states, "b", total, back="back").where("back is not null")
         maps = (bit_map(grams), bit_map(often), bit_map(suited))
+    ranked.destroy()
     values, contexts = spark.createDataFrame([], "g long, n long, value double"), spark.createDataFrame([], "g long")
     for p in parts:
         values = values.union(p)
@@ -408,7 +539,7 @@ def _fit(docs: DataFrame) -> Model:
         contexts = contexts.union(p.select("g"))
     # an n-gram can be a symbol of one state and a state itself
     values = staged(values.groupBy("g").agg(F.sum("value").alias("value"), F.max("n").alias("n")), "tree-values", keep=1)
-    return Model(tokens, values, _commonest(tokens, "n"), _commonest(values, "value"), bit_map(values), bit_map(contexts), depth, total, distinct, tuple(counts))
+    return Model(tokens, values, common, _commonest(values, "value"), bit_map(values), bit_map(contexts), depth, total, distinct, tuple(counts))
 
 
 def _commonest(table: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
@@ -424,7 +555,7 @@ def _valued(h: np.ndarray, place: np.ndarray, known: np.ndarray, contexts: np.nd
     """
     g, state = h, np.ones(len(h), bool)
     for order in range(1, depth + 2 if depth else 1):
-        g = longer(g, h, order) if order > 1 else g
+        g = longer(g, order) if order > 1 else g
         fits = place >= order - 1
         after = np.append(False, state[:-1]) & fits if order > 1 else np.zeros(len(h), bool)
         at = np.flatnonzero(state & fits)
@@ -483,32 +614,47 @@ def _score(docs: DataFrame, model: Model) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder("doc_id", 10) == 0).alias("held_out"), text_or_empty().alias("text"))
     schema = "doc_id long, held_out boolean, n_tokens long, common long, part double, gain double, others array<long>"
-    scored = rows.mapInArrow(run, schema + "".join(f", {c} array<long>" for c in lists))
+    schema += "".join(f", {c} array<long>" for c in lists)
+    # equal ids are of one part, whatever the splits
+    parts = []
+    for k in range(PARTS):
+        with scope(spark):
+            part = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == k).mapInArrow(run, schema)
+            parts.append(_summed(part, model, lists, denominator))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def _summed(scored: DataFrame, model: Model, lists: list[str], denominator: float) -> DataFrame:
+    """Adds to the rows that scoring made what the joins find: the other tokens, and the n-grams of each slice's list."""
+    spark, slices = scored.sparkSession, len(lists)
     scored = staged(scored.withColumn("row_id", F.monotonically_increasing_id()), "tree-scores")
     rare = scored.select("row_id", F.explode("others").alias("g")).join(model.tokens, "g", "left")
     n = F.coalesce(F.col("n"), F.lit(0))
     rare = rare.select("row_id", F.log10((n + ALPHA) / denominator).alias("rest"), (n > 0).cast("long").alias("seen"))
-    rare = staged(rare.groupBy("row_id").agg(F.sum("rest").alias("rest"), F.sum("seen").alias("seen")), "tree-rare", keep=1)
+    rare = staged(rare.groupBy("row_id").agg(F.sum("rest").alias("rest"), F.sum("seen").alias("seen")), "tree-rare")
     # one slice of the n-grams after the other, so that the disk holds the shuffles of one
     more = []
     for k, column in enumerate(lists):
         drop_shuffles(spark)
         values = model.values.where(F.expr(f"shiftrightunsigned(g, 32) & {slices - 1} = {k}")).select("g", "value")
         got = scored.select("row_id", F.explode(column).alias("g")).join(values, "g").groupBy("row_id").agg(F.sum("value").alias("more"))
-        more.append(staged(got, f"tree-more-{k}", keep=1))
+        more.append(staged(got, f"tree-more-{k}"))
     drop_shuffles(spark)
-    out = staged(scored.drop("others", *lists), "tree-parts", keep=1)
     sums = rare.withColumn("more", F.lit(0.0))
     for m in more:
         sums = sums.union(m.select("row_id", F.lit(0.0), F.lit(0).cast("long"), "more"))
     sums = sums.groupBy("row_id").agg(F.sum("rest").alias("rest"), F.sum("seen").alias("seen"), F.sum("more").alias("more"))
     base = F.col("part") + F.coalesce("rest", F.lit(0.0))
-    return out.join(sums, "row_id", "left").select(
+    out = scored.drop("others", *lists).join(sums, "row_id", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("common") + F.coalesce("seen", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
         base.alias("base_score"), (base + F.col("gain") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
+    return staged(out, "tree-parts", keep=2)
 
 
 def _lists(at: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> pa.Array:

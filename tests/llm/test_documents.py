@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -625,6 +626,70 @@ def test_rough_counts_travel_whole_and_small(width):
     assert sum(map(len, cut["packed"].to_pylist())) < (width - 13) / 8 * len(codes)  # 32-bit steps and a count took five bytes
 
 
+def test_packed_pairs_come_back_exact():
+    common, rare = np.arange(1, 9, dtype=np.uint64) * np.uint64(1 << 60), np.arange(1, 5, dtype=np.uint64)
+    hand_on, sums = suffix_tree._packed_pairs(3, lambda: common)(), Counter()
+    batches, r = [], np.random.default_rng(1)
+    for tokens in ([], common, rare, np.concatenate([common, rare])):  # none, of one kind, of both
+        pairs = [(a, b) for a in tokens for b in tokens if r.random() < 0.7]
+        n = r.choice([1, 2, 300, 1 << 33], len(pairs))
+        sums.update({(int(a), int(b)): int(m) for (a, b), m in zip(pairs, n, strict=True)})
+        a, b = np.array(pairs, np.uint64).reshape(-1, 2).T
+        batches.append(hand_on(a, b, n.astype(np.int64)))
+    whole, got = pa.Table.from_batches(batches), {}
+    for bucket in whole["bucket"].unique():
+        out = suffix_tree._summed_pairs(3, lambda: common)((bucket,), whole.filter(pc.equal(whole["bucket"], bucket)))
+        a, b, g, n = (out[c].to_numpy() for c in "abgn")
+        assert np.array_equal(suffix_tree.joined(a.view(np.uint64), b.view(np.uint64), 2), g.view(np.uint64))
+        got |= {pair: int(m) for *pair, m in zip(a.view(np.uint64).tolist(), b.view(np.uint64).tolist(), n, strict=True) for pair in [tuple(pair)]}
+    assert got == {pair: n for pair, n in sums.items() if n >= suffix_tree.LEAST_PAIR}
+
+
+def shuffled(spark):
+    """Bytes that each stage so far has written to shuffles."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    store = spark.sparkContext._jsc.sc().statusStore()
+    got = store.stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {got.apply(k).stageId(): got.apply(k).shuffleWriteBytes() for k in range(got.size())}
+
+
+def test_counted_pairs_travel_in_few_bytes(spark):
+    """Two codes and a count took 17 bytes a pair and task, most of the disk of the count."""
+    words, tasks = [f"w{k}" for k in range(150)], 4
+    texts = [" ".join(random.Random(k).choices(words, k=2000)) for k in range(300)]
+    rows = [(k, t, "en", "s", 0, "x", k) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, tasks), SCHEMA)
+    pairs = {}
+    for r in docs.select("doc_id", F.spark_partition_id().alias("task")).collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 10:
+            w = texts[r.doc_id].split()
+            pairs.setdefault(r.task, set()).update(zip(w, w[1:], strict=False))
+    travel, before = sum(map(len, pairs.values())), shuffled(spark)
+    suffix_tree.fit(docs)
+    spent = max(n for k, n in shuffled(spark).items() if k not in before)
+    assert travel < spent < 8 * travel, (spent, travel)
+
+
+def test_scoring_stores_lookups_of_a_part_at_a_time(spark, monkeypatch):
+    """All documents' lookups were stored at once, in more bytes than the texts have."""
+    monkeypatch.setattr(suffix_tree, "COMMON", 5)
+    parts, staged = [], suffix_tree.staged
+
+    def watched(df, label, keep=0):
+        out = staged(df, label, keep)
+        if label == "tree-scores":
+            for files in parts:  # those of the part before are gone
+                assert not any(Path(f.removeprefix("file://")).exists() for f in files[1])
+            parts.append((out.count(), out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(suffix_tree, "staged", watched)
+    rows = documents(spark).select("doc_id", "text").collect()
+    docs = table(spark, [r.text for r in rows])
+    assert suffix_tree.score(docs, suffix_tree.fit(docs)).count() == len(rows)
+    assert sum(n for n, _ in parts) == len(rows) and max(n for n, _ in parts) < 0.7 * len(rows)
+
+
 def test_tree_of_nothing(spark):
     docs = table(spark, ODD)
     model = suffix_tree.fit(docs.limit(0))
