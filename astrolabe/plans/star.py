@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import planned_bytes, small
+from ..operators.joins import small
 from ..sources import scratch
 
 SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -103,21 +103,47 @@ def views(spark: SparkSession, folder: str, cost: bool = True) -> dict[str, Data
     }
 
 
-#: Files of the stored facts hold about so many bytes of line items.
-FILE_BYTES = 256 << 20
+#: A file of the stored facts, and the task that sorts and writes it, holds about so many lines, of one year.
+FILE_LINES = 2_000_000
 NAMES = ("lineorder", "ssb_customer", "ssb_supplier", "ssb_part", "ddate")
 
 
+def _year(day: Column) -> Column:
+    return F.floor(day / 10000).cast("int")
+
+
+def _counts(lineitem: DataFrame, orders: DataFrame) -> dict[int | None, tuple[int, int]]:
+    """For each year its lines, and the most that one order has."""
+    each = lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    years = each.join(orders, each.l_orderkey == orders.o_orderkey).groupBy(_year(date_key(F.col("o_orderdate"))).alias("year"))
+    return {r["year"]: (r["lines"], r["most"]) for r in years.agg(F.sum("n").alias("lines"), F.max("n").alias("most")).collect()}
+
+
+def _by_year(lines: DataFrame, counts: dict[int | None, tuple[int, int]]) -> DataFrame:
+    """Deals lines out to tasks of their own year, as many as its count asks for, however the years differ in size. (By a hash of
+    keys two years may come to one task, whatever the number of tasks.)"""
+    at, own, large = 0, [], False
+    for year, (n, most) in counts.items():
+        parts = -(-n // FILE_LINES)
+        own += [F.lit(year or 0), F.struct(F.lit(at).alias("at"), F.lit(parts).alias("parts"))]
+        at, large = at + parts, large or most > FILE_LINES // 8
+    if not own:
+        return lines.coalesce(1)
+    mine = F.element_at(F.create_map(*own), F.coalesce("lo_year", F.lit(0)))
+    # an order's lines stay together, as they compress better so, unless one order has a task's worth of them
+    spread = F.xxhash64("lo_orderkey", *(("lo_linenumber", "lo_partkey", "lo_suppkey") if large else ()))
+    return lines.repartitionById(at, (mine["at"] + F.pmod(spread, mine["parts"])).cast("int"))
+
+
 def write(spark: SparkSession, folder: str, out: str) -> None:
     """Stores the views once, for many queries: facts partitioned by year and sorted by date, so that date ranges
     prune files and row groups and no query joins lines with orders again."""
-    files = max(1, planned_bytes(table(spark, folder, "lineitem")) // FILE_BYTES // 7)
+    counts = _counts(table(spark, folder, "lineitem"), table(spark, folder, "orders"))
     for name, df in views(spark, folder).items():
         if name == "lineorder":
-            year = F.floor(F.col("lo_orderdate") / 10000).cast("int")
-            # a hash of the order beside the year lets a crowded year spread over many tasks
-            df = df.withColumn("lo_year", year).repartition("lo_year", F.pmod(F.xxhash64("lo_orderkey"), F.lit(files))).sortWithinPartitions("lo_year", "lo_orderdate")
-            df.write.mode("overwrite").partitionBy("lo_year").parquet(f"{out}/{name}.parquet")
+            df = _by_year(df.withColumn("lo_year", _year(F.col("lo_orderdate"))), counts).sortWithinPartitions("lo_year", "lo_orderdate")
+            # without lines no year would have a file to tell the columns
+            df.write.mode("overwrite").partitionBy(*(["lo_year"] if counts else [])).parquet(f"{out}/{name}.parquet")
         else:
             (df.coalesce(1) if name == "ddate" else df).write.mode("overwrite").parquet(f"{out}/{name}.parquet")
 

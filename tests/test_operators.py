@@ -129,3 +129,39 @@ def test_stored_star_answers_alike(spark, tmp_path):
     for key in ("ssb_q1_1", "ssb_q3_1", "ssb_q4_1"):
         assert values(stored.sql(ssb.SQL[key]).select("*")) == values(Engine(spark).register_star(folder).sql(ssb.SQL[key]))
         stored = Engine(spark).register(star.stored(spark, str(tmp_path)))
+
+
+@pytest.mark.parametrize("odd", ["one year", "one order", "no date"])
+def test_no_task_stores_more_than_its_share_of_the_facts(spark, tmp_path, monkeypatch, odd):
+    from astrolabe.plans import star
+
+    made, out = str(tmp_path / "made"), str(tmp_path / "out")
+    monkeypatch.setattr(star, "FILE_LINES", 2000, raising=False)
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        df = star.table(spark, "/root/testdata/sf0.01", name)
+        if name == "orders" and odd != "one order":
+            late, other = F.year("o_orderdate") > 1996, F.lit("1997-02-03").cast("timestamp") if odd == "one year" else F.lit(None).cast("timestamp")
+            df = df.withColumn("o_orderdate", F.when(late, other).otherwise(F.col("o_orderdate")))
+        if name == "lineitem" and odd == "one order":
+            df = df.withColumn("l_orderkey", F.when(F.col("l_orderkey") % 2 == 0, F.lit(5)).otherwise(F.col("l_orderkey")).cast("long"))
+        df.write.parquet(f"{made}/{name}.parquet")
+    star.write(spark, made, out)
+    stored, whole = star.stored(spark, out)["lineorder"], star.views(spark, made)["lineorder"]
+    assert stored.count() == 60000 and not stored.drop("lo_year").exceptAll(whole).count()
+    tasks = [r["count"] for r in stored.groupBy(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).alias("task")).count().collect()]
+    assert max(tasks) < 2600  # a hash deals out not quite evenly
+    years = stored.groupBy(F.input_file_name().alias("file")).agg(F.count_distinct("lo_year").alias("n")).agg(F.max("n")).first()[0]
+    assert years <= 1
+
+
+def test_a_star_without_lines_is_stored(spark, tmp_path):
+    from astrolabe.plans import ssb, star
+    from astrolabe.plans.engine import Engine
+
+    made, out = str(tmp_path / "made"), str(tmp_path / "out")
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        df = star.table(spark, "/root/testdata/sf0.001", name)
+        (df.limit(0) if name == "lineitem" else df).write.parquet(f"{made}/{name}.parquet")
+    star.write(spark, made, out)
+    stored = Engine(spark).register(star.stored(spark, out))
+    assert values(stored.sql(ssb.SQL["ssb_q1_2"])) == [(None,)] and values(stored.sql(ssb.SQL["ssb_q2_1"])) == []
