@@ -105,6 +105,10 @@ def views(spark: SparkSession, folder: str, cost: bool = True) -> dict[str, Data
 
 #: A file of the stored facts, and the task that sorts and writes it, holds about so many lines, of one year.
 FILE_LINES = 2_000_000
+#: Buckets of orders that show whether one order is large.
+BUCKETS = 1024
+#: Stands for the year of lines without a date.
+NO_YEAR = -(1 << 31)
 NAMES = ("lineorder", "ssb_customer", "ssb_supplier", "ssb_part", "ddate")
 
 
@@ -113,10 +117,12 @@ def _year(day: Column) -> Column:
 
 
 def _counts(lineitem: DataFrame, orders: DataFrame) -> dict[int | None, tuple[int, int]]:
-    """For each year its lines, and the most that one order has."""
-    each = lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    years = each.join(orders, each.l_orderkey == orders.o_orderkey).groupBy(_year(date_key(F.col("o_orderdate"))).alias("year"))
-    return {r["year"]: (r["lines"], r["most"]) for r in years.agg(F.sum("n").alias("lines"), F.max("n").alias("most")).collect()}
+    """For each year its lines, and about the most that one order has: what its bucket has beyond a mean one."""
+    year, bucket = _year(date_key(F.col("o_orderdate"))).alias("year"), F.pmod(F.xxhash64("l_orderkey"), F.lit(BUCKETS)).alias("bucket")
+    # by buckets, since groups by order would be held for each order of a task
+    each = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey).groupBy(year, bucket).agg(F.count("*").alias("n"))
+    years = each.groupBy("year").agg(F.sum("n").alias("lines"), F.max("n").alias("most"))
+    return {r["year"]: (r["lines"], r["most"] - r["lines"] // BUCKETS) for r in years.collect()}
 
 
 def _by_year(lines: DataFrame, counts: dict[int | None, tuple[int, int]]) -> DataFrame:
@@ -125,11 +131,11 @@ def _by_year(lines: DataFrame, counts: dict[int | None, tuple[int, int]]) -> Dat
     at, own, large = 0, [], False
     for year, (n, most) in counts.items():
         parts = -(-n // FILE_LINES)
-        own += [F.lit(year or 0), F.struct(F.lit(at).alias("at"), F.lit(parts).alias("parts"))]
+        own += [F.lit(NO_YEAR if year is None else year), F.struct(F.lit(at).alias("at"), F.lit(parts).alias("parts"))]
         at, large = at + parts, large or most > FILE_LINES // 8
     if not own:
         return lines.coalesce(1)
-    mine = F.element_at(F.create_map(*own), F.coalesce("lo_year", F.lit(0)))
+    mine = F.element_at(F.create_map(*own), F.coalesce("lo_year", F.lit(NO_YEAR)))
     # an order's lines stay together, as they compress better so, unless one order has a task's worth of them
     spread = F.xxhash64("lo_orderkey", *(("lo_linenumber", "lo_partkey", "lo_suppkey") if large else ()))
     return lines.repartitionById(at, (mine["at"] + F.pmod(spread, mine["parts"])).cast("int"))
